@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -63,7 +64,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         start, total = 0, 0
         for row, size in enumerate(sizes.tolist()):
             if row > start and total + size > limit:
