@@ -1,9 +1,13 @@
 """The queries of this subpackage and, where SQL can say it, their statements."""
 
+from quillspar.llm import chat_format
 from quillspar.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_formatting": chat_format.ORACLE,
+}
