@@ -1,9 +1,11 @@
 """The queries of this subpackage and, where SQL can say it, their statements."""
 
 from quillspar.llm import chat_format
+from quillspar.llm.html_paths import op1_html_extraction
 from quillspar.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op10_toxicity": op10_toxicity,
 }
