@@ -39,10 +39,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """Writes ``frame`` and reads it back: a cut lineage in durable storage."""
         path = f"{self.root}/{name}"
+        self.names.add(name)
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
@@ -52,6 +54,10 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
 
 
 def rows_with(frame: DataFrame, *columns: str) -> DataFrame:
@@ -72,3 +78,26 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2
                 start, total = row, 0
             total += size
         yield batch.slice(start)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str = "k") -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Whole groups of consecutive rows with equal ``key``: a batch and the groups' bounds in it."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        keys = np.asarray(batch.column(key))
+        cuts = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+        if cuts:
+            yield batch.slice(0, cuts[-1]), [0, *cuts]
+            batch = batch.slice(cuts[-1])
+        held = batch
+    if held is not None:
+        yield held, [0, held.num_rows]
+
+
+def fixed_width(column: pa.Array, kind: str) -> np.ndarray:
+    """The values of a binary column of equally long values as rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
