@@ -3,15 +3,18 @@
 from quillspar.llm import chat_format
 from quillspar.llm.html_paths import op1_html_extraction
 from quillspar.llm.lsh_forest import op8_minhash_forest
+from quillspar.llm.token_store import op6_token_store
 from quillspar.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op6_token_store": op6_token_store,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op8_minhash_forest": op8_minhash_forest,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_token_store": op6_token_store,
     "op7_chat_formatting": chat_format.ORACLE,
 }
