@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can say it, their statements."""
 
 from quillspar.llm import chat_format
+from quillspar.llm.decontamination import op4_decontamination
 from quillspar.llm.html_paths import op1_html_extraction
 from quillspar.llm.lsh_forest import op8_minhash_forest
 from quillspar.llm.token_store import op6_token_store
@@ -8,6 +9,7 @@ from quillspar.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op4_decontamination": op4_decontamination,
     "op6_token_store": op6_token_store,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op8_minhash_forest": op8_minhash_forest,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": op4_decontamination,
     "op6_token_store": op6_token_store,
     "op7_chat_formatting": chat_format.ORACLE,
 }
