@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can say it, their statements."""
 
 from quillspar.llm import chat_format
+from quillspar.llm.credentials import op5_credential_links
 from quillspar.llm.decontamination import op4_decontamination
 from quillspar.llm.html_paths import op1_html_extraction
 from quillspar.llm.lsh_forest import op8_minhash_forest
@@ -10,6 +11,7 @@ from quillspar.llm.toxicity import op10_toxicity
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op4_decontamination": op4_decontamination,
+    "op5_credential_links": op5_credential_links,
     "op6_token_store": op6_token_store,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op8_minhash_forest": op8_minhash_forest,
@@ -18,6 +20,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": op4_decontamination,
+    "op5_credential_links": op5_credential_links,
     "op6_token_store": op6_token_store,
     "op7_chat_formatting": chat_format.ORACLE,
 }
