@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say it, their statements."""
 
-from quillspar.llm import chat_format
+from quillspar.llm import chat_format, mixing
 from quillspar.llm.credentials import op5_credential_links
 from quillspar.llm.decontamination import op4_decontamination
 from quillspar.llm.html_paths import op1_html_extraction
@@ -10,6 +10,7 @@ from quillspar.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_credential_links": op5_credential_links,
     "op6_token_store": op6_token_store,
@@ -19,6 +20,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
+    "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_credential_links": op5_credential_links,
     "op6_token_store": op6_token_store,
