@@ -21,9 +21,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
-    "op3_mixing": mixing.op3_mixing,
-    "op4_decontamination": op4_decontamination,
-    "op5_credential_links": op5_credential_links,
-    "op6_token_store": op6_token_store,
     "op7_chat_formatting": chat_format.ORACLE,
 }
