@@ -2,6 +2,7 @@
 
 from quillspar.llm import chat_format, mixing
 from quillspar.llm.credentials import op5_credential_links
+from quillspar.llm.cross_polytope import op2_cross_polytope
 from quillspar.llm.decontamination import op4_decontamination
 from quillspar.llm.html_paths import op1_html_extraction
 from quillspar.llm.lsh_forest import op8_minhash_forest
@@ -10,6 +11,7 @@ from quillspar.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_cross_polytope": op2_cross_polytope,
     "op3_mixing": mixing.op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_credential_links": op5_credential_links,
