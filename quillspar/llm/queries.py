@@ -5,6 +5,7 @@ from quillspar.llm.credentials import op5_credential_links
 from quillspar.llm.cross_polytope import op2_cross_polytope
 from quillspar.llm.decontamination import op4_decontamination
 from quillspar.llm.html_paths import op1_html_extraction
+from quillspar.llm.license_rules import op9_license_rules
 from quillspar.llm.lsh_forest import op8_minhash_forest
 from quillspar.llm.token_store import op6_token_store
 from quillspar.llm.toxicity import op10_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_token_store": op6_token_store,
     "op7_chat_formatting": chat_format.op7_chat_formatting,
     "op8_minhash_forest": op8_minhash_forest,
+    "op9_license_rules": op9_license_rules,
     "op10_toxicity": op10_toxicity,
 }
 
