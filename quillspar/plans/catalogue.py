@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from quillspar.operators import dashboard  # noqa: F401
+from quillspar.operators import dashboard, joins, profile  # noqa: F401
