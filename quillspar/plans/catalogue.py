@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
-from quillspar.operators import dashboard, joins, profile  # noqa: F401
+from quillspar.functions import text  # noqa: F401
+from quillspar.operators import dashboard, joins, profile, retrieval, windows  # noqa: F401
