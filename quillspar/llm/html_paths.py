@@ -204,7 +204,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.selectExpr("CAST(page_id AS LONG) AS page_id", "url", "html")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,7 @@ def _score(model: Model):
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    rows = documents.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
