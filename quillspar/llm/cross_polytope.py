@@ -9,10 +9,10 @@ candidates near the block's best are scored again on the original vectors in
 double precision before the block's best are kept. Merging blocks and tables
 leaves each query's nearest.
 
-Where norms differ, the largest inner product is not the smallest angle: vectors
-are then scaled by the largest norm and given one more component that completes
-them to unit length, while queries get zero there, which keeps the order of inner
-products. Bucket sizes are collected: two times the dimension values a table.
+Where norms differ, the largest inner product is not the smallest angle. Vectors
+are therefore hashed by direction in bands of nearly equal norm (a factor of
+2 ** 0.25), and queries probe every band; unit vectors make one band. Bucket
+sizes are collected: two times the dimension values a table and band.
 
 Queries that found fewer than ``k`` although there are more candidates are
 compared with all rows, in blocks.
@@ -80,44 +80,78 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield size, np.asarray(part.column("vec_id")), np.asarray(part.column("vector").flatten(), np.float64).reshape(-1, size)
 
 
-def _key(size: int, number: int, axis: np.ndarray) -> np.ndarray:
-    return (np.int64(size) * TABLES + number) * (1 << 20) + axis
+def _key(size: int, number: int, band: np.ndarray, axis: np.ndarray) -> np.ndarray:
+    """A bucket: 12 bits of dimension, 3 of table, 14 of norm band, 14 of axis; 20 are left for a block."""
+    if size >= 1 << 12:
+        raise ValueError("vectors may have 4095 components")
+    return ((np.int64(size) * 8 + number) * (1 << 14) + band + (1 << 13)) * (1 << 14) + axis
 
 
-def _hash(largest: float, even: bool, probes: int, blocks: dict[int, int] | None):
-    """Rows (k, side, vec_id, values): vectors in one block of their bucket, queries in all blocks they probe."""
+def _band_of(key: int) -> tuple[int, int]:
+    """Dimension and norm band of a bucket."""
+    return key >> 31, ((key >> 14) & ((1 << 14) - 1)) - (1 << 13)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, ids, vectors, unit vectors, bands) of slices of the rows."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 2048):
+            for size, ids, vectors in _groups(whole.slice(first, 2048)):
+                top = np.abs(vectors).max(axis=1, keepdims=True)
+                norm = np.sqrt(((vectors / top) ** 2).sum(axis=1, keepdims=True))
+                yield size, ids, vectors, vectors / top / norm, np.round(4 * (np.log2(top) + np.log2(norm))[:, 0]).astype(np.int64)
+
+
+def _packed(vectors: np.ndarray) -> np.ndarray:
+    return np.array([v.tobytes() for v in vectors.astype("<f8")], object)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for size, _, _, unit, band in _parts(batches):
+        for number in range(TABLES):
+            yield pa.RecordBatch.from_arrays([pa.array(_key(size, number, band, axes(unit, number, 1)[:, 0]))], names=["k"])
+
+
+def _deal(blocks: dict[int, int]):
+    """Rows (k, side, vec_id, values): every vector in one block of its bucket in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 2048):
-                for size, ids, vectors in _groups(whole.slice(first, 2048)):
-                    extended = vectors / largest
-                    if not even:
-                        more = np.zeros((len(ids), 1)) if probes > 1 else np.sqrt(np.maximum(0, 1 - (extended**2).sum(axis=1, keepdims=True)))
-                        extended = np.hstack([extended, more])
-                    packed = np.array([v.tobytes() for v in vectors.astype("<f8")], object)
-                    for number in range(TABLES):
-                        keys = _key(size, number, axes(extended, number, probes))
-                        if blocks is None:
-                            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0])], names=["k"])
-                            continue
-                        count = np.vectorize(lambda k: blocks.get(k, 0), otypes=[np.int64])(keys)
-                        if probes == 1:
-                            row, block = np.arange(len(ids)), ids % np.maximum(count[:, 0], 1)
-                            keys = keys[:, 0]
-                        else:
-                            row = np.repeat(np.repeat(np.arange(len(ids)), keys.shape[1]), count.ravel())
-                            block = np.arange(count.sum()) - np.repeat(np.cumsum(count.ravel()) - count.ravel(), count.ravel())
-                            keys = np.repeat(keys.ravel(), count.ravel())
-                        side = np.full(len(row), int(probes == 1), np.int32)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys * (1 << 20) + block), pa.array(side), pa.array(ids[row]), pa.array(packed[row], pa.binary())],
-                            names=["k", "side", "vec_id", "values"],
-                        )
+        for size, ids, vectors, unit, band in _parts(batches):
+            packed = pa.array(_packed(vectors), pa.binary())
+            for number in range(TABLES):
+                key = _key(size, number, band, axes(unit, number, 1)[:, 0])
+                count = np.fromiter((blocks[k] for k in key.tolist()), np.int64, len(key))
+                yield _rows(key * (1 << 20) + ids % count, 1, ids, packed)
 
     return run
 
 
+def _probe(blocks: dict[int, int], probes: int):
+    """Rows (k, side, vec_id, values): every query in all blocks of the buckets that it probes."""
+    bands: dict[int, set[int]] = {}
+    for key in blocks:
+        size, band = _band_of(key)
+        bands.setdefault(size, set()).add(band)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, ids, vectors, unit, _ in _parts(batches):
+            packed = _packed(vectors)
+            for number in range(TABLES):
+                axis = axes(unit, number, probes)
+                for band in sorted(bands.get(size, ())):
+                    key = _key(size, number, np.int64(band), axis)
+                    count = np.fromiter((blocks.get(k, 0) for k in key.ravel().tolist()), np.int64, key.size)
+                    row = np.repeat(np.repeat(np.arange(len(ids)), key.shape[1]), count)
+                    block = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    yield _rows(np.repeat(key.ravel(), count) * (1 << 20) + block, 0, ids[row], pa.array(packed[row], pa.binary()))
+
+    return run
+
+
+def _rows(key: np.ndarray, side: int, ids: np.ndarray, packed: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, np.int32)), pa.array(ids), packed], names=["k", "side", "vec_id", "values"])
+
+
 def nearest(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per query of a block: query ids, vector ids and scores of its k best, without itself."""
     for first in range(0, len(ids), 512):
@@ -151,26 +185,20 @@ def _search(k: int):
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, vector (doubles) and norm of the rows that take part."""
+    """vec_id and vector (doubles) of the rows that take part."""
     vector = F.col("embedding").cast("array<double>")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where("vec_id IS NOT NULL AND size(vector) > 0")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return rows.where(F.coalesce(finite, F.lit(False))).withColumn("norm", norm).where("norm > 0")
+    return rows.where(F.coalesce(finite, F.lit(False))).where(F.exists("vector", lambda x: x != 0))
 
 
 def search(scratch: Scratch, vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row of ``queries`` (vec_id, embedding)."""
-    rows, asked = usable(vectors), usable(queries).select("vec_id", "vector")
-    least, largest = rows.agg(F.min("norm"), F.max("norm")).first()
-    rows = rows.select("vec_id", "vector")
-    if largest is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    even = largest - least <= 1e-3 * largest
-    buckets = rows.mapInArrow(_hash(largest, even, 1, None), "k long").groupBy("k").count().collect()
+    rows, asked = usable(vectors), usable(queries)
+    buckets = rows.mapInArrow(_buckets, "k long").groupBy("k").count().collect()
     blocks = {row["k"]: -(-row["count"] // BLOCK) for row in buckets}
     dealt = "k long, side int, vec_id long, values binary"
-    both = rows.mapInArrow(_hash(largest, even, 1, blocks), dealt).union(asked.mapInArrow(_hash(largest, even, PROBES, blocks), dealt))
+    both = rows.mapInArrow(_deal(blocks), dealt).union(asked.mapInArrow(_probe(blocks, PROBES), dealt))
     pairs = both.repartition("k").sortWithinPartitions("k", "side").mapInArrow(_search(k), NEAR)
     found = scratch.keep(ranked(pairs, k), "found")
     total = rows.select("vec_id").distinct().count()
