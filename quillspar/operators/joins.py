@@ -193,11 +193,21 @@ def f12_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')) WHERE trim(b.text) <> '' GROUP BY 1""",
 )
 def f16_evidence_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes are few (their number is bounded by the caller), so they are broadcast; documents are scanned once."""
+    return quoted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def quoted(documents: DataFrame, quotes: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """How many documents hold each quote, white space aside.
+
+    Quotes are broadcast in slices whose size is checked: the documents are scanned once for every ``limit`` bytes of quotes.
+    """
     plain = lambda c: F.regexp_replace(c, r"\s+", "")
-    quotes = table(spark, sf_dir, "benchmark").where("trim(text) <> ''").select("item_id", plain("text").alias("quote"))
-    bodies = table(spark, sf_dir, "documents").select(plain("text").alias("body"))
-    return bodies.join(F.broadcast(quotes), F.contains("body", "quote")).groupBy("item_id").agg(F.count("*").alias("documents"))
+    quotes = quotes.where("trim(text) <> ''").select("item_id", plain("text").alias("quote"))
+    bodies = documents.select(plain("text").alias("body"))
+    slices = max(1, -(-(quotes.agg(F.sum(F.octet_length("quote"))).first()[0] or 0) // limit))
+    parts = [quotes.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(slices)) == k) for k in range(slices)]
+    found = [bodies.join(F.broadcast(part), F.contains("body", "quote")).groupBy("item_id").agg(F.count("*").alias("documents")) for part in parts]
+    return reduce(DataFrame.unionByName, found).groupBy("item_id").agg(F.sum("documents").alias("documents"))
 
 
 @query("u01_union", "SELECT 'customer' AS kind, c_nationkey AS nation FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier")
@@ -225,10 +235,11 @@ def u04_manifest_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "u05_changes",
-    """WITH o AS (SELECT c_custkey, c_mktsegment AS s FROM customer WHERE c_custkey % 10 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'X' ELSE c_mktsegment END AS s FROM customer WHERE c_custkey % 11 <> 0)
+    """WITH o AS (SELECT c_custkey, c_mktsegment AS s FROM customer WHERE c_acctbal > -500), n AS (SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'X' ELSE c_mktsegment END AS s FROM customer WHERE c_acctbal < 9000)
        SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.s IS NULL THEN 'new' WHEN n.s IS NULL THEN 'removed' WHEN o.s <> n.s THEN 'changed' ELSE 'unchanged' END AS state FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""",
 )
 def u05_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    new = rows.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "X").otherwise(F.col("c_mktsegment"))).where("c_custkey % 11 <> 0")
-    return changes(rows.where("c_custkey % 10 <> 0"), new, "c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    new = rows.withColumn("c_mktsegment", F.when(F.col("c_nationkey") == 7, "X").otherwise(F.col("c_mktsegment"))).where("c_acctbal < 9000")
+    shape = ("c_custkey", "c_mktsegment")
+    return changes(rows.where("c_acctbal > -500").select(*shape), new.select(*shape), "c_custkey")

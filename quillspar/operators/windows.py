@@ -80,13 +80,13 @@ def w03_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w04_route_ranks",
-    """WITH r AS (SELECT event_type AS route, user_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events)
-       SELECT route, user_id, min(rank) AS rank FROM r WHERE user_id % 2 = 0 GROUP BY ALL""",
+    """WITH r AS (SELECT event_type AS route, user_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events)
+       SELECT route, user_id, min(rank) AS rank FROM r WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL""",
 )
 def w04_route_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")).cast("long")
-    ranked = table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), "user_id", rank.alias("rank"))
-    return ranked.where("user_id % 2 = 0").groupBy("route", "user_id").agg(F.min("rank").alias("rank"))
+    ranked = table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), "user_id", "ts", rank.alias("rank"))
+    return ranked.where("ts >= TIMESTAMP_NTZ '2024-01-10'").groupBy("route", "user_id").agg(F.min("rank").alias("rank"))
 
 
 @query(

@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from quillspar.functions import text  # noqa: F401
-from quillspar.operators import dashboard, graph, joins, profile, retrieval, windows  # noqa: F401
+from quillspar.functions import scalars, text  # noqa: F401
+from quillspar.operators import dashboard, graph, joins, knowledge, linkage, profile, retrieval, windows  # noqa: F401
 from quillspar.streaming import incremental  # noqa: F401

@@ -76,24 +76,25 @@ def merge_stream(stream: DataFrame, path: str, key: str, checkpoint: str):
 
 @query(
     "i01_apply_export",
-    """WITH cur AS (SELECT c_custkey AS id, c_mktsegment AS body, 0 AS removed FROM customer WHERE c_custkey % 5 <> 0), new AS (SELECT c_custkey AS id, 'new' AS body FROM customer WHERE c_custkey % 7 = 0),
-       gone AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 11 = 0)
+    """WITH cur AS (SELECT c_custkey AS id, c_mktsegment AS body, 0 AS removed FROM customer WHERE c_acctbal > 0), new AS (SELECT c_custkey AS id, 'new' AS body FROM customer WHERE c_nationkey = 7),
+       gone AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey = 11)
        SELECT id, body, CASE WHEN id IN (SELECT id FROM gone) THEN 1 ELSE removed END::INT AS removed FROM cur WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT id, body, 0 FROM new""",
 )
 def i01_apply_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("body"))
-    current = rows.where("id % 5 <> 0").withColumn("removed", F.lit(0))
-    return apply_export(current, rows.where("id % 7 = 0").withColumn("body", F.lit("new")), "id", rows.where("id % 11 = 0").select("id"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("body"), "c_acctbal", "c_nationkey")
+    current = rows.where("c_acctbal > 0").select("id", "body", F.lit(0).alias("removed"))
+    sent = rows.where("c_nationkey = 7").select("id", F.lit("new").alias("body"))
+    return apply_export(current, sent, "id", rows.where("c_nationkey = 11").select("id"))
 
 
 @query(
     "i02_upsert",
-    "SELECT coalesce(a.id, b.id) AS id, coalesce(b.body, a.body) AS body FROM (SELECT p_partkey AS id, p_brand AS body FROM part WHERE p_partkey % 2 = 0) a FULL JOIN (SELECT p_partkey AS id, p_type AS body FROM part WHERE p_partkey % 3 = 0) b ON a.id = b.id",
+    "SELECT coalesce(a.id, b.id) AS id, coalesce(b.body, a.body) AS body FROM (SELECT p_partkey AS id, p_brand AS body FROM part WHERE p_size > 10) a FULL JOIN (SELECT p_partkey AS id, p_type AS body FROM part WHERE p_size < 20) b ON a.id = b.id",
 )
 def i02_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    index = parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("body"))
-    return upsert(index, parts.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("body")), "id", "body")
+    index = parts.where("p_size > 10").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("body"))
+    return upsert(index, parts.where("p_size < 20").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("body")), "id", "body")
 
 
 @query("i03_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
