@@ -9,6 +9,11 @@ from quillspar.registry import query
 from quillspar.sources.tables import table
 
 
+#: Names to look for; an alternation takes the first that fits, so longer ones stand first.
+NAMES = ("license", "licensed", "token", "password", "secret", "with", "without", "from")
+MENTIONS = "|".join(sorted(NAMES, key=lambda name: (-len(name), name)))
+
+
 def terms(text: Column) -> Column:
     """Distinct search terms: runs of a-z and digits first, then Han runs as pairs of neighbours (a single sign stays)."""
     low = F.lower(text)
