@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspar.registry import query
@@ -74,6 +74,83 @@ def merge_stream(stream: DataFrame, path: str, key: str, checkpoint: str):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def watch(spark: SparkSession, folder: str, schema: str, suffix: str = "*.json") -> DataFrame:
+    """A stream of a folder's files, ten a pass at most; a changed file comes as a new row with its path and time."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).option("pathGlobFilter", suffix).json(folder)
+    return stream.select("*", "_metadata.file_path", "_metadata.file_modification_time")
+
+
+def cached(requests: DataFrame, cache: DataFrame, now: Column, ready: str = "INTERVAL '7' DAY", failed: str = "INTERVAL '300' SECOND") -> DataFrame:
+    """Requests (url) with the state of their cache entry (url, ok, fetched): hit while it is young enough, else fetch; an old good one may serve on error."""
+    age = now - F.col("fetched")
+    young = F.when(F.col("ok"), age < F.expr(ready)).otherwise(age < F.expr(failed))
+    state = F.when(F.col("fetched").isNull(), "fetch").when(young, "hit").when(F.col("ok"), "refresh").otherwise("fetch")
+    return requests.join(cache, "url", "left").select("url", state.alias("state"))
+
+
+def changed_since(rows: DataFrame, done: DataFrame, key: str, body: str) -> DataFrame:
+    """Rows that are new or whose content hash differs from the one recorded as done (key, hash)."""
+    hashed = rows.withColumn("hash", F.sha2(body, 256))
+    return hashed.join(done.select(key, "hash"), [key, "hash"], "left_anti")
+
+
+def with_history(turns: DataFrame, least: int = 6) -> DataFrame:
+    """Questions of fewer than ``least`` words get the conversation's last question before them in front."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.lag("text").over(order)
+    short = F.size(F.split(F.trim("text"), r"\s+")) < least
+    return turns.select("conv_id", "turn", F.when(short & before.isNotNull(), F.concat(before, F.lit("\n"), F.col("text"))).otherwise(F.col("text")).alias("question"))
+
+
+@query(
+    "i08_changed_since",
+    "SELECT doc_id FROM documents WHERE NOT (lang = 'en' AND n_chars > 1000)",
+)
+def i08_changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    body = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.lit("old"))
+    done = docs.where("n_chars > 1000").select("doc_id", F.sha2(body, 256).alias("hash"))
+    return changed_since(docs.select("doc_id", "text"), done, "doc_id", "text").select("doc_id")
+
+
+@query(
+    "i10_history",
+    """SELECT conv_id, turn, md5(CASE WHEN len(string_split_regex(trim(text), '\s+')) < 6 AND b IS NOT NULL THEN b || chr(10) || text ELSE text END) AS digest
+       FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE role = 'user')""",
+)
+def i10_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return with_history(asked).select("conv_id", "turn", F.md5("question").alias("digest"))
+
+
+@query("i12_retry_set", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'P')")
+def i12_retry_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("O", "P")).select("o_orderkey")
+
+
+@query(
+    "i13_cache_states",
+    """WITH c AS (SELECT user_id AS url, arg_max(event_type, event_id) <> 'error' AS ok, max_by(ts, event_id) AS fetched FROM events GROUP BY 1)
+       SELECT c_custkey AS url, CASE WHEN fetched IS NULL THEN 'fetch' WHEN ok AND TIMESTAMP '2024-01-31' - fetched < INTERVAL 7 DAY THEN 'hit' WHEN NOT ok AND TIMESTAMP '2024-01-31' - fetched < INTERVAL 300 SECOND THEN 'hit' WHEN ok THEN 'refresh' ELSE 'fetch' END AS state
+       FROM customer LEFT JOIN c ON c_custkey = url""",
+)
+def i13_cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    cache = events.groupBy(F.col("user_id").alias("url")).agg((F.max_by("event_type", "event_id") != "error").alias("ok"), F.max_by("ts", "event_id").alias("fetched"))
+    return cached(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url")), cache, F.lit("2024-01-31").cast("timestamp_ntz"))
+
+
+@query(
+    "i14_insert_ignore",
+    "SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 THEN 'old' ELSE 'queued' END AS state FROM customer",
+)
+def i14_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    old = rows.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.lit("old").alias("state"))
+    new = rows.select(F.col("c_custkey").alias("id"), F.lit("queued").alias("state"))
+    return old.unionByName(resume(new, old, "id"))
+
+
 @query(
     "i01_apply_export",
     """WITH cur AS (SELECT c_custkey AS id, c_mktsegment AS body, 0 AS removed FROM customer WHERE c_acctbal > 0), new AS (SELECT c_custkey AS id, 'new' AS body FROM customer WHERE c_nationkey = 7),
@@ -116,21 +193,21 @@ def i05_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "i12_tumbling",
+    "p7_tumbling_windows",
     """SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
 )
-def i12_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tumbling(table(spark, sf_dir, "events"), "6 hours", "1 day")
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query(
-    "i13_sessions",
+    "p7_session_windows",
     """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events),
        s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
        SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""",
 )
-def i13_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = timed.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
