@@ -115,7 +115,7 @@ def i08_changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "i10_history",
-    """SELECT conv_id, turn, md5(CASE WHEN len(string_split_regex(trim(text), '\s+')) < 6 AND b IS NOT NULL THEN b || chr(10) || text ELSE text END) AS digest
+    """SELECT conv_id, turn, md5(CASE WHEN len(string_split_regex(trim(text), '\\s+')) < 6 AND b IS NOT NULL THEN b || chr(10) || text ELSE text END) AS digest
        FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE role = 'user')""",
 )
 def i10_history(spark: SparkSession, sf_dir: str) -> DataFrame:
