@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
 from quillspar.functions import parsing, scalars, text  # noqa: F401
-from quillspar.operators import dashboard, evidence, facts, graph, joins, knowledge, linkage, profile, retrieval, windows  # noqa: F401
+from quillspar.operators import dashboard, evidence, facts, graph, joins, knowledge, linkage, profile, retrieval, routes, windows  # noqa: F401
 from quillspar.sources import files  # noqa: F401
 from quillspar.streaming import incremental  # noqa: F401

@@ -181,12 +181,12 @@ def i03_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "i05_leases",
+    "i06_leases",
     """WITH l AS (SELECT user_id AS job, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'fail' ELSE 'lease' END AS action, ts + INTERVAL 10 DAY AS until FROM events),
        r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq DESC) AS r FROM l)
        SELECT job, CASE WHEN action = 'done' THEN 'done' WHEN action = 'lease' AND until > TIMESTAMP '2024-01-25' THEN 'leased' ELSE 'queued' END AS state FROM r WHERE r = 1""",
 )
-def i05_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def i06_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     action = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail").otherwise("lease")
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("ts") + F.expr("INTERVAL '10' DAY")).alias("until"))
     return leases(log, F.lit("2024-01-25").cast("timestamp_ntz"))
