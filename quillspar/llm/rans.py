@@ -81,7 +81,7 @@ def encode(tokens: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np
 
 
 def decode(n: int, state: np.ndarray, counts: np.ndarray, words: np.ndarray, table: Table) -> np.ndarray:
-    """The ``n`` tokens of a run, from what ``encode`` returned."""
+    """The ``n`` tokens of a run, from what ``encode`` returned; ValueError if the states do not run out."""
     blocks = len(state)
     out = np.zeros((blocks, STEPS, LANES), np.uint32)
     left = n - np.arange(blocks)[:, None] * BLOCK - np.arange(LANES)[None, :]
@@ -101,4 +101,6 @@ def decode(n: int, state: np.ndarray, counts: np.ndarray, words: np.ndarray, tab
         place = np.minimum(at[:, None] + np.cumsum(need, axis=1) - 1, len(words) - 1)
         state = np.where(need, (state << _WORD) | words[place].astype(np.uint64), state)
         at = at + need.sum(axis=1)
+    if (state != LOW).any():
+        raise ValueError("a lane does not end where its coder began: the words are damaged")
     return out.reshape(-1)[:n]

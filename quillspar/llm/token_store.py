@@ -41,6 +41,18 @@ FRAME, VOCABULARY, END_ID = 1 << 18, 1 << 16, 2
 MAGIC, HEAD = b"QSR1", struct.Struct("<4sIIQII")
 _AFTER_LETTER = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
 _MARK = "\n"
+#: Words of lower-case letters that no normal form changes; the tokenizer's pattern takes each as one run.
+_PLAIN_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that byte-level tokenizers write for each byte: itself where printable, else from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return dict(zip(hidden, range(256, 256 + len(hidden)), strict=True))
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 class Encoder:
@@ -52,7 +64,7 @@ class Encoder:
     tokenizer whole.
     """
 
-    def __init__(self, source: str, limit: int = 400_000) -> None:
+    def __init__(self, source: str, limit: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,6 +90,21 @@ class Encoder:
         self.used += total
         self.place.update(zip(words, range(count, count + len(words)), strict=True))
 
+    def ids(self, words: list[str]) -> list[list[int]]:
+        """The tokenizer's ids. Plain words go to its model, as its byte-level step would hand them over."""
+        tokenize, out, rest = self.tokenizer.model.tokenize, [], []
+        for word in words:
+            if word.isalpha() and (word.isascii() or _PLAIN_WORD.fullmatch(word)):
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                out.append([token.id for token in tokenize(shown)])
+            else:
+                rest.append(len(out))
+                out.append([])
+        found = self.tokenizer.encode_batch_fast([words[at] for at in rest], add_special_tokens=False)
+        for at, each in zip(rest, found, strict=True):
+            out[at] = each.ids
+        return out
+
     def words(self, text: str) -> list[str]:
         if "<|" in text:
             return [text]
@@ -96,7 +123,7 @@ class Encoder:
             self.clear()
         new = list(set(said).difference(self.place))
         if new:
-            self.add(new, [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)])
+            self.add(new, self.ids(new))
         places = np.fromiter(map(self.place.__getitem__, said), np.int64, len(said))
         sizes = self.size[places]
         ends = np.cumsum(sizes)
