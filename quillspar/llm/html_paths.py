@@ -13,6 +13,9 @@ give the content area: the deepest prefix under which ``AREA`` of all fused text
 lies. Paths inside it are content unless links make up most of their text;
 paths elsewhere are content if their value reaches ``OUTSIDE`` of the best.
 
+Where names would leave nothing of a page, as on a page whose outermost element
+is called a banner, they are not heeded.
+
 Defined results: null, empty and tag-only pages give an empty text; repeated
 rows give repeated rows; an unclosed comment or script runs to the end of the
 page; character references are decoded as HTML5 does, without a semicolon too;
@@ -39,7 +42,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template svg math iframe object textarea select canvas video audio noframes title"
 SKIPPED = frozenset("head nav footer header aside form button dialog menu fieldset".split())
-ALWAYS = frozenset("html body main article".split())
+ROOTS = frozenset("html body".split())
+#: Of these, only such names make boilerplate: their classes often tell of the layout around them.
+AREAS, AREA_NAMED = frozenset("main article".split()), frozenset("comment comments related ad ads advert sponsored promo".split())
 #: Elements that a start tag closes, if one of them is open inside the nearest block of another kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of ids, classes and roles that mark boilerplate.
@@ -49,6 +54,9 @@ NAMED = frozenset(
     "share sharing social related recommended recommendations pagination pager widget toolbar search hidden complementary contentinfo alert skip".split()
 )
 
+#: So begin further such words.
+NAMED_STARTS = ("advert", "adsby", "sponsor", "cookie", "breadcrumb", "newsletter", "sidebar", "commentlist")
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({RAW.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -59,6 +67,8 @@ TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""(id|class|role|style|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.IGNORECASE)
+#: Classes that tell of an element elsewhere, such as no-sidebar.
+_ELSEWHERE = re.compile(r"(?<![a-z0-9])(?:no|has|with|without|non)[-_][a-z0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
@@ -73,22 +83,24 @@ class Block:
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
     """The element's label in a path, and whether its attributes mark boilerplate."""
     label, named = tag, False
+    marks = AREA_NAMED if tag in AREAS else NAMED
     if attributes.strip(" /\n\t"):
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
             if name in ("id", "class", "role"):
-                named |= bool(NAMED.intersection(re.split(r"[^a-z0-9]+", value)))
+                words = re.split(r"[^a-z0-9]+", _ELSEWHERE.sub("", value))
+                named |= bool(marks.intersection(words)) or tag not in AREAS and any(word.startswith(NAMED_STARTS) for word in words)
                 if name != "role" and value:
                     label += f".{value.split()[0]}" if value.split() else ""
             elif name == "style":
                 named |= "display:none" in value.replace(" ", "")
             else:
                 named |= name == "hidden" or value == "true"
-    return label, named and tag not in ALWAYS
+    return label, named and tag not in ROOTS
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks with text, in page order, without boilerplate elements."""
+def blocks_of(page: str, by_name: bool = True) -> list[Block]:
+    """The page's blocks with text, in page order, without boilerplate elements; names count only if ``by_name``."""
     stack: list[tuple[str, str, bool]] = []  # tag, label, skipped
     found: list[Block] = []
     block: Block | None = None
@@ -126,7 +138,7 @@ def blocks_of(page: str) -> list[Block]:
                 block.parts.append(" ")
             continue
         if tag in INLINE:
-            if not ending and not (stack and stack[-1][2]) and _label(tag, attributes)[1]:
+            if not ending and by_name and not (stack and stack[-1][2]) and _label(tag, attributes)[1]:
                 stack.append((tag, tag, True))
             elif ending and stack and stack[-1][0] == tag:
                 stack.pop()
@@ -135,6 +147,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if ending:
+            links = 0  # a link that was left open ends with its block
             if any(tag == open_tag for open_tag, _, _ in stack):
                 close({tag})
             continue
@@ -147,7 +160,7 @@ def blocks_of(page: str) -> list[Block]:
         if stack and stack[-1][0] == "p":
             stack.pop()
         label, named = _label(tag, attributes)
-        skipped = bool(stack and stack[-1][2]) or tag in SKIPPED or named
+        skipped = bool(stack and stack[-1][2]) or tag in SKIPPED or named and by_name
         stack.append((tag, label, skipped))
     for block in found:
         block.text = " ".join("".join(block.parts).split())
@@ -190,7 +203,8 @@ def select(blocks: list[Block]) -> list[Block]:
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(block.text for block in select(blocks_of(page or "")))
+    page = page or ""
+    return "\n".join(block.text for block in select(blocks_of(page) or blocks_of(page, by_name=False)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -23,6 +23,13 @@ def test_divisions_without_semantic_tags():
     assert main_text(page).split("\n") == [f"Paragraph number {k}, with some words, and a stop." for k in range(5)]
 
 
+def test_names_of_the_layout_are_not_boilerplate():
+    text = "<p>One sentence, and more.</p><p>Another one, with words.</p>"
+    assert main_text(f"<body class=has-sidebar><div class='wrap no-sidebar'><main class='with-sidebar header-fixed'>{text}</main></div><div class=sidebar>Side.</div>") == "One sentence, and more.\nAnother one, with words."
+    assert main_text(f"<div class=banner>{text}</div>") == "One sentence, and more.\nAnother one, with words."
+    assert main_text(f"<article>{text}</article><article class='comment'><p>First, I say, first!</p></article>") == "One sentence, and more.\nAnother one, with words."
+
+
 def test_odd_pages():
     assert [main_text(p) for p in (None, "", "<p>", "<!-- never closed", "<script>x")] == [""] * 5
     assert main_text("just text &lt; here") == "just text < here"
