@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspar.functions.text import terms
+from quillspar.operators.graph import checkpointed
 from quillspar.operators.windows import cap_per_key
 from quillspar.registry import query
 from quillspar.sources.tables import table
@@ -35,6 +36,15 @@ def bm25(index: DataFrame, question: list[str], n_docs: int, average: float) ->
     return hits.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(weight).alias("score"))
 
 
+def search(documents: DataFrame, question: list[str]) -> DataFrame:
+    """BM25 over texts that have no index yet: each is cut into terms once, and only the question's are kept."""
+    wanted = list(dict.fromkeys(question))[:MAX_TERMS]
+    found = documents.select("doc_id", terms(F.col("text")).alias("t"))
+    rows = checkpointed(found.select("doc_id", F.size("t").cast("long").alias("dl"), F.array_intersect("t", F.array(*map(F.lit, wanted))).alias("hits")))
+    n_docs, average = rows.agg(F.count("*"), F.avg("dl")).first()
+    return bm25(rows.select("doc_id", "dl", F.explode("hits").alias("term")), wanted, n_docs, average)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -104,9 +114,7 @@ _QUESTION = ("license", "with", "this", "password", "token", "the")
         FROM h JOIN f USING (term), s GROUP BY doc_id) ORDER BY round(score, 6) DESC, doc_id LIMIT 20""",
 )
 def k02_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sizes = docs.select(F.size(terms(F.col("text"))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    scored = bm25(postings(docs), list(_QUESTION), sizes[0], sizes[1])
+    scored = search(table(spark, sf_dir, "documents"), list(_QUESTION))
     return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
