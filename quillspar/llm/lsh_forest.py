@@ -7,9 +7,11 @@ copies, however many, cost one row.
 Every class has ``HASHES`` minima. A tree of the forest is one order of them;
 classes whose signatures start with the same ``DEPTH`` values in a tree share a
 region of its sorted order. Where a region holds more than ``REGION`` classes,
-the prefix grows by steps until it does not (at the full depth, rows are dealt
-into regions of that size); the other trees, cut elsewhere, still join what one
-tree parts. Inside a region classes are neighbours if their signatures agree in
+it is cut in two ways: the prefix grows by steps until it does not, and classes
+are dealt, differently in every tree, into parts of ``PART``. What these cuts
+leave in different components is then compared across them: a region still in
+several components is laid out in blocks, and every two blocks that are not of
+one component meet. So the cuts lose no link. Inside a region classes are neighbours if their signatures agree in
 ``AGREE`` of the places or more, and the strongest agreements that hold the
 region together (a maximum spanning forest) are kept: fewer edges than classes.
 
@@ -45,7 +47,7 @@ from quillspar.llm.shingles import shingle_hashes, word_hashes
 
 WORDS, SIMILAR = 5, 75
 TREES, DEPTH, HASHES = 32, 4, 128
-REGION, AGREE = 2048, 0.62
+REGION, PART, AGREE = 2048, 256, 0.62
 TILE_CLASSES, TILE_HASHES = 1000, 1_500_000
 
 _SEEDS = np.random.default_rng(20).integers(1, 2**32, (2, HASHES), dtype=np.uint32)
@@ -131,23 +133,26 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
 
-def regions(scratch: Scratch, classes: DataFrame) -> DataFrame:
-    """(k, doc_id): regions with more than one class, of REGION classes at most, each set of classes once."""
+def regions(scratch: Scratch, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(k, doc_id) of regions and parts of regions with more than one class, of REGION classes at most; the regions that were cut."""
     rows = scratch.keep(classes.mapInArrow(_keys(DEPTH), "k long, doc_id long"), "keys")
-    depth, out = DEPTH, None
+    depth, out, cut = DEPTH, None, None
     while True:
         counted = rows.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h")).where("n > 1")
         found = scratch.keep(counted, f"regions-{depth}")
         # Trees that cut out the same classes give the same neighbours; one will do.
-        once = found.where(F.col("n") <= REGION).groupBy("n", "h").agg(F.min("k").alias("k")).select("k")
-        small = rows.join(once.hint("merge"), "k")
+        once = found.groupBy("n", "h").agg(F.min("k").alias("k"))
+        small = rows.join(once.where(F.col("n") <= REGION).select("k").hint("merge"), "k")
         out = small if out is None else out.union(small)
         large = rows.join(found.where(F.col("n") > REGION).select("k", "n").hint("merge"), "k")
         if large.isEmpty():
-            return out
+            return out, cut
+        if depth == DEPTH:
+            cut = scratch.keep(rows.join(once.where(F.col("n") > REGION).select("k").hint("merge"), "k"), "cut")
+            part = F.pmod(F.xxhash64("doc_id", "k"), F.ceil(F.col("n") / PART))
+            out = out.union(large.select(F.xxhash64("k", part).alias("k"), "doc_id"))
         if depth == HASHES:
-            part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / REGION))
-            return out.union(large.select(F.xxhash64("k", part).alias("k"), "doc_id"))
+            return out, cut
         # The hot regions' classes are cut anew by a longer prefix of the same tree.
         depth = min(2 * depth, HASHES)
         hot = large.select("doc_id", F.pmod("k", F.lit(64)).alias("tree")).distinct()
@@ -156,6 +161,24 @@ def regions(scratch: Scratch, classes: DataFrame) -> DataFrame:
         rows = scratch.keep(again.select("k", "doc_id"), f"keys-{depth}")
 
 
+def across(scratch: Scratch, cut: DataFrame, soft: DataFrame) -> DataFrame:
+    """(k, doc_id): tiles of about REGION classes in which all classes of a cut region meet that are in different components ``soft``."""
+    half = REGION // 2
+    rows = cut.join(soft.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("k", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    rows = scratch.keep(rows, "cut-components")
+    sizes = scratch.keep(rows.groupBy("k", "c").agg(F.count("*").alias("n")), "cut-sizes")
+    apart = sizes.groupBy("k").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("n") <= half, F.col("n"))).alias("rest")).where("parts > 1")
+    # Large components have blocks of their own; the others share blocks.
+    own = F.when(F.col("n") > half, F.col("c"))
+    deal = sizes.join(apart.hint("merge"), "k").select("k", "c", own.alias("own"), F.ceil(F.when(F.col("n") > half, F.col("n")).otherwise(F.col("rest")) / half).alias("blocks"))
+    placed = rows.join(deal.hint("merge"), ["k", "c"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    placed = scratch.keep(placed.select("k", "own", F.xxhash64("k", F.col("own").isNull(), F.coalesce("own", F.lit(0)), "part").alias("block"), "doc_id"), "cut-blocks")
+    blocks = placed.select("k", "own", "block").distinct()
+    pairs = blocks.join(blocks.select("k", F.col("own").alias("own_b"), F.col("block").alias("b")).hint("merge"), "k").where("block <= b AND (own IS NULL OR own_b IS NULL OR own <> own_b)")
+    ends = pairs.select(F.xxhash64("k", "block", "b").alias("tile"), F.explode(F.array_distinct(F.array("block", "b"))).alias("block"))
+    return placed.select("block", "doc_id").join(ends.hint("merge"), "block").select(F.col("tile").alias("k"), "doc_id")
+
+
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Minima to 16 bits each, which is enough to count agreements."""
     for batch in batches:
@@ -271,9 +294,16 @@ def near_duplicates(scratch: Scratch, documents: DataFrame) -> DataFrame:
     classes = whole.join(least.select("digest", "least"), [whole["digest"] == least["digest"], whole["doc_id"] == least["least"]], "left_semi")
     classes = scratch.keep(classes.dropDuplicates(["doc_id", "digest"]), "classes")
     narrow = classes.select("doc_id", "signature").mapInArrow(_narrow, "doc_id long, signature binary")
-    near = regions(scratch, classes).join(narrow.hint("merge"), "doc_id")
-    edges = near.select("k", "doc_id", "signature").repartition("k").sortWithinPartitions("k").mapInArrow(_neighbours, "a long, b long")
-    soft = scratch.keep(components(scratch, edges, "soft"), "soft")
+
+    def neighbours(placed: DataFrame) -> DataFrame:
+        near = placed.join(narrow.hint("merge"), "doc_id").select("k", "doc_id", "signature")
+        return near.repartition("k").sortWithinPartitions("k").mapInArrow(_neighbours, "a long, b long")
+
+    whole_regions, cut = regions(scratch, classes)
+    soft = scratch.keep(components(scratch, neighbours(whole_regions), "soft"), "soft")
+    if cut is not None:
+        edges = soft.select(F.col("node").alias("a"), F.col("component").alias("b")).union(neighbours(across(scratch, cut, soft)))
+        soft = scratch.keep(components(scratch, edges, "soft-all"), "soft-all-nodes")
     found = scratch.keep(confirmed(scratch, texts, classes, soft), "links")
     # Rows of one doc_id with different sets are one document: their classes are linked too.
     same = whole.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("doc_id")

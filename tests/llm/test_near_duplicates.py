@@ -91,3 +91,35 @@ def test_signatures_estimate_similarity(share):
         cut = int(1000 * (1 - share) / 2)
         off += (lsh_forest.minima(both[: 1000 - cut]) == lsh_forest.minima(both[cut:])).mean() - (1000 - 2 * cut) / 1000
     assert abs(off / 30) < 0.03
+
+
+def test_thousands_of_variants_of_one_text(spark, monkeypatch):
+    """Every region holds more classes than REGION; its cuts must not part them."""
+    monkeypatch.setattr(lsh_forest, "REGION", 64)
+    monkeypatch.setattr(lsh_forest, "PART", 8, raising=False)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(n, " ".join(base[:k] + [f"v{n}"] + base[k + 1 :])) for n, k in enumerate(rng.choices(range(400), k=2000))]
+    # Farther copies (similarity 0.77 to the base) that few longer prefixes share with the rest.
+    rows += [(5000 + n, " ".join(f"far{n}" if k % 40 == n % 40 else w for k, w in enumerate(base))) for n in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(Scratch(spark, "t"), docs).collect()}
+    assert set(got.values()) == {0}
+
+
+def test_cut_regions_keep_all_agreeing_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "REGION", 16)
+    rng = np.random.default_rng(5)
+    # One region: equal first minima, and 60 pairs that agree in 0.7 of the places and with nothing else.
+    signatures = rng.integers(0, 2**32, (120, lsh_forest.HASHES), dtype=np.uint32)
+    signatures[1::2, :90] = signatures[::2, :90]
+    cut = spark.createDataFrame([(1, n) for n in range(120)], "k long, doc_id long")
+    none = spark.createDataFrame([(n, 1) for n in range(1, 40, 2)], "node long, component long")
+    tiles = {}
+    for r in lsh_forest.across(Scratch(spark, "t"), cut, none).collect():
+        tiles.setdefault(r.k, []).append(r.doc_id)
+    found = set()
+    for docs in tiles.values():
+        found |= {tuple(sorted((docs[a], docs[b]))) for a, b in lsh_forest.spanning(signatures[docs])}
+    assert found == {(n, n + 1) for n in range(0, 120, 2)}
+    assert max(map(len, tiles.values())) < 40
