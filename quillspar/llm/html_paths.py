@@ -10,8 +10,10 @@ and fused by multiplication into one value a path.
 
 The path that holds most of the fused text and its closest common ancestors
 give the content area: the deepest prefix under which ``AREA`` of all fused text
-lies. Paths inside it are content unless links make up most of their text;
-paths elsewhere are content if their value reaches ``OUTSIDE`` of the best.
+lies, and then the article (or main, or outermost section) around it; without
+one, the nearest container. Inside it all is content but paths of several blocks
+that are mostly links; headings are content there and beside its ancestors.
+Paths elsewhere are content if their value reaches ``OUTSIDE`` of the best.
 
 Where names would leave nothing of a page, as on a page whose outermost element
 is called a banner, they are not heeded.
@@ -45,6 +47,7 @@ SKIPPED = frozenset("head nav footer header aside form button dialog menu fields
 ROOTS = frozenset("html body".split())
 #: Of these, only such names make boilerplate: their classes often tell of the layout around them.
 AREAS, AREA_NAMED = frozenset("main article".split()), frozenset("comment comments related ad ads advert sponsored promo".split())
+CONTAINERS, HEADINGS = frozenset("article main section div td body".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag closes, if one of them is open inside the nearest block of another kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of ids, classes and roles that mark boilerplate.
@@ -174,6 +177,23 @@ def smooth(values: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarra
     return total / np.convolve(np.ones(len(values)), kernel)[radius : radius + len(values)]
 
 
+def _tag(label: str) -> str:
+    return label.split(".")[0]
+
+
+def around(area: tuple[str, ...]) -> tuple[str, ...]:
+    """The nearest article around the area, or else main, or the outermost section, or the nearest container."""
+    tags = [_tag(label) for label in area]
+    for tag in ("article", "main"):
+        if tag in tags:
+            return area[: len(tags) - tags[::-1].index(tag)]
+    if "section" in tags:
+        return area[: tags.index("section") + 1]
+    while area and _tag(area[-1]) not in CONTAINERS:
+        area = area[:-1]
+    return area
+
+
 def select(blocks: list[Block]) -> list[Block]:
     """The content blocks, chosen by the fused ratios of their paths."""
     if not blocks:
@@ -193,10 +213,11 @@ def select(blocks: list[Block]) -> list[Block]:
     area: tuple[str, ...] = paths[int(np.argmax(mass))]
     while area and sum(mass[k] for k, path in enumerate(paths) if path[: len(area)] == area) < AREA * mass.sum():
         area = area[:-1]
-    if area and area[-1].split(".")[0] not in ("article", "main", "section", "div", "td", "body"):
-        area = area[:-1]
+    area = around(area)
     inside = np.array([path[: len(area)] == area for path in paths])
-    keep = np.where(inside, linked <= LINKS, (value >= OUTSIDE * value.max()) & (linked <= 0.3))
+    heading = np.array([bool(path) and _tag(path[-1]) in HEADINGS for path in paths])
+    beside = heading & np.array([path[:-1] == area[: len(path) - 1] for path in paths])
+    keep = np.where(inside, (linked <= LINKS) | (count == 1) | heading, beside | (value >= OUTSIDE * value.max()) & (linked <= 0.3))
     if not keep.any():
         keep = value >= value.max()
     return [block for block, k in zip(blocks, at, strict=True) if keep[k]]

@@ -72,3 +72,18 @@ def test_query_digests(spark, small):
     assert row.n_turns == 2 and row.loss_chars == len(said)
     assert row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_whole_articles():
+    long = "This is a sentence of the article, and it says enough to weigh. " * 6
+    nested = f"<body><article><h1>Title</h1><div class=body><p>{long}</p><p>{long}</p></div></article></body>"
+    assert main_text(nested).split("\n")[0] == "Title"
+    items = "".join(f"<li>{long}</li>" for _ in range(6))
+    listed = f"<body><article><h1>Title</h1><p>Short lead.</p><h2>Part</h2><ul>{items}</ul><p>End.</p></article></body>"
+    assert [line for line in main_text(listed).split("\n") if len(line) < 20] == ["Title", "Short lead.", "Part", "End."]
+    deep = f"<body><div><h2>Part</h2><blockquote><ul>{items}</ul></blockquote></div></body>"
+    assert main_text(deep).startswith("Part\n")
+    linked = f"<body><article><h2><a href=x>One</a></h2><p>{long}</p><h2><a href=y>Two</a></h2><p>{long}</p></article></body>"
+    assert [line for line in main_text(linked).split("\n") if len(line) < 20] == ["One", "Two"]
+    beside = f"<body><div><h1>Title</h1><div class=text><p>{long}</p><p>{long}</p></div></div><div class=other><ul><li><a>x</a></li><li><a>y</a></li></ul></div></body>"
+    assert main_text(beside).split("\n")[0] == "Title" and "x" not in main_text(beside).split("\n")
