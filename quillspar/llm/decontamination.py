@@ -5,9 +5,10 @@ benchmark item of m words every window of m consecutive words of a document is
 a candidate place. Its fingerprint has BITS bits; bit b is the majority of bit
 b in the hashes of its words. Windows are looked up in BLOCKS tables of one
 block of bits each: a fingerprint within RADIUS of an item's differs from it by
-one bit at most in at least one block, as BLOCKS * 2 > RADIUS, so the tables
-hold, for every item, the values within one bit of its block, and no
-fingerprint within the radius is missed. Windows found are compared exactly: the
+two bits at most in at least one block, as BLOCKS * 3 > RADIUS, so the tables
+hold, for every item, the values within two bits of its block, and no
+fingerprint within the radius is missed. The fingerprint is a filter with a
+recall of its own: a similar window can lie outside the radius (see README). Windows found are compared exactly: the
 similarity is the sum of the smaller over the sum of the larger weights of the
 shingles of five words, a shingle's weight being its number of occurrences.
 
@@ -39,7 +40,7 @@ from quillspar.llm.common import small_batches, table
 from quillspar.llm.shingles import shingle_hashes, word_hashes
 
 WORDS, SIMILAR = 5, 0.75
-BITS, BLOCKS, RADIUS = 64, 8, 15
+BITS, BLOCKS, RADIUS = 64, 8, 23
 SLICE, FILTER_BITS, STRETCH = 16 << 20, 22, 20_000
 
 _PLAIN = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
@@ -78,11 +79,11 @@ class Length:
 
     @classmethod
     def of(cls, items: list[int], prints: list[int]) -> Length:
-        """near[block, value, item]: the item's block is within one bit of the value."""
+        """near[block, value, item]: the item's block is within two bits of the value."""
         prints_ = np.array(prints, "<u8")
         parts = prints_.view(np.uint8).reshape(-1, BLOCKS)
         distance = np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :, None] ^ parts.T[:, None, :])
-        return cls(np.array(items), prints_, distance <= 1)
+        return cls(np.array(items), prints_, distance <= 2)
 
     def lookup(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of all pairs within the radius."""

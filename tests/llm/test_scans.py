@@ -117,6 +117,22 @@ def test_passages_against_all_windows(spark, monkeypatch):
     assert decontamination.find_passages(frame, benchmark.limit(0)).count() == 0
 
 
+def test_passages_at_the_threshold_are_within_the_radius():
+    rng = np.random.default_rng(11)
+    similar = found = 0
+    for size in (32, 60, 102):
+        for _ in range(400):
+            item = [f"w{k}" for k in rng.integers(0, 10**9, size)]
+            cut = (size - 4) // 7
+            window = item[: size - cut] + [f"v{k}" for k in rng.integers(0, 10**9, cut)]
+            shared, all_ = size - 4 - cut, size - 4 + cut
+            if shared < 0.75 * all_:
+                continue
+            similar += 1
+            found += bool(decontamination.Index([(1, " ".join(item))]).matches(decontamination.words_of(" ".join(window))[1]))
+    assert similar == 1200 and found >= 0.999 * similar
+
+
 def test_blocks_find_all_prints_within_the_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 2**63, 50, dtype=np.uint64)
