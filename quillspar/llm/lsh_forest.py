@@ -5,19 +5,23 @@ the same set form one class and travel on as its smallest doc_id, so exact
 copies, however many, cost one row.
 
 Every class has ``HASHES`` minima. A tree of the forest is one order of them;
-classes whose signatures start with the same ``DEPTH`` values in a tree share a
-region of its sorted order. Where a region holds more than ``REGION`` classes,
-it is cut in two ways: the prefix grows by steps until it does not, and classes
-are dealt, differently in every tree, into parts of ``PART``. What these cuts
-leave in different components is then compared across them: a region still in
-several components is laid out in blocks, and every two blocks that are not of
-one component meet. So the cuts lose no link. Inside a region classes are neighbours if their signatures agree in
+all classes are sorted by their minima in every tree's order, by a range
+shuffle that also parts long runs of equal signatures. In a sorted order,
+neighbours whose longest common prefix has ``DEPTH`` values or more are
+candidates; the longest runs of such neighbours are regions. A region of more
+than ``REGION`` classes is cut where the common prefix of two neighbours is
+shortest, so the depth grows only where classes are dense; the parts overlap by
+one neighbour. Inside a part classes are joined if their signatures agree in
 ``AGREE`` of the places or more, and the strongest agreements that hold the
-region together (a maximum spanning forest) are kept: fewer edges than classes.
-
-The components of these edges hold every pair that may be similar enough. In
-each, full sets are compared exactly, every class with every other, in tiles of
-bounded size; a tile returns links that join its classes, never all its pairs.
+part together (a maximum spanning forest) are kept: fewer edges than classes.
+What is then still apart in a region that was cut, by its size or by the border
+of a partition, is compared across the cuts, block by block, so cuts lose no
+candidate.
+
+The components of these edges hold every pair that may be similar enough. Full
+sets are compared exactly, first inside tiles of bounded size that all hold the
+component's representative, then, only where a component is not yet one, across
+tiles. A tile returns links that join its classes, never all its pairs.
 Components of these links are the result. A pair at the threshold is missed by
 all ``TREES`` trees with probability 5e-6, and by the agreement filter with
 3e-4, if nothing else links it.
@@ -38,16 +42,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspar.llm.common import Scratch, fixed_width, runs, small_batches, table
 from quillspar.llm.components import components
-from quillspar.llm.shingles import shingle_hashes, word_hashes
+from quillspar.llm.shingles import mix, shingle_hashes, word_hashes
 
 WORDS, SIMILAR = 5, 75
 TREES, DEPTH, HASHES = 32, 4, 128
-REGION, PART, AGREE = 2048, 256, 0.62
+REGION, PART, BLOCK, AGREE = 1024, 256, 1024, 0.62
 TILE_CLASSES, TILE_HASHES = 1000, 1_500_000
 
 _SEEDS = np.random.default_rng(20).integers(1, 2**32, (2, HASHES), dtype=np.uint32)
@@ -70,14 +75,21 @@ def minima(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefixes(signatures: np.ndarray, depth: int) -> np.ndarray:
-    """Keys [class, tree] of the first ``depth`` values in each tree's order."""
-    starts = np.arange(TREES) * DEPTH
-    key = np.zeros((len(signatures), TREES), np.uint64)
-    for k in range(depth):
-        key = (key ^ signatures[:, (starts + k) % HASHES].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return (key * np.uint64(64) + np.arange(TREES, dtype=np.uint64)).view(np.int64)
+def narrow(signature: np.ndarray) -> np.ndarray:
+    """Minima to 16 bits each, which is enough to count agreements."""
+    return (signature * np.uint32(0x9E3779B1) >> np.uint32(16)).astype("<u2")
+
+
+def orders(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort keys [class, tree]: the tree and its first DEPTH values (14 bits each), and the next four values."""
+    places = (np.arange(TREES)[:, None] * DEPTH + np.arange(2 * DEPTH)) % HASHES
+    values = signatures[:, places].astype(np.uint64)
+    key = np.broadcast_to(np.arange(TREES, dtype=np.uint64), values.shape[:2])
+    rest = np.zeros(values.shape[:2], np.uint64)
+    for k in range(DEPTH):
+        key = (key << np.uint64(14)) | (values[:, :, k] >> np.uint64(2))
+        rest = (rest << np.uint64(16)) | values[:, :, DEPTH + k]
+    return key.view(np.int64), rest.view(np.int64)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,22 +99,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = word_set(text or b"")
             sizes.append(len(found))
             digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-            signatures.append(minima(found).tobytes() if len(found) else None)
+            signatures.append(narrow(minima(found)).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
             names=["doc_id", "n_shingles", "digest", "signature"],
         )
 
 
-def _keys(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = prefixes(fixed_width(batch.column("signature"), "<u4"), depth)
-                doc = np.repeat(np.asarray(batch.column("doc_id")), TREES)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(doc)], names=["k", "doc_id"])
-
-    return run
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            key, rest = orders(fixed_width(batch.column("signature"), "<u2"))
+            doc = np.repeat(np.asarray(batch.column("doc_id")), TREES)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(rest.ravel()), pa.array(doc)], names=["k", "rest", "doc_id"])
 
 
 def spanning(signatures: np.ndarray) -> list[tuple[int, int]]:
@@ -133,61 +142,103 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
 
-def regions(scratch: Scratch, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(k, doc_id) of regions and parts of regions with more than one class, of REGION classes at most; the regions that were cut."""
-    rows = scratch.keep(classes.mapInArrow(_keys(DEPTH), "k long, doc_id long"), "keys")
-    depth, out, cut = DEPTH, None, None
-    while True:
-        counted = rows.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h")).where("n > 1")
-        found = scratch.keep(counted, f"regions-{depth}")
-        # Trees that cut out the same classes give the same neighbours; one will do.
-        once = found.groupBy("n", "h").agg(F.min("k").alias("k"))
-        small = rows.join(once.where(F.col("n") <= REGION).select("k").hint("merge"), "k")
-        out = small if out is None else out.union(small)
-        large = rows.join(found.where(F.col("n") > REGION).select("k", "n").hint("merge"), "k")
-        if large.isEmpty():
-            return out, cut
-        if depth == DEPTH:
-            cut = scratch.keep(rows.join(once.where(F.col("n") > REGION).select("k").hint("merge"), "k"), "cut")
-            part = F.pmod(F.xxhash64("doc_id", "k"), F.ceil(F.col("n") / PART))
-            out = out.union(large.select(F.xxhash64("k", part).alias("k"), "doc_id"))
-        if depth == HASHES:
-            return out, cut
-        # The hot regions' classes are cut anew by a longer prefix of the same tree.
-        depth = min(2 * depth, HASHES)
-        hot = large.select("doc_id", F.pmod("k", F.lit(64)).alias("tree")).distinct()
-        again = classes.join(hot.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_keys(depth), "k long, doc_id long")
-        again = again.withColumn("tree", F.pmod("k", F.lit(64))).join(hot, ["doc_id", "tree"], "left_semi")
-        rows = scratch.keep(again.select("k", "doc_id"), f"keys-{depth}")
-
-
-def across(scratch: Scratch, cut: DataFrame, soft: DataFrame) -> DataFrame:
-    """(k, doc_id): tiles of about REGION classes in which all classes of a cut region meet that are in different components ``soft``."""
-    half = REGION // 2
-    rows = cut.join(soft.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("k", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    rows = scratch.keep(rows, "cut-components")
-    sizes = scratch.keep(rows.groupBy("k", "c").agg(F.count("*").alias("n")), "cut-sizes")
-    apart = sizes.groupBy("k").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("n") <= half, F.col("n"))).alias("rest")).where("parts > 1")
+def cuts(rest: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of parts of a sorted region, cut where neighbours share the shortest prefix; a part begins with the last row of the one before."""
+    apart = rest.view(np.uint64)[1:] ^ rest.view(np.uint64)[:-1]
+    common = sum((apart < np.uint64(1 << bits)).astype(np.int8) for bits in (48, 32, 16, 0))
+    out, start = [], 0
+    while len(rest) - start > PART:
+        low = start + PART // 2
+        at = low + int(np.argmin(common[low - 1 : start + PART - 1]))
+        out.append((max(0, start - 1), at))
+        start = at
+    return [*out, (max(0, start - 1), len(rest))]
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, part, doc_id, n, h) of the regions of a sorted partition, without classes that have no neighbour.
+
+    ``n`` and ``h`` are size and digest of a region that is whole here; n is 0
+    for parts, and for the partition's first and last run, which may go on
+    beyond its borders.
+    """
+    number = TaskContext.get().partitionId()
+    parts = 0
+
+    def emit(pieces: list, first: bool, last: bool) -> pa.RecordBatch:
+        nonlocal parts
+        key, rest, doc = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        begin = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        size = np.diff(np.append(begin, len(key)))
+        digest = np.bitwise_xor.reduceat(mix(doc.view(np.uint64) + np.uint64(1)), begin).view(np.int64)
+        open_ = size > REGION
+        open_[0] |= first
+        open_[-1] |= last
+        row = np.flatnonzero(np.repeat((size > 1) & ~open_, size))
+        run = np.repeat(np.arange(len(begin)), size)[row]
+        columns = [[key[row], key[row], doc[row], size[run], digest[run]]]
+        for k in np.flatnonzero(open_).tolist():
+            for low, high in cuts(rest[begin[k] : begin[k] + size[k]]):
+                at, parts = slice(begin[k] + low, begin[k] + high), parts + 1
+                none = np.zeros(high - low, np.int64)
+                columns.append([key[at], none + ((number << 32) + parts), doc[at], none, none])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], names=["k", "part", "doc_id", "n", "h"])
+
+    held: list = []
+    first = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, rest, doc = (np.asarray(batch.column(c)) for c in ("k", "rest", "doc_id"))
+        changes = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if not len(changes) and (not held or held[0][0][0] == key[0]):
+            held.append((key, rest, doc))
+            continue
+        last = int(changes[-1]) if len(changes) else 0
+        whole = [*held, (key[:last], rest[:last], doc[:last])] if last else held
+        yield emit(whole, first, False)
+        held, first = [(key[last:], rest[last:], doc[last:])], False
+    if held:
+        yield emit(held, first, True)
+
+
+def regions(scratch: Scratch, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, doc_id): regions or parts of them with more than one class; (k, doc_id, w): the regions that were cut."""
+    ordered = classes.mapInArrow(_orders, "k long, rest long, doc_id long").repartitionByRange("k", "rest", "doc_id").sortWithinPartitions("k", "rest", "doc_id")
+    rows = scratch.keep(ordered.mapInArrow(_regions, "k long, part long, doc_id long, n long, h long"), "regions")
+    # Trees that find the same classes give the same neighbours; one will do.
+    once = rows.where("n > 0").groupBy("n", "h").agg(F.min("k").alias("k"))
+    whole = rows.where("n > 0").join(once.select("k").hint("merge"), "k").select(F.col("k").alias("part"), "doc_id")
+    parted = rows.where("n = 0").select("k", "part", "doc_id")
+    sizes = parted.select("k", "doc_id").distinct().groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("h")).where("n > 1")
+    sizes = scratch.keep(sizes.groupBy("n", "h").agg(F.min("k").alias("k")), "sizes")
+    parted = parted.join(sizes.select("k", "n").hint("merge"), "k")
+    parts = parted.select(F.when(F.col("n") <= REGION, F.col("k")).otherwise(-F.col("part") - 1).alias("part"), "doc_id").distinct()
+    cut = parted.where(F.col("n") > REGION).select("k", "doc_id", F.lit(1.0 / BLOCK).alias("w")).distinct()
+    return whole.union(parts), cut
+
+
+def across(scratch: Scratch, name: str, rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """(k, doc_id): tiles in which all classes of a group meet that are in different components.
+
+    ``rows`` (k, doc_id, w): classes of groups k with their share w of half a
+    tile; ``joined`` (node, component). Groups that are one component are left out.
+    """
+    rows = rows.join(joined.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("k", "doc_id", "w", F.coalesce("component", "doc_id").alias("c"))
+    rows = scratch.keep(rows, f"{name}-components")
+    sizes = scratch.keep(rows.groupBy("k", "c").agg(F.sum("w").alias("w")), f"{name}-sizes")
+    apart = sizes.groupBy("k").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("w") <= 1, F.col("w"))).alias("rest")).where("parts > 1")
     # Large components have blocks of their own; the others share blocks.
-    own = F.when(F.col("n") > half, F.col("c"))
-    deal = sizes.join(apart.hint("merge"), "k").select("k", "c", own.alias("own"), F.ceil(F.when(F.col("n") > half, F.col("n")).otherwise(F.col("rest")) / half).alias("blocks"))
+    own = F.when(F.col("w") > 1, F.col("c"))
+    deal = sizes.join(apart.hint("merge"), "k").select("k", "c", own.alias("own"), F.ceil(F.when(F.col("w") > 1, F.col("w")).otherwise(F.col("rest"))).alias("blocks"))
     placed = rows.join(deal.hint("merge"), ["k", "c"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    placed = scratch.keep(placed.select("k", "own", F.xxhash64("k", F.col("own").isNull(), F.coalesce("own", F.lit(0)), "part").alias("block"), "doc_id"), "cut-blocks")
+    placed = scratch.keep(placed.select("k", "own", F.xxhash64("k", F.col("own").isNull(), F.coalesce("own", F.lit(0)), "part").alias("block"), "doc_id"), f"{name}-blocks")
     blocks = placed.select("k", "own", "block").distinct()
     pairs = blocks.join(blocks.select("k", F.col("own").alias("own_b"), F.col("block").alias("b")).hint("merge"), "k").where("block <= b AND (own IS NULL OR own_b IS NULL OR own <> own_b)")
     ends = pairs.select(F.xxhash64("k", "block", "b").alias("tile"), F.explode(F.array_distinct(F.array("block", "b"))).alias("block"))
     return placed.select("block", "doc_id").join(ends.hint("merge"), "block").select(F.col("tile").alias("k"), "doc_id")
 
 
-def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minima to 16 bits each, which is enough to count agreements."""
-    for batch in batches:
-        if batch.num_rows:
-            mixed = fixed_width(batch.column("signature"), "<u4") * np.uint32(0x9E3779B1) >> np.uint32(16)
-            packed = mixed.astype("<u2")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([row.tobytes() for row in packed], pa.binary())], names=["doc_id", "signature"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Full sets of the classes' texts; rows of another text under the same doc_id drop out by their digest."""
     for batch in small_batches(batches, "text", 4 << 20):
@@ -196,11 +247,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = word_set(text or b"").tobytes()
             keep.append(hashlib.blake2b(found, digest_size=16).digest() == digest)
             packed.append(found)
-        batch = pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("k0"), batch.column("block"), batch.column("blocks"), pa.array(packed, pa.binary())],
-            names=["doc_id", "k0", "block", "blocks", "found"],
-        )
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        more = [name for name in batch.schema.names if name not in ("text", "digest")]
+        sets = pa.RecordBatch.from_arrays([*(batch.column(name) for name in more), pa.array(packed, pa.binary())], names=[*more, "found"])
+        yield sets.filter(pa.array(keep, pa.bool_()))
 
 
 def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -258,31 +307,35 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
 
+def compared(tiles: DataFrame) -> DataFrame:
+    """Links (a, b) inside tiles (k, doc_id, found)."""
+    return tiles.select("k", "doc_id", "found").repartition("k").sortWithinPartitions("k").mapInArrow(_links, "a long, b long")
+
+
 def confirmed(scratch: Scratch, texts: DataFrame, classes: DataFrame, soft: DataFrame) -> DataFrame:
     """Links (a, b) between classes of the components ``soft`` (node, component), found on full sets."""
-    members = classes.select("doc_id", "digest", "n_shingles").join(soft, F.col("doc_id") == F.col("node"))
-    blocks = members.groupBy("component").agg(
-        F.ceil(F.greatest(F.count("*") / TILE_CLASSES, F.sum("n_shingles") / TILE_HASHES)).cast("int").alias("blocks")
-    )
-    placed = scratch.keep(
-        members.join(blocks, "component").select(
-            "doc_id", "digest", F.xxhash64("component").alias("k0"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks"
-        ),
-        "placed",
-    )
+    share = F.greatest(F.lit(1.0 / TILE_CLASSES), F.col("n_shingles") / TILE_HASHES)
+    members = scratch.keep(classes.join(soft.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "digest", "component", share.alias("w")), "members")
+    blocks = members.groupBy("component").agg(F.ceil(F.sum("w")).alias("blocks"))
+    placed = members.join(blocks.hint("merge"), "component")
     sets = (
         texts.join(placed.hint("merge"), "doc_id")
-        .select("doc_id", "text", "digest", "k0", "block", "blocks")
-        .mapInArrow(_sets, "doc_id long, k0 long, block int, blocks int, found binary")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = (
-        sets.withColumn("other", other)
-        .where((F.col("blocks") == 1) | (F.col("other") != F.col("block")))
-        .withColumn("k", F.xxhash64("k0", F.least("block", "other"), F.greatest("block", "other")))
-        .select("k", "doc_id", "found")
+        .select("doc_id", "text", "digest", "component", "blocks")
+        .mapInArrow(_sets, "doc_id long, component long, blocks long, found binary")
     )
-    return tiles.repartition("k").sortWithinPartitions("k").mapInArrow(_links, "a long, b long")
+    # The representative meets every block of its component; the others are in one block.
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    block = F.explode(F.when(F.col("doc_id") == F.col("component"), every).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")))))
+    found = scratch.keep(compared(sets.withColumn("block", block).withColumn("k", F.xxhash64("component", "block"))), "links")
+    several = members.join(blocks.where("blocks > 1").hint("merge"), "component").select(F.col("component").alias("k"), "doc_id", "w")
+    if several.isEmpty():
+        return found
+    tiles = scratch.keep(across(scratch, "exact", several, components(scratch, found, "first")), "tiles")
+    if tiles.isEmpty():
+        return found
+    asked = members.select("doc_id", "digest").join(tiles.select("doc_id").distinct().hint("merge"), "doc_id")
+    whole = texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets, "doc_id long, found binary")
+    return found.union(scratch.keep(compared(whole.join(tiles.hint("merge"), "doc_id")), "links-across"))
 
 
 def near_duplicates(scratch: Scratch, documents: DataFrame) -> DataFrame:
@@ -293,18 +346,18 @@ def near_duplicates(scratch: Scratch, documents: DataFrame) -> DataFrame:
     least = scratch.keep(whole.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "least")
     classes = whole.join(least.select("digest", "least"), [whole["digest"] == least["digest"], whole["doc_id"] == least["least"]], "left_semi")
     classes = scratch.keep(classes.dropDuplicates(["doc_id", "digest"]), "classes")
-    narrow = classes.select("doc_id", "signature").mapInArrow(_narrow, "doc_id long, signature binary")
+    signed = classes.select("doc_id", "signature")
 
     def neighbours(placed: DataFrame) -> DataFrame:
-        near = placed.join(narrow.hint("merge"), "doc_id").select("k", "doc_id", "signature")
+        near = placed.join(signed.hint("merge"), "doc_id").select("k", "doc_id", "signature")
         return near.repartition("k").sortWithinPartitions("k").mapInArrow(_neighbours, "a long, b long")
 
-    whole_regions, cut = regions(scratch, classes)
-    soft = scratch.keep(components(scratch, neighbours(whole_regions), "soft"), "soft")
-    if cut is not None:
-        edges = soft.select(F.col("node").alias("a"), F.col("component").alias("b")).union(neighbours(across(scratch, cut, soft)))
+    parts, cut = regions(scratch, signed)
+    soft = scratch.keep(components(scratch, neighbours(parts.withColumnRenamed("part", "k")), "soft"), "soft")
+    if not cut.isEmpty():
+        edges = soft.select(F.col("node").alias("a"), F.col("component").alias("b")).union(neighbours(across(scratch, "cut", cut, soft)))
         soft = scratch.keep(components(scratch, edges, "soft-all"), "soft-all-nodes")
-    found = scratch.keep(confirmed(scratch, texts, classes, soft), "links")
+    found = confirmed(scratch, texts, classes, soft)
     # Rows of one doc_id with different sets are one document: their classes are linked too.
     same = whole.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("doc_id")
     several = whole.join(same, "doc_id").join(least.where("copies > 1"), "digest").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))

@@ -113,13 +113,51 @@ def test_cut_regions_keep_all_agreeing_pairs(spark, monkeypatch):
     # One region: equal first minima, and 60 pairs that agree in 0.7 of the places and with nothing else.
     signatures = rng.integers(0, 2**32, (120, lsh_forest.HASHES), dtype=np.uint32)
     signatures[1::2, :90] = signatures[::2, :90]
-    cut = spark.createDataFrame([(1, n) for n in range(120)], "k long, doc_id long")
+    cut = spark.createDataFrame([(1, n, 1 / 8) for n in range(120)], "k long, doc_id long, w double")
     none = spark.createDataFrame([(n, 1) for n in range(1, 40, 2)], "node long, component long")
     tiles = {}
-    for r in lsh_forest.across(Scratch(spark, "t"), cut, none).collect():
+    for r in lsh_forest.across(Scratch(spark, "t"), "cut", cut, none).collect():
         tiles.setdefault(r.k, []).append(r.doc_id)
     found = set()
     for docs in tiles.values():
         found |= {tuple(sorted((docs[a], docs[b]))) for a, b in lsh_forest.spanning(signatures[docs])}
     assert found == {(n, n + 1) for n in range(0, 120, 2)}
     assert max(map(len, tiles.values())) < 40
+
+
+def test_long_runs_are_cut_at_short_prefixes_and_overlap(monkeypatch):
+    rest = np.sort(np.repeat(np.arange(9, dtype=np.int64) << 48, [5, 300, 2, 90, 120, 7, 60, 600, 1]))
+    bounds = lsh_forest.cuts(rest)
+    assert bounds[0][0] == 0 and bounds[-1][1] == len(rest)
+    assert all(low == high - 1 for (_, high), (low, _) in zip(bounds, bounds[1:]))
+    assert all(high - low <= lsh_forest.PART + 1 for low, high in bounds)
+    changes = set((np.flatnonzero(np.diff(rest)) + 1).tolist())
+    assert any(high in changes for _, high in bounds[:-1])
+
+
+def test_4500_texts_that_differ_in_the_last_word(spark):
+    """Default constants: one component, though regions are cut."""
+    base = " ".join(f"w{k}" for k in range(600))
+    docs = spark.createDataFrame([(n, f"{base} last{n}") for n in range(4500)], "doc_id long, text string").repartition(8)
+    got = lsh_forest.near_duplicates(Scratch(spark, "t"), docs).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 4500)]
+
+
+@pytest.mark.parametrize("region", [8, 1024])
+def test_one_to_five_changed_words_equal_the_exact_join(spark, monkeypatch, region):
+    monkeypatch.setattr(lsh_forest, "REGION", region)
+    monkeypatch.setattr(lsh_forest, "PART", 8)
+    monkeypatch.setattr(lsh_forest, "BLOCK", 16)
+    monkeypatch.setattr(lsh_forest, "TILE_CLASSES", 20)
+    rng, rows = random.Random(11), []
+    for group in range(6):
+        base = [f"g{group}w{k}" for k in range(60 + 30 * group)]
+        for changed in range(6):
+            for copy in range(12):
+                text = list(base)
+                for at in rng.sample(range(len(text)), changed):
+                    text[at] = f"x{group}-{changed}-{copy}-{at}"
+                rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in lsh_forest.near_duplicates(Scratch(spark, "t"), docs).collect()}
+    assert got == plain_components(rows)
