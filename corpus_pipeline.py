@@ -40,8 +40,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes token ids as range-coded frames and returns what is read back, per document."""
-    frames, counts = token_store.write_store(Scratch(spark, "tokens"), docs, token_store.tokenizer_file())
-    return token_store.read_store(frames, counts)
+    return token_store.read_store(spark, token_store.write_store(Scratch(spark, "tokens"), docs, token_store.tokenizer_file()))
 
 
 STAGES = [

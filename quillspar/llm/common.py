@@ -19,14 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a folder of its own is
-    made and set as the checkpoint folder.
+    Where a session on one machine names none (tests) a folder of its own is
+    made and set as the checkpoint folder; on a cluster that is an error.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = context._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
+    if not found and not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="quillspar-")
         context.setCheckpointDir(found)

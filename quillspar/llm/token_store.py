@@ -2,8 +2,10 @@
 
 Documents are dealt by ranges of doc_id and tokenized once, in order. Tokens
 are counted over the whole corpus into one frequency table, bounded by the
-vocabulary, which every frame shares. A frame is a binary value that holds
-whole documents, about FRAME tokens of them:
+vocabulary, which every frame shares. A store is a folder with two Parquet
+tables: ``frequencies`` (token, n and the digest of the tokenizer's file), and
+``frames``; it is read from its path alone, in any session. A frame is a binary
+value that holds whole documents, about FRAME tokens of them:
 
     magic, checksum of the table, numbers of documents, tokens, blocks, words
     doc_ids, their presence, token counts of the documents
@@ -16,19 +18,21 @@ decode any frame, and within it any block, without the others.
 
 Defined results: a null or empty text is the end id alone; documents with a
 null doc_id come first; rows that share a doc_id follow each other in the order
-of their texts; an empty table gives no rows; other columns are not read.
+of a hash of their texts, so that many of them are dealt over many tasks; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,10 +43,8 @@ from quillspar.llm.common import Scratch, small_batches, table
 
 FRAME, VOCABULARY, END_ID = 1 << 18, 1 << 16, 2
 MAGIC, HEAD = b"QSR1", struct.Struct("<4sIIQII")
-_AFTER_LETTER = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
-_MARK = "\n"
 #: Words of lower-case letters that no normal form changes; the tokenizer's pattern takes each as one run.
-_PLAIN_WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_PLAIN_WORD = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
 
 def _byte_signs() -> dict[int, int]:
@@ -60,11 +62,14 @@ class Encoder:
 
     Its pattern takes runs of letters, single digits and runs of other signs,
     lower-cased; the ids of a word do not depend on its neighbours. Words are
-    kept with their ids, and a text that could hold a special token goes to the
-    tokenizer whole.
+    kept with their ids until they take ``limit`` bytes, and a text that could
+    hold a special token goes to the tokenizer whole.
     """
 
-    def __init__(self, source: str, limit: int = 800_000) -> None:
+    #: Bytes that a kept word takes beside its letters and ids: its string, its number, its place in the dictionary.
+    WORD = 200
+
+    def __init__(self, source: str, limit: int = 64 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,9 +78,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint16), 0
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.add([_MARK, ""], [[END_ID], []])
+        self.flat, self.used, self.bytes = np.zeros(1 << 16, np.uint16), 0, 0
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def add(self, words: list[str], ids: list[list[int]]) -> None:
         count, total = len(self.place), sum(map(len, ids))
@@ -88,54 +92,63 @@ class Encoder:
         self.size[count : count + len(words)] = sizes
         self.first[count : count + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
+        self.bytes += self.WORD * len(words) + sum(map(len, words)) + 2 * total
         self.place.update(zip(words, range(count, count + len(words)), strict=True))
 
     def ids(self, words: list[str]) -> list[list[int]]:
         """The tokenizer's ids. Plain words go to its model, as its byte-level step would hand them over."""
-        tokenize, out, rest = self.tokenizer.model.tokenize, [], []
-        for word in words:
-            if word.isalpha() and (word.isascii() or _PLAIN_WORD.fullmatch(word)):
-                shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
-                out.append([token.id for token in tokenize(shown)])
-            else:
-                rest.append(len(out))
-                out.append([])
+        tokenize, out = self.tokenizer.model.tokenize, [[]] * len(words)
+        plain = np.asarray(pc.match_substring_regex(pa.array(words, pa.string()), _PLAIN_WORD))
+        for at in np.flatnonzero(plain).tolist():
+            word = words[at]
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            out[at] = [token.id for token in tokenize(shown)]
+        rest = np.flatnonzero(~plain).tolist()
         found = self.tokenizer.encode_batch_fast([words[at] for at in rest], add_special_tokens=False)
         for at, each in zip(rest, found, strict=True):
             out[at] = each.ids
         return out
 
-    def words(self, text: str) -> list[str]:
-        if "<|" in text:
-            return [text]
-        plain = text.encode("utf-8", "replace").lower().decode("utf-8")
-        return _AFTER_LETTER.sub(r" \1", plain).replace("\n", " ").split(" ")
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id, and the number of each text's ids."""
-        said: list[str] = []
-        bounds = []
-        for text in texts:
-            said += self.words(text)
-            said.append(_MARK)
-            bounds.append(len(said))
-        if len(self.place) > self.limit:
+    def places(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words, new ones added."""
+        if self.bytes > self.limit:
             self.clear()
-        new = list(set(said).difference(self.place))
+        new = [word for word in words if word not in self.place]
         if new:
             self.add(new, self.ids(new))
-        places = np.fromiter(map(self.place.__getitem__, said), np.int64, len(said))
-        sizes = self.size[places]
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and the number of each text's ids."""
+        texts = pc.fill_null(texts, "")
+        special = np.flatnonzero(np.asarray(pc.match_substring(texts, "<|"))).tolist()
+        if special:
+            whole = {at: texts[at].as_py() for at in special}
+            texts = pa.array([None if at in whole else text for at, text in enumerate(texts.to_pylist())], pa.string())
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])([ \n])", r"\1 \2\3")
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        said = lists.flatten().dictionary_encode()
+        place = self.places(said.dictionary.to_pylist())[np.asarray(said.indices)] if len(said) else np.empty(0, np.int64)
+        sizes = self.size[place]
         ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[places] - ends + sizes, sizes)
-        return self.flat[at], np.diff(ends[np.array(bounds) - 1], prepend=0)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[place] - ends + sizes, sizes)
+        words = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        stops = np.append(0, ends)[words]
+        if not special:
+            return np.insert(self.flat[at], stops, END_ID), np.diff(stops, prepend=0) + 1
+        pieces = np.split(self.flat[at], stops[:-1])
+        found = self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)
+        for row, each in zip(whole, found, strict=True):
+            pieces[row] = np.array(each.ids, np.uint16)
+        pieces = [np.append(piece, np.uint16(END_ID)) for piece in pieces]
+        return np.concatenate(pieces), np.array([len(piece) for piece in pieces])
 
 
 _ENCODERS: dict[int, Encoder] = {}
 
 
 def _encoder(source) -> Encoder:
-    """One encoder for all tasks of a worker process."""
+    """One encoder for the tasks of a worker process, until ``_count`` runs there."""
     if source.value[0] not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[source.value[0]] = Encoder(source.value[1])
@@ -168,8 +181,8 @@ def _tokenize(source):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        for batch in small_batches(batches, "text", 1 << 20):
-            found, size = encoder([text or "" for text in batch.column("text").to_pylist()])
+        for batch in small_batches(batches, "text", 2 << 20):
+            found, size = encoder(batch.column("text"))
             ids.append(found)
             sizes.append(size)
             docs += batch.column("doc_id").to_pylist()
@@ -187,6 +200,7 @@ def _tokens(packed: bytes, n: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _ENCODERS.clear()  # all tokens are made; the workers' words are not needed again
     counts = np.zeros(VOCABULARY, np.int64)
     for batch in batches:
         for packed, n in zip(batch.column("tokens").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True):
@@ -226,21 +240,9 @@ def read_frame(frame: bytes, shared: rans.Table) -> tuple[list[int | None], np.n
     return [d if p else None for d, p in zip(docs.tolist(), present.tolist(), strict=True)], sizes, tokens
 
 
-_TABLES: dict[int, rans.Table] = {}
-
-
-def _shared(counts) -> rans.Table:
-    """The table from the broadcast counts, built once in a worker process."""
-    key = zlib.crc32(counts.value)
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = rans.Table.of(np.frombuffer(counts.value, "<i8"))
-    return _TABLES[key]
-
-
 def _encode(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = _shared(counts)
+        shared = rans.Table.of(np.frombuffer(counts.value, "<i8"))
         for batch in batches:
             for row in batch.to_pylist():
                 frame = frame_bytes(row["doc_ids"], row["present"], row["sizes"], _tokens(row["tokens"], row["n_tokens"]), shared)
@@ -250,33 +252,44 @@ def _encode(counts):
     return run
 
 
-def write_store(scratch: Scratch, documents: DataFrame, tokenizer: str) -> tuple[DataFrame, object]:
-    """Encodes whole texts into frames. Returns the written frames and the broadcast token counts.
+def frequencies(spark: SparkSession, path: str):
+    """The store's frequency table as a broadcast of VOCABULARY counts."""
+    counted = spark.read.parquet(f"{path}/frequencies").select("token", "n").toArrow()
+    totals = np.zeros(VOCABULARY, "<i8")
+    totals[np.asarray(counted.column("token")).astype(np.int64)] = np.asarray(counted.column("n"))
+    return spark.sparkContext.broadcast(totals.tobytes())
+
+
+def write_store(scratch: Scratch, documents: DataFrame, tokenizer: str) -> str:
+    """Encodes whole texts into a store and returns its path.
 
     ``tokenizer`` is the text of a tokenizer file of at most VOCABULARY ids.
     """
     spark = scratch.spark
     source = spark.sparkContext.broadcast((zlib.crc32(tokenizer.encode()), tokenizer))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    tokens = scratch.keep(rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_tokenize(source), TOKENS), "tokens")
-    counted = tokens.select("tokens", "n_tokens").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
-    totals = np.zeros(VOCABULARY, "<i8")
-    totals[np.asarray(counted.column("token")).astype(np.int64)] = np.asarray(counted.column("n"))
-    counts = spark.sparkContext.broadcast(totals.tobytes())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest")]
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
+    # The last key parts equal rows, whose order does not matter.
+    rows = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order, "text")
+    tokens = scratch.keep(rows.select("doc_id", "text").mapInArrow(_tokenize(source), TOKENS), "tokens")
+    counted = tokens.select("tokens", "n_tokens").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    scratch.keep(counted.withColumn("tokenizer", F.lit(hashlib.sha256(tokenizer.encode()).hexdigest())), "frequencies")
     # One row for every partition of the corpus, so the running sum is small.
     parts = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     placed = tokens.join(base, "part").withColumn("start", F.col("base") + F.col("before")).drop("base", "before")
-    frames = scratch.keep(placed.mapInArrow(_encode(counts), "part int, frame int, start long, payload binary"), "frames")
+    counts = frequencies(spark, scratch.root)
+    scratch.keep(placed.mapInArrow(_encode(counts), "part int, frame int, start long, payload binary"), "frames")
     scratch.drop("tokens")
-    return frames, counts
+    return scratch.root
 
 
-def read_store(frames: DataFrame, counts) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the frames."""
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the store at ``path``."""
+    counts = frequencies(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared = _shared(counts)
+        shared = rans.Table.of(np.frombuffer(counts.value, "<i8"))
         for batch in batches:
             for start, payload in zip(batch.column("start").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 docs, sizes, tokens = read_frame(payload, shared)
@@ -285,7 +298,8 @@ def read_store(frames: DataFrame, counts) -> DataFrame:
                 columns = [pa.array(docs, pa.int64()), pa.array(start + ends - sizes), pa.array(sizes), pa.array(checks, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return frames.select("start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    frames = spark.read.parquet(f"{path}/frames").select("start", "payload")
+    return frames.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -297,5 +311,4 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames, counts = write_store(Scratch(spark, "op6"), table(spark, sf_dir, "documents"), tokenizer_file())
-    return read_store(frames, counts)
+    return read_store(spark, write_store(Scratch(spark, "op6"), table(spark, sf_dir, "documents"), tokenizer_file()))

@@ -3,9 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspar.llm import rans, token_store
@@ -13,7 +15,7 @@ from quillspar.llm.common import Scratch
 
 SOURCE = token_store.tokenizer_file()
 WHOLE = Tokenizer.from_str(SOURCE)
-ENCODER = token_store.Encoder(SOURCE, limit=50)
+ENCODER = token_store.Encoder(SOURCE, limit=10_000)
 
 
 @settings(max_examples=40, deadline=None)
@@ -35,7 +37,7 @@ def test_table_with_more_rare_tokens_than_their_share():
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n.,'éÉßΣςİ<|")), max_size=40), max_size=5))
 def test_words_give_the_ids_of_the_whole(texts):
-    ids, sizes = ENCODER(texts) if texts else (np.empty(0), np.empty(0))
+    ids, sizes = ENCODER(pa.array(texts, pa.string()))
     wanted = [[*WHOLE.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     assert sizes.tolist() == [len(w) for w in wanted]
     assert ids.tolist() == [i for w in wanted for i in w]
@@ -43,21 +45,33 @@ def test_words_give_the_ids_of_the_whole(texts):
 
 @pytest.mark.parametrize("text", ["<|endoftext|> x", "a.b, c. It's we'll ..., ", "naïve CAFÉ.", "x́ y", "  ", "<|ENDOFTEXT|>", "don't. 'S"])
 def test_words_on_chosen_texts(text):
-    assert ENCODER([text])[0].tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 2]
+    assert ENCODER(pa.array([text]))[0].tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 2]
 
 
 def test_store(spark):
     rows = [(3, "Hello, world."), (1, None), (2, ""), (10, "long word " * 40_000), (3, "Hello, again."), (None, "no id")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(3)
-    frames, counts = token_store.write_store(Scratch(spark, "t"), docs, SOURCE)
-    got = sorted(map(tuple, token_store.read_store(frames, counts).collect()), key=lambda r: r[1])
+    path = token_store.write_store(Scratch(spark, "t"), docs, SOURCE)
+    # The path is all that another session needs.
+    got = sorted(map(tuple, token_store.read_store(spark.newSession(), path).collect()), key=lambda r: r[1])
+    twice = sorted(["Hello, again.", "Hello, world."], key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
     start, wanted = 0, []
-    for i, t in [(None, "no id"), (1, None), (2, ""), (3, "Hello, again."), (3, "Hello, world."), (10, "long word " * 40_000)]:
+    for i, t in [(None, "no id"), (1, None), (2, ""), (3, twice[0]), (3, twice[1]), (10, "long word " * 40_000)]:
         ids = np.array([*WHOLE.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         wanted.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == wanted
-    assert token_store.read_store(*token_store.write_store(Scratch(spark, "t"), docs.limit(0), SOURCE)).count() == 0
+    assert token_store.read_store(spark, token_store.write_store(Scratch(spark, "t"), docs.limit(0), SOURCE)).count() == 0
+
+
+def test_rows_without_id_are_dealt_over_tasks(spark, monkeypatch):
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    docs = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.lit("same words").alias("text"))
+    path = token_store.write_store(Scratch(spark, "t"), docs, SOURCE)
+    assert spark.read.parquet(f"{path}/frames").select("part").distinct().count() > 2
+    got = token_store.read_store(spark, path).orderBy("start").collect()
+    assert [r.start for r in got] == [3 * k for k in range(4000)] and [r.doc_id for r in got[3600:]] == list(range(0, 4000, 10))
 
 
 def test_damage_is_found():
