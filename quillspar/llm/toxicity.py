@@ -6,7 +6,8 @@ of clean training texts that hold an n-gram; the classifier is a logistic
 regression on the features scaled by r, so its weights start where naive Bayes
 stands and are corrected by the labels. N-grams whose shares differ by less
 than ``least_z`` standard errors carry no weight: over a long text thousands of
-them would add up to noise.
+them would add up to noise. All others do; the fit holds only the places that
+the sample's texts fill, so it grows with them and not with texts x features.
 
 Counts, features and scores are made by tasks over whole texts. The driver
 receives counts by feature number (2**bits at most) and, of a training sample
@@ -41,7 +42,6 @@ class Settings:
     bits: int = 18
     alpha: float = 0.5
     least_z: float = 4.0
-    max_features: int = 4096
     max_train: int = 6000
     ridge: float = 1e-3
     rounds: int = 300
@@ -106,7 +106,7 @@ def _count(settings: Settings):
         counts = np.zeros((2, 1 << settings.bits), np.int64)
         sizes = np.zeros(2, np.int64)
         seen = np.zeros(1 << settings.bits, bool)
-        for batch in batches:
+        for batch in small_batches(batches, "text", 4 << 20):
             for text, label in zip(_texts(batch), batch.column("label").to_pylist(), strict=True):
                 for numbers in grams(text, settings):
                     seen[numbers] = True
@@ -125,8 +125,8 @@ def _count(settings: Settings):
 
 def _features(settings: Settings, slot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [np.unique(weighted(text, settings, slot)).astype("<u2").tobytes() for text in _texts(batch)]
+        for batch in small_batches(batches, "text", 4 << 20):
+            packed = [np.unique(weighted(text, settings, slot)).astype("<u4").tobytes() for text in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], names=["label", "features"])
 
     return run
@@ -154,41 +154,51 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", settings:
     share = (toxic + clean + 1) / (n_toxic + n_clean + 2)
     z = np.abs(toxic / n_toxic - clean / n_clean) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
     order = np.lexsort((feature, -z))
-    order = order[z[order] >= settings.least_z][: settings.max_features]
+    order = order[z[order] >= settings.least_z]
     slot[feature[order]] = np.arange(len(order), dtype=np.int32)
     packed = train.mapInArrow(_features(settings, slot), "label int, features binary").toArrow()
-    truth = (np.asarray(packed.column("label")) > 0).astype(np.float32)
-    inputs = np.zeros((len(truth), len(order)), np.float32)
-    for row, found in enumerate(packed.column("features").to_pylist()):
-        places = np.frombuffer(found, "<u2")
-        inputs[row, places] = ratio[order][places]
-    weights, bias = regress(inputs, truth, settings, bias)
+    truth = (np.asarray(packed.column("label")) > 0).astype(np.float64)
+    found = [np.frombuffer(row, "<u4").astype(np.int32) for row in packed.column("features").to_pylist()]
+    rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(row) for row in found])
+    weights, bias = regress(rows, np.concatenate(found), ratio[order], truth, settings, bias)
     return Model(settings, slot, weights * ratio[order], bias)
 
 
-def regress(inputs: np.ndarray, truth: np.ndarray, settings: Settings, bias: float) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by accelerated gradient steps; each class has weight by the root of its size."""
-    n, width = inputs.shape
+def regress(rows: np.ndarray, places: np.ndarray, ratio: np.ndarray, truth: np.ndarray, settings: Settings, bias: float) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by accelerated gradient steps; each class has weight by the root of its size.
+
+    Row ``rows[k]`` has the feature ``places[k]`` with the value
+    ``ratio[places[k]]``; all others are zero.
+    """
+    n, width = len(truth), len(ratio)
+    value = ratio[places]
+
+    def times(x: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, value * x[places], n)
+
+    def back(y: np.ndarray) -> np.ndarray:
+        return np.bincount(places, value * y[rows], width)
+
     positive = max(1.0, float(truth.sum()))
-    each = np.where(truth > 0, positive**-0.5, max(1.0, n - positive) ** -0.5).astype(np.float32)
+    each = np.where(truth > 0, positive**-0.5, max(1.0, n - positive) ** -0.5)
     each /= each.sum()
-    top = np.ones(width, np.float32)
-    for _ in range(20):
-        top = inputs.T @ (each * (inputs @ top))
+    top, size = np.ones(width), 0.0
+    for _ in range(20 if width else 0):
+        top = back(each * times(top))
         size = float(np.linalg.norm(top)) or 1.0
         top /= size
-    step = 1 / (0.3 * (size if width else 0.0) + settings.ridge + 0.25)
-    weights = ahead = np.zeros(width, np.float32)
+    step = 1 / (0.3 * size + settings.ridge + 0.25)
+    weights = ahead = np.zeros(width)
     bias_ahead, pace = bias, 1.0
     for _ in range(settings.rounds):
-        error = each * (1 / (1 + np.exp(-np.clip(inputs @ ahead + bias_ahead, -40, 40))) - truth)
-        moved = ahead - step * (inputs.T @ error + settings.ridge * ahead)
+        error = each * (1 / (1 + np.exp(-np.clip(times(ahead) + bias_ahead, -40, 40))) - truth)
+        moved = ahead - step * (back(error) + settings.ridge * ahead)
         moved_bias = bias_ahead - step * float(error.sum())
         faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         ahead = moved + (pace - 1) / faster * (moved - weights)
         bias_ahead = moved_bias + (pace - 1) / faster * (moved_bias - bias)
         weights, bias, pace = moved, moved_bias, faster
-    return weights.astype(np.float64), float(bias)
+    return weights, float(bias)
 
 
 def _score(model: Model):

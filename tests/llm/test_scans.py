@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -175,3 +176,35 @@ def test_one_class_gives_its_share(spark, label, score):
     marks = spark.createDataFrame([(n, label) for n in range(20)], "doc_id long, toxic int")
     assert toxicity.score_documents(docs, toxicity.fit(docs, marks)).first().score == pytest.approx(score, abs=1e-6)
     assert toxicity.score_documents(docs, toxicity.fit(docs, marks.limit(0))).first().score == pytest.approx(0, abs=1e-6)
+
+
+def test_fit_and_scores_equal_a_dense_version(spark):
+    """Counts, ratios and selection recomputed with plain Python; the fit by plain gradient steps on a dense matrix."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdef", k=4)) for _ in range(60)]
+    texts = {n: " ".join(rng.choices(words, k=25) + (["badword"] if n % 3 == 0 else [])) for n in range(240)}
+    settings = toxicity.Settings(orders=(3, 4), rounds=4000, ridge=0.05)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(n, int(n % 3 == 0)) for n in texts], "doc_id long, toxic int"), settings=settings)
+    train = [n for n in texts if zlib.crc32(str(n).encode()) % 5]
+    sets = {n: set(np.concatenate(list(toxicity.grams(texts[n], settings))).tolist()) for n in texts}
+    toxic, clean = [n for n in train if n % 3 == 0], [n for n in train if n % 3]
+    ratio = {}
+    for f in set().union(*(sets[n] for n in train)):
+        a, b = (sum(f in sets[n] for n in side) for side in (toxic, clean))
+        share = (a + b + 1) / (len(train) + 2)
+        z = abs(a / len(toxic) - b / len(clean)) / (share * (1 - share) * (1 / len(toxic) + 1 / len(clean))) ** 0.5
+        if z >= settings.least_z:
+            ratio[f] = np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(clean) + 1))
+    order = sorted(ratio)
+    dense = np.array([[ratio[f] * (f in sets[n]) for f in order] for n in train])
+    truth = np.array([float(n % 3 == 0) for n in train])
+    each = np.where(truth > 0, truth.sum() ** -0.5, (1 - truth).sum() ** -0.5)
+    each /= each.sum()
+    weights, bias = np.zeros(len(order)), np.log(truth.mean() / (1 - truth.mean()))
+    for _ in range(60_000):
+        error = each * (1 / (1 + np.exp(-(dense @ weights + bias))) - truth)
+        weights, bias = weights - 0.02 * (dense.T @ error + settings.ridge * weights), bias - 0.02 * error.sum()
+    for n in texts:
+        wanted = 1 / (1 + np.exp(-(sum(w * ratio[f] for f, w in zip(order, weights, strict=True) if f in sets[n]) + bias)))
+        assert abs(model.score(texts[n]) - wanted) < 0.01
