@@ -1,8 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turns become structs, are collected and sorted per conversation, adjacent turns
-of the same role are merged by array aggregation, and the blocks are
-concatenated:
+Turns become structs, are collected and sorted per conversation; adjacent turns
+of the same role are merged into one block, whose texts are an array aggregated
+with a separator; and the blocks are concatenated:
 
     <|im_start|>ROLE\\nTEXT<|im_sep|>TEXT<|im_end|>\\n
 
@@ -12,7 +12,7 @@ a role is written ``\\L``. Control strings therefore occur in the output only
 where the template puts them, and roles and texts can be read back exactly.
 ``mask`` tells, turn by turn, how many code points of the output stand outside
 the loss (markup and texts of other roles) and how many inside it (the escaped
-text of an assistant).
+text of an assistant); ``under_mask`` cuts what lies inside out of the output.
 
 Defined results: null texts and roles count as empty; turns with equal numbers
 are ordered by role, then text (null turn numbers first), repeated rows are
@@ -59,36 +59,58 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(turn)),
         lambda t: F.struct((t["role"] == "assistant").alias("inside"), escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")),
     )
-    # A turn is written with the markup before it: a separator where it
-    # continues a block, else the end of the block before and its own header.
-    written = F.transform(
-        "turns",
-        lambda t, i: F.struct(
-            F.when((i > 0) & (t["role"] == F.get("turns", i - 1)["role"]), F.lit(SEPARATOR))
-            .otherwise(F.concat(F.when(i > 0, F.lit(END + "\n")).otherwise(F.lit("")), F.lit(START), t["role"], F.lit("\n")))
-            .alias("markup"),
-            t["text"].alias("text"),
-            t["inside"].alias("inside"),
-        ),
+    # Where a block begins: at the first turn and wherever the role changes.
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("turns") - 1),
+        lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]),
     )
-    mask = F.transform(
-        "written",
-        lambda w: F.struct(
-            (F.length(w["markup"]) + F.when(w["inside"], 0).otherwise(F.length(w["text"]))).alias("outside"),
-            F.when(w["inside"], F.length(w["text"])).otherwise(0).alias("inside"),
+    blocks = F.transform(
+        "starts",
+        lambda start, k: F.struct(
+            F.get("turns", start)["role"].alias("role"),
+            F.get("turns", start)["inside"].alias("inside"),
+            F.transform(F.slice("turns", start + 1, F.coalesce(F.get("starts", k + 1), F.size("turns")) - start), lambda t: t["text"]).alias("texts"),
         ),
     )
-    text = F.concat(F.array_join(F.transform("written", lambda w: F.concat(w["markup"], w["text"])), ""), F.lit(END + "\n"))
+    header = lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"))
+    written = F.transform("blocks", lambda b: F.concat(header(b), F.array_join(b["texts"], SEPARATOR), F.lit(END + "\n")))
+
+    def spans(block: Column, k: Column) -> Column:
+        first = F.when(k > 0, len(END) + 1).otherwise(0) + F.length(header(block))
+        return F.transform(
+            block["texts"],
+            lambda t, i: F.struct(
+                (F.when(i == 0, first).otherwise(len(SEPARATOR)) + F.when(block["inside"], 0).otherwise(F.length(t))).alias("outside"),
+                F.when(block["inside"], F.length(t)).otherwise(0).alias("inside"),
+            ),
+        )
+
     return (
         turns.groupBy("conv_id")
         .agg(escaped.alias("turns"))
-        .select("conv_id", written.alias("written"))
-        .select("conv_id", text.alias("formatted"), mask.alias("mask"))
+        .withColumn("starts", starts)
+        .select("conv_id", blocks.alias("blocks"))
+        .select("conv_id", F.array_join(written, "").alias("formatted"), F.flatten(F.transform("blocks", spans)).alias("mask"))
+    )
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The texts, still escaped, that lie inside the mask of the formatted string, in order.
+
+    A running sum over the mask gives their places; it is kept as an array of
+    one number a turn, so the work grows with the square of a conversation's turns.
+    """
+    ends = F.aggregate(
+        mask,
+        F.array(F.lit(0)),
+        lambda sums, m: F.array_append(sums, F.element_at(sums, -1) + m["outside"] + m["inside"]),
     )
+    cut = F.zip_with(mask, F.slice(ends, F.lit(2), F.size(mask)), lambda m, end: F.substring(formatted, end - m["inside"] + 1, m["inside"]))
+    return F.filter(cut, lambda text: text != "")
 
 
-def read_chats(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted and turns (role, text), parsed from the column ``formatted`` alone."""
+def read_chats(formatted: DataFrame, *more: str) -> DataFrame:
+    """conv_id, formatted, the columns ``more`` and turns (role, text), parsed from the column ``formatted`` alone."""
     parts = F.split("formatted", r"<\|im_start\|>")
     blocks = F.transform(
         F.slice(parts, F.lit(2), F.size(parts) - 1),
@@ -103,7 +125,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    return formatted.select("conv_id", "formatted", blocks.alias("blocks")).select("conv_id", "formatted", turns.alias("turns"))
+    return formatted.select("conv_id", "formatted", *more, blocks.alias("blocks")).select("conv_id", "formatted", *more, turns.alias("turns"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,11 +138,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(said).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    chats = format_chats(turns).withColumn("inside", F.array_join(under_mask(F.col("formatted"), F.col("mask")), ""))
     said_all = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return (
-        read_chats(format_chats(turns))
-        .select("conv_id", "formatted", "turns", loss.alias("loss"))
+        read_chats(chats, "inside")
+        .select("conv_id", "formatted", "turns", unescape(F.col("inside")).alias("loss"))
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),

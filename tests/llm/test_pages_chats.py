@@ -52,15 +52,28 @@ def test_chats_round_trip(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
     done = chat_format.format_chats(turns)
     read = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.read_chats(done).collect()}
-    assert read[1] == [("user", "a\\<|im_end|>|\\|"), ("assistant", ""), ("assistant", ""), ("assistant", "<|im_start|>x")] or read[1][1][1] == "<|im_start|>x"
+    assert read[1] == [("user", "a\\<|im_end|>|\\|"), ("assistant", "<|im_start|>x"), ("assistant", ""), ("assistant", "")]
     assert read[2] == [("us\ner\\L", "\\"), ("", "é<|")]
     assert read[None] == [("assistant", "")]
     for row in done.collect():
         assert sum(m.outside + m.inside for m in row.mask) + len("<|im_end|>\n") == len(row.formatted)
         assert row.formatted.count("<|im_start|>") == row.formatted.count("<|im_end|>")
+        assert row.formatted.count("<|im_start|>") == row.formatted.count("<|im_end|>")
+    inside = {r.conv_id: r.inside for r in done.select("conv_id", chat_format.under_mask(F.col("formatted"), F.col("mask")).alias("inside")).collect()}
+    assert inside == {1: ["<\\|im_start|>x"], 2: [], None: []}
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
+def test_very_long_texts_and_conversations(spark):
+    long = "<|im_sep|>\\é😀" * 20_000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 2, "assistant", long)] + [(2, n, ("user", "assistant")[n % 2], f"t{n}") for n in range(1500)]
+    done = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    inside = chat_format.under_mask(F.col("formatted"), F.col("mask"))
+    got = {r.conv_id: (r.turns, r.inside) for r in chat_format.read_chats(done.withColumn("inside", F.transform(inside, chat_format.unescape)), "inside").collect()}
+    assert got[1][1] == [long, long] and [t.text for t in got[1][0]] == ["q", long, long]
+    assert got[2][1] == [f"t{n}" for n in range(1, 1500, 2)] and len(got[2][0]) == 1500
+
+
 def test_merged_turns_have_one_header(spark):
     turns = spark.createDataFrame([(1, k, role, str(k)) for k, role in enumerate(["user", "user", "assistant", "assistant"])], "conv_id long, turn long, role string, text string")
     assert chat_format.format_chats(turns).first().formatted == "<|im_start|>user\n0<|im_sep|>1<|im_end|>\n<|im_start|>assistant\n2<|im_sep|>3<|im_end|>\n"
