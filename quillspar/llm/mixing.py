@@ -2,15 +2,20 @@
 
 Token counts are summed into cells of source, language and topic; the cells,
 not the documents, are raked: in every sweep the weights of each margin in turn
-are scaled to its target shares. The cells' rates (fitted weight over tokens)
-are then turned into probabilities min(1, c * rate), where c is raised until
-the expected tokens reach ``keep`` of the corpus, and every document is sampled
-by comparing its cell's probability with a number between 0 and 1 made from a
-digest of its id, so the choice is the same in every run and attempt.
+are scaled to its target shares, and no weight may exceed its cell's tokens, so
+that weight over tokens is a probability. Weights sum to ``keep`` of the corpus.
+A target that even all tokens of a value could not meet is first lowered to
+``SLACK`` of what they can, and the difference given to the other values in
+proportion. Sweeps go on until every margin is met to ``TOLERANCE``; if targets
+contradict each other and ``MOST`` sweeps do not do, a warning tells the largest
+difference that is left. Every document is sampled by comparing its cell's
+probability with a number between 0 and 1 made from a digest of its id, so the
+choice is the same in every run and attempt.
 
 Cells are combined before the shuffle, so a source with a third of all rows
-costs a few rows a task. A lost executor costs one sweep: each is written to
-the shared folder.
+costs a few rows a task; the cells themselves, one for every combination of
+values that occurs, are one partition. A lost executor costs ten sweeps: so
+often they are written to the shared folder.
 
 Defined results: null or blank sources, languages and topics form the value
 ``unknown``; null and empty texts have no tokens and their cell's probability; a
@@ -22,13 +27,16 @@ value without a target keeps its own share.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspar.llm.common import Scratch, table
 
 MARGINS = ("source", "lang", "topic")
-SWEEPS, FILLS, TEMPER, KEEP = 10, 6, 0.7, 0.8
+TEMPER, KEEP, SLACK = 0.7, 0.6, 0.9
+SWEEPS, MOST, TOLERANCE = 10, 400, 1e-11
 
 #: Topics by the first pattern that a text holds.
 TOPICS = (("licence", r"(?i)licen[cs]e|copyright"), ("contact", r"[A-Za-z0-9]@[A-Za-z0-9]"), ("code", r"(^|[^A-Za-z])(def|return|import|function|class)([^A-Za-z]|$)"), ("list", r"[|]"))
@@ -63,64 +71,79 @@ def tempered(cells: DataFrame, power: float = TEMPER) -> DataFrame:
     return out
 
 
-def rake(scratch: Scratch, cells: DataFrame, targets: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
-    """The cells with their fitted weight, which sums to one."""
+def feasible(own: DataFrame, margin: str, keep: float) -> DataFrame:
+    """``own`` (margin, own, share) with to_margin: target tokens, together ``keep`` of all, that the values' tokens can meet.
+
+    Shares are multiplied by one factor and cut at SLACK of a value's tokens.
+    In the order of how little the values can take, the factor is right at the
+    first value that it does not cut.
+    """
     everything = Window.partitionBy(F.lit(1))
+    wanted = F.try_divide("share", F.sum("share").over(everything)) * F.lit(keep) * F.sum("own").over(everything)
+    rows = own.withColumn("wanted", wanted).withColumn("most", F.greatest(F.lit(SLACK), F.lit(keep)) * F.col("own"))
+    rows = rows.withColumn("ratio", F.when(F.col("wanted") > 0, F.try_divide("most", "wanted")))
+    before = Window.partitionBy(F.lit(1)).orderBy(F.col("ratio").asc_nulls_last(), margin)
+    cut = F.coalesce(F.sum("most").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("wanted").over(before.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = rows.withColumn("factor", F.try_divide(F.lit(keep) * F.sum("own").over(everything) - cut, rest))
+    factor = F.min(F.when(F.col("factor") <= F.col("ratio"), F.struct("ratio", "factor"))).over(everything)["factor"]
+    return rows.select(margin, F.when(F.col("wanted") > 0, F.least("most", factor * F.col("wanted"))).otherwise(0.0).alias(f"to_{margin}"))
+
+
+def rake(scratch: Scratch, cells: DataFrame, targets: DataFrame, keep: float = KEEP) -> DataFrame:
+    """The cells with their fitted weight, ``keep`` of all tokens together, and the target tokens of their values."""
+    cells = cells.coalesce(1)
     for margin in MARGINS:
-        wanted = targets.where(F.col("margin") == margin).select(F.col("value").alias(margin), F.col("share").cast("double").alias(f"to_{margin}"))
+        wanted = targets.where(F.col("margin") == margin).select(F.col("value").alias(margin), F.col("share").cast("double").alias("to"))
         own = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("own")).join(wanted, margin, "left")
-        share = F.coalesce(f"to_{margin}", F.col("own") / F.sum("own").over(everything))
-        own = own.select(margin, share.alias("share")).select(margin, (F.col("share") / F.sum("share").over(everything)).alias(f"to_{margin}"))
-        cells = cells.join(own, margin)
-    cells = scratch.keep(cells.withColumn("weight", F.col("tokens").cast("double")), "cells-0")
-    for sweep in range(1, sweeps + 1):
-        now = cells
-        for margin in MARGINS:
-            total = F.sum("weight").over(Window.partitionBy(margin))
-            now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"to_{margin}") / total).otherwise(0.0))
+        share = F.coalesce("to", F.try_divide("own", F.sum("own").over(Window.partitionBy(F.lit(1)))))
+        cells = cells.join(feasible(own.select(margin, "own", share.alias("share")), margin, keep), margin)
+    cells = scratch.keep(cells.withColumn("weight", F.lit(keep) * F.col("tokens")), "cells-0")
+    for sweep in range(SWEEPS, MOST + 1, SWEEPS):
+        now = cells.coalesce(1)
+        for _ in range(SWEEPS):
+            for margin in MARGINS:
+                total = F.sum("weight").over(Window.partitionBy(margin))
+                scaled = F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"to_{margin}") / total)
+                now = now.withColumn("weight", F.when(total > 0, scaled).otherwise(0.0))
         cells = scratch.keep(now, f"cells-{sweep}")
-        scratch.drop(f"cells-{sweep - 1}")
+        scratch.drop(f"cells-{sweep - SWEEPS}")
+        if (left := residual(cells)) <= TOLERANCE:
+            return cells
+    warnings.warn(f"targets are missed by up to {left:.2g} of the sampled tokens", stacklevel=2)
     return cells
 
 
-def probabilities(cells: DataFrame, keep: float = KEEP, fills: int = FILLS) -> DataFrame:
-    """The cells with probability: rates scaled so that the expected tokens are ``keep`` of all, none above 1.
-
-    Cells that reach 1 are full; what they cannot take is spread over the rest,
-    in at most ``fills`` rounds of one aggregate row each.
-    """
-    cells = cells.withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    factor = float(keep * total)
-    for _ in range(fills):
-        full = F.lit(factor) * F.col("rate") >= 1
-        row = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        if not row[1]:
-            break
-        factor = max(factor, (keep * total - row[0]) / row[1])
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(factor) * F.col("rate")))
+def residual(cells: DataFrame) -> float:
+    """The largest difference between a value's fitted and target tokens, as a share of all fitted tokens."""
+    off = [F.abs(F.sum("weight").over(Window.partitionBy(margin)) - F.col(f"to_{margin}")) for margin in MARGINS]
+    most, total = cells.coalesce(1).select("weight", F.greatest(*off).alias("off")).agg(F.max("off"), F.sum("weight")).first()
+    return (most or 0.0) / (total or 1.0)
 
 
 def mix(scratch: Scratch, documents: DataFrame, targets: DataFrame | None = None, keep: float = KEEP) -> DataFrame:
     """doc_id, margins, n_tokens, probability and sampled of every row."""
     rows = scratch.keep(weighed(documents), "rows")
-    cells = scratch.keep(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    cells = scratch.keep(probabilities(rake(scratch, cells, tempered(cells) if targets is None else targets), keep), "fitted")
-    out = rows.join(cells.select(*MARGINS, "probability"), list(MARGINS))
+    cells = fitted(scratch, rows, targets, keep)
+    out = rows.join(cells, list(MARGINS))
     return out.select("doc_id", *MARGINS, "n_tokens", F.round("probability", 6).alias("probability"), (F.col("draw") < F.col("probability")).alias("sampled"))
 
 
+def fitted(scratch: Scratch, rows: DataFrame, targets: DataFrame | None = None, keep: float = KEEP) -> DataFrame:
+    """The margins' values and the probability of every cell of ``rows``."""
+    cells = scratch.keep(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    cells = rake(scratch, cells, tempered(cells) if targets is None else targets, keep)
+    return cells.select(*MARGINS, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("probability"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(Scratch(spark, "op3"), table(spark, sf_dir, "documents"))
 
 
 def sample(scratch: Scratch, documents: DataFrame, keep: float = KEEP) -> DataFrame:
     """The sampled rows with all their columns."""
-    cells = weighed(documents).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    cells = scratch.keep(cells, "cells")
-    cells = scratch.keep(probabilities(rake(scratch, cells, tempered(cells)), keep), "fitted").select(*MARGINS, "probability")
-    rows = weighed(documents, F.struct(*documents.columns).alias("row")).select(*MARGINS, "draw", "row")
-    return rows.join(cells, list(MARGINS)).where("draw < probability").select("row.*")
+    rows = scratch.keep(weighed(documents, F.struct(*documents.columns).alias("row")), "rows")
+    return rows.join(fitted(scratch, rows, keep=keep), list(MARGINS)).where("draw < probability").select("row.*")
 
 
 def _oracle() -> str:
@@ -134,29 +157,25 @@ def _oracle() -> str:
         "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL)",
     ]
     for margin in MARGINS:
-        own = f"SELECT {margin}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {TEMPER}) ELSE 0 END AS s FROM cells GROUP BY {margin}"
-        steps.append(f"want_{margin} AS (SELECT {margin}, s / sum(s) OVER () AS to_{margin} FROM ({own}))")
+        own = f"SELECT {margin}, sum(tokens) AS own, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {TEMPER}) ELSE 0 END AS s FROM cells GROUP BY {margin}"
+        wanted = f"SELECT *, s / sum(s) OVER () * {KEEP} * sum(own) OVER () AS wanted, {max(SLACK, KEEP)} * own AS most FROM ({own})"
+        order = f"ORDER BY ratio NULLS LAST, {margin} ROWS BETWEEN"
+        factor = f"""SELECT *, ({KEEP} * sum(own) OVER () - coalesce(sum(most) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(wanted) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor FROM (SELECT *, CASE WHEN wanted > 0 THEN most / wanted END AS ratio FROM ({wanted}))"""
+        first = f"(SELECT factor FROM ({factor}) WHERE factor <= ratio ORDER BY ratio, factor LIMIT 1)"
+        steps.append(f"want_{margin} AS (SELECT {margin}, CASE WHEN wanted > 0 THEN least(most, {first} * wanted) ELSE 0 END AS to_{margin} FROM ({wanted}))")
     joined = " ".join(f"JOIN want_{margin} USING ({margin})" for margin in MARGINS)
-    steps.append(f"w0 AS (SELECT *, tokens AS weight FROM cells {joined})")
-    n = 0
-    for _ in range(SWEEPS):
-        for margin in MARGINS:
-            total = f"sum(weight) OVER (PARTITION BY {margin})"
-            steps.append(f"w{n + 1} AS (SELECT * REPLACE (CASE WHEN {total} > 0 THEN weight * to_{margin} / {total} ELSE 0 END AS weight) FROM w{n})")
-            n += 1
-    steps.append(f"rated AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS rate FROM w{n})")
-    steps.append(f"c0 AS (SELECT {KEEP} * sum(tokens) AS budget, {KEEP} * sum(tokens) AS factor FROM rated)")
-    for k in range(FILLS):
-        full = "sum(CASE WHEN factor * rate >= 1 THEN tokens ELSE 0 END)"
-        rest = "sum(CASE WHEN factor * rate >= 1 THEN 0 ELSE weight END)"
-        steps.append(
-            f"""c{k + 1} AS (SELECT any_value(budget) AS budget, CASE WHEN {rest} > 0
-            THEN greatest(any_value(factor), (any_value(budget) - {full}) / {rest}) ELSE any_value(factor) END AS factor FROM rated, c{k})"""
-        )
-    return f"""WITH {', '.join(steps)}
-        SELECT doc_id, source, lang, topic, n_tokens, round(least(1.0, factor * rate), 6) AS probability,
-               draw < least(1.0, factor * rate) AS sampled
-        FROM rows JOIN rated USING (source, lang, topic), c{FILLS}"""
+    steps.append(f"w0 AS MATERIALIZED (SELECT *, {KEEP} * tokens AS weight FROM cells {joined})")
+    # So many sweeps that more of them change nothing that is shown.
+    sweep = "FROM swept WHERE n < 150"
+    for margin in MARGINS:
+        total = f"sum(weight) OVER (PARTITION BY {margin})"
+        sweep = f"SELECT * REPLACE (CASE WHEN {total} > 0 THEN least(tokens, weight * to_{margin} / {total}) ELSE 0 END AS weight) FROM ({sweep})"
+    steps.append(f"swept AS (SELECT 0 AS n, * FROM w0 UNION ALL SELECT * REPLACE (n + 1 AS n) FROM ({sweep}))")
+    steps.append("rated AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS probability FROM swept WHERE n = 150)")
+    return f"""WITH RECURSIVE {', '.join(steps)}
+        SELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, draw < probability AS sampled
+        FROM rows JOIN rated USING (source, lang, topic)"""
 
 
 ORACLE = _oracle()

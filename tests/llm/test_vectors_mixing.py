@@ -90,6 +90,37 @@ def test_raking_meets_its_targets(spark):
     assert rows[rows.sampled].n_tokens.sum() / rows.n_tokens.sum() == pytest.approx(0.2, abs=0.03)
 
 
+def test_production_settings_meet_their_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scratch = Scratch(spark, "t")
+    cells = scratch.keep(mixing.weighed(docs).groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens")), "c")
+    fitted = mixing.rake(scratch, cells, mixing.tempered(cells)).toPandas()
+    assert fitted.weight.sum() == pytest.approx(mixing.KEEP * fitted.tokens.sum(), rel=1e-6)
+    assert (fitted.weight <= fitted.tokens).all()
+    for margin in mixing.MARGINS:
+        groups = fitted.groupby(margin)
+        assert (groups.weight.sum() - groups[f"to_{margin}"].first()).abs().max() <= 1e-8 * fitted.weight.sum()
+        # Targets are the tempered shares, cut where all of a value's tokens would not do.
+        own = groups.tokens.sum().astype(float)
+        wanted = own**mixing.TEMPER / (own**mixing.TEMPER).sum() * mixing.KEEP * own.sum()
+        low, high = 1.0, 1e6
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.minimum(mixing.SLACK * own, middle * wanted).sum() < mixing.KEEP * own.sum() else (low, middle)
+        assert np.allclose(groups[f"to_{margin}"].first(), np.minimum(mixing.SLACK * own, low * wanted))
+
+
+def test_contradicting_targets_are_reported(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 100), ("b", "de", "x", 100)], "source string, lang string, topic string, tokens long")
+    targets = spark.createDataFrame([("source", "a", 0.7), ("source", "b", 0.3), ("lang", "en", 0.3), ("lang", "de", 0.7)], "margin string, value string, share double")
+    mixing_most, mixing.MOST = mixing.MOST, 20
+    try:
+        with pytest.warns(UserWarning, match="targets are missed"):
+            mixing.rake(Scratch(spark, "t"), cells, targets)
+    finally:
+        mixing.MOST = mixing_most
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None, None, "en"), (1, None, None, "en"), (2, "", " ", None), (None, "a b", "s", "en"), (4, "x" * 100_000, "s", "en"), (5, "mail a@b", "s", "de")]
     docs = spark.createDataFrame([(*r, 0.5, True) for r in rows], "doc_id int, text string, source string, lang string, probability double, sampled boolean")
