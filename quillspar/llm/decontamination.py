@@ -5,9 +5,10 @@ benchmark item of m words every window of m consecutive words of a document is
 a candidate place. Its fingerprint has BITS bits; bit b is the majority of bit
 b in the hashes of its words. Windows are looked up in BLOCKS tables of one
 block of bits each: a fingerprint within RADIUS of an item's differs from it by
-two bits at most in at least one block, as BLOCKS * 3 > RADIUS, so the tables
-hold, for every item, the values within two bits of its block, and no
-fingerprint within the radius is missed. The fingerprint is a filter with a
+two bits at most in at least one block, as BLOCKS * 3 > RADIUS. A table is the
+sorted list of the items' block values; a window looks up all values within two
+bits of its own, so no fingerprint within the radius is missed. Pairs are made
+PAIRS at a time, whatever the number of items. The fingerprint is a filter with a
 recall of its own: a similar window can lie outside the radius (see README). Windows found are compared exactly: the
 similarity is the sum of the smaller over the sum of the larger weights of the
 shingles of five words, a shingle's weight being its number of occurrences.
@@ -15,8 +16,9 @@ shingles of five words, a shingle's weight being its number of occurrences.
 Only windows over a shingle of an item of that length are fingerprinted: others
 share no weight with any such item, and their similarity is zero.
 
-The benchmark is read in slices of at most SLICE bytes of text, so what a task
-holds is bounded; documents are read once for every slice.
+The benchmark is read in slices of at most SLICE bytes of text; its index is
+flat arrays of about five times that size, broadcast and not kept by the driver.
+Documents are read once for every slice.
 
 Defined results: null and empty texts hold no passage; items without words match
 nothing; items of fewer than five words match the same words in a row; equal
@@ -27,7 +29,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +43,9 @@ from quillspar.llm.shingles import shingle_hashes, word_hashes
 
 WORDS, SIMILAR = 5, 0.75
 BITS, BLOCKS, RADIUS = 64, 8, 23
-SLICE, FILTER_BITS, STRETCH = 16 << 20, 22, 20_000
+SLICE, FILTER_BITS, STRETCH, PAIRS = 16 << 20, 22, 20_000, 1 << 20
+#: All changes of a byte in two bits at most.
+NEAR = np.array([x for x in range(256) if x.bit_count() <= 2], np.uint8)
 
 _PLAIN = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 
@@ -71,53 +75,69 @@ def fingerprints(words: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Length:
-    """The items of one length in words."""
+    """The items of one length in words: their fingerprints, and for each block the items in the order of its values."""
 
     items: np.ndarray
     prints: np.ndarray
-    near: np.ndarray
+    order: np.ndarray
+    bounds: np.ndarray
 
     @classmethod
     def of(cls, items: list[int], prints: list[int]) -> Length:
-        """near[block, value, item]: the item's block is within two bits of the value."""
+        """bounds[block, value]: the first place of the value in the block's order; one more for the end."""
         prints_ = np.array(prints, "<u8")
-        parts = prints_.view(np.uint8).reshape(-1, BLOCKS)
-        distance = np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :, None] ^ parts.T[:, None, :])
-        return cls(np.array(items), prints_, distance <= 2)
+        parts = prints_.view(np.uint8).reshape(-1, BLOCKS).T
+        order = np.argsort(parts, axis=1, kind="stable").astype(np.int32)
+        values = np.take_along_axis(parts, order, axis=1)
+        bounds = np.array([np.searchsorted(row, np.arange(257)) for row in values.astype(np.int16)], np.int32)
+        return cls(np.array(items), prints_, order, bounds)
 
     def lookup(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) of all pairs within the radius."""
-        parts = found.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        hit = np.zeros((len(found), len(self.items)), bool)
-        for block in range(BLOCKS):
-            hit |= self.near[block][parts[:, block]]
-        window, item = np.nonzero(hit)
+        step = max(1, PAIRS // (BLOCKS * max(1, len(self.items))))
+        parts = [self._probe(found[first : first + step], first) for first in range(0, len(found), step)]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
+
+    def _probe(self, found: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values = (found.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)[:, :, None] ^ NEAR).astype(np.int64)
+        block = np.arange(BLOCKS)[None, :, None]
+        low, high = self.bounds[block, values], self.bounds[block, values + 1]
+        count = (high - low).ravel()
+        probe = np.flatnonzero(count)
+        count, low = count[probe].astype(np.int64), low.ravel()[probe]
+        at = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
+        window, table = np.divmod(probe, BLOCKS * len(NEAR))
+        item = self.order[np.repeat(table // len(NEAR), count), at]
+        pair = np.unique(np.repeat(window, count) * len(self.items) + item)
+        window, item = np.divmod(pair, len(self.items))
         distance = np.bitwise_count(found[window] ^ self.prints[item])
         close = distance <= RADIUS
-        return window[close], item[close], distance[close]
+        return window[close] + first, item[close], distance[close]
 
 
 class Index:
-    """A slice of the benchmark: its shingles, weights and fingerprints."""
+    """A slice of the benchmark: its shingles with their weights, and fingerprints."""
 
     def __init__(self, rows: list[tuple[int | None, str]]) -> None:
-        self.ids, self.sizes, self.weights = [], [], []
-        prints, shingle, owner = [], [], []
+        self.ids, self.sizes = [], []
+        prints, shingle, weight = [], [], []
         for item_id, text in rows:
             _, words, _, _ = words_of(text or "")
             if not len(words):
                 continue
-            found = shingle_hashes(words, WORDS)
-            shingle.append(np.unique(found))
-            owner.append(np.full(len(shingle[-1]), len(self.ids)))
+            keys, counts = np.unique(shingle_hashes(words, WORDS), return_counts=True)
+            shingle.append(keys)
+            weight.append(counts.astype(np.int32))
             self.ids.append(item_id)
             self.sizes.append(len(words))
-            self.weights.append(Counter(found.tolist()))
             prints.append(int(fingerprints(words, len(words))[0]))
         self.sizes_ = np.array(self.sizes, np.int64)
-        keys = np.concatenate(shingle) if shingle else np.empty(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], np.concatenate(owner)[order] if owner else np.empty(0, np.int64)
+        #: The shingles of item k are shingles[ends[k]:ends[k + 1]], sorted.
+        self.ends = np.cumsum([0, *map(len, shingle)])
+        self.shingles = np.concatenate([*shingle, np.empty(0, np.uint64)])
+        self.weights = np.concatenate([*weight, np.empty(0, np.int32)])
+        order = np.argsort(self.shingles, kind="stable")
+        self.keys, self.owner = self.shingles[order], np.repeat(np.arange(len(shingle), dtype=np.int32), np.diff(self.ends))[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.keys & np.uint64((1 << FILTER_BITS) - 1)] = True
         by_size: dict[int, list[int]] = defaultdict(list)
@@ -127,6 +147,15 @@ class Index:
         # Items shorter than a shingle are known by shingles of their own length.
         self.orders = sorted({min(WORDS, size) for size in by_size})
 
+    def similarity(self, item: int, window: np.ndarray) -> float:
+        """Smaller over larger weights of the shingles of an item and of a window's words."""
+        keys, counts = np.unique(shingle_hashes(window, WORDS), return_counts=True)
+        part = slice(self.ends[item], self.ends[item + 1])
+        mine, weights = self.shingles[part], self.weights[part]
+        at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
+        shared = int(np.where(mine[at] == keys, np.minimum(weights[at], counts), 0).sum())
+        return shared / (int(counts.sum()) + int(weights.sum()) - shared)
+
     def hits(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(length, places): where a shingle of an item of that length begins."""
         places, items = [], []
@@ -166,9 +195,7 @@ class Index:
         for window, item, distance in zip(windows[order].tolist(), items[order].tolist(), distances[order].tolist(), strict=True):
             if best.get(item, (0.0,))[0] == 1.0:
                 continue
-            mine, theirs = Counter(shingle_hashes(words[first + window : first + window + size], WORDS).tolist()), self.weights[item]
-            shared = sum((mine & theirs).values())
-            similarity = shared / (mine.total() + theirs.total() - shared)
+            similarity = self.similarity(item, words[first + window : first + window + size])
             if similarity >= SIMILAR and similarity > best.get(item, (0.0,))[0]:
                 best[item] = (similarity, first + window, distance)
 
@@ -183,13 +210,19 @@ def slices(benchmark: DataFrame, limit: int = SLICE) -> Iterator[list[tuple[int
         yield list(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True))
 
 
+def indexes(benchmark: DataFrame):
+    """A broadcast index of every slice; the driver keeps none of them."""
+    for rows in slices(benchmark):
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows))
+
+
 def find_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, distance and place (code points) of the best window of every item found."""
     found = None
-    for rows in slices(benchmark):
-        index = Index(rows)
+    for shared in indexes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in small_batches(batches, "text", 8 << 20):
                 out = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -210,10 +243,10 @@ def find_passages(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with all their columns, that hold no benchmark passage."""
-    for rows in slices(benchmark):
-        index = Index(rows)
+    for shared in indexes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
             for batch in small_batches(batches, "text", 8 << 20):
                 yield batch.filter(pa.array([not index.matches(words_of(text or "")[1]) for text in batch.column("text").to_pylist()], pa.bool_()))
 

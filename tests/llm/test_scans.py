@@ -144,6 +144,17 @@ def test_blocks_find_all_prints_within_the_radius():
             assert (0, item, distance) in set(zip(*(x.tolist() for x in table.lookup(np.array([flipped]))), strict=True))
 
 
+def test_an_index_of_many_items_stays_small(monkeypatch):
+    monkeypatch.setattr(decontamination, "PAIRS", 1 << 16)
+    rng = np.random.default_rng(4)
+    table = decontamination.Length.of(list(range(50_000)), rng.integers(0, 2**63, 50_000, dtype=np.uint64).tolist())
+    assert sum(x.nbytes for x in (table.items, table.prints, table.order, table.bounds)) < 60 * 50_000
+    asked = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    got = set(zip(*(x.tolist() for x in table.lookup(asked)), strict=True))
+    distance = np.bitwise_count(asked[:, None] ^ table.prints[None, :])
+    assert got == {(w, i, int(distance[w, i])) for w, i in zip(*np.nonzero(distance <= decontamination.RADIUS), strict=True)}
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark):
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
