@@ -2,17 +2,20 @@
 
 In each of TABLES tables a vector is turned by three rounds of random signs and
 a Walsh-Hadamard transform, and hashed to the signed axis nearest to it. A query
-is turned alike and probes the PROBES axes nearest to it in every table. Rows of
-a bucket are cut into blocks of at most BLOCK vectors, and a query visits every
-block of the buckets it probes; inside a block scores are a matrix product, and
-candidates near the block's best are scored again on the original vectors in
-double precision before the block's best are kept. Merging blocks and tables
-leaves each query's nearest.
+is turned alike and probes the PROBES axes nearest to it in every table.
+Neighbouring buckets travel together, GROUP axes at a time: a vector once a
+table, a query once for every group that it probes, with the set of its axes
+there. Vectors and queries of a group are both cut into blocks of at most TILE
+bytes, dealt by a hash of their ids, and every two of them meet in one tile. In
+a tile each bucket's vectors are multiplied with the queries that probe it, and
+candidates near a query's best are scored again in double precision before the
+best are kept. Values are shipped as wide as the column has them, so nothing is
+lost. Merging tiles leaves each query's nearest.
 
 Where norms differ, the largest inner product is not the smallest angle. Vectors
 are therefore hashed by direction in bands of nearly equal norm (a factor of
-2 ** 0.25), and queries probe every band; unit vectors make one band. Bucket
-sizes are collected: two times the dimension values a table and band.
+2 ** 0.25), and queries probe every band; unit vectors make one band. The sizes
+of groups are collected: a sixteenth of the dimension values a table and band.
 
 Queries that found fewer than ``k`` although there are more candidates are
 compared with all rows, in blocks.
@@ -33,10 +36,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from quillspar.llm.common import Scratch, fixed_width, runs, table
+from quillspar.llm.shingles import mix
 
-TABLES, PROBES, BLOCK = 6, 20, 4096
+TABLES, PROBES, GROUP, TILE = 3, 40, 32, 8 << 20
 SEED = 64
 NEAR = "query_id long, vec_id long, score double"
 
@@ -81,15 +86,15 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 
 def _key(size: int, number: int, band: np.ndarray, axis: np.ndarray) -> np.ndarray:
-    """A bucket: 12 bits of dimension, 3 of table, 14 of norm band, 14 of axis; 20 are left for a block."""
+    """A group of buckets: 12 bits of dimension, 3 of table, 14 of norm band, 8 of axes."""
     if size >= 1 << 12:
         raise ValueError("vectors may have 4095 components")
-    return ((np.int64(size) * 8 + number) * (1 << 14) + band + (1 << 13)) * (1 << 14) + axis
+    return ((np.int64(size) * 8 + number) * (1 << 14) + band + (1 << 13)) * (1 << 8) + axis // GROUP
 
 
 def _band_of(key: int) -> tuple[int, int]:
-    """Dimension and norm band of a bucket."""
-    return key >> 31, ((key >> 14) & ((1 << 14) - 1)) - (1 << 13)
+    """Dimension and norm band of a group."""
+    return key >> 25, ((key >> 8) & ((1 << 14) - 1)) - (1 << 13)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -102,84 +107,118 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
                 yield size, ids, vectors, vectors / top / norm, np.round(4 * (np.log2(top) + np.log2(norm))[:, 0]).astype(np.int64)
 
 
-def _packed(vectors: np.ndarray) -> np.ndarray:
-    return np.array([v.tobytes() for v in vectors.astype("<f8")], object)
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for size, _, _, unit, band in _parts(batches):
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, axis as a set, ids, vectors) of every vector, table by table."""
+    for size, ids, vectors, unit, band in _parts(batches):
         for number in range(TABLES):
-            yield pa.RecordBatch.from_arrays([pa.array(_key(size, number, band, axes(unit, number, 1)[:, 0]))], names=["k"])
-
-
-def _deal(blocks: dict[int, int]):
-    """Rows (k, side, vec_id, values): every vector in one block of its bucket in each table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for size, ids, vectors, unit, band in _parts(batches):
-            packed = pa.array(_packed(vectors), pa.binary())
-            for number in range(TABLES):
-                key = _key(size, number, band, axes(unit, number, 1)[:, 0])
-                count = np.fromiter((blocks[k] for k in key.tolist()), np.int64, len(key))
-                yield _rows(key * (1 << 20) + ids % count, 1, ids, packed)
+            axis = axes(unit, number, 1)[:, 0]
+            yield _key(size, number, band, axis), np.int64(1) << (axis % GROUP), ids, vectors
 
-    return run
 
+def _probed(bands: dict[int, set[int]], probes: int):
+    """(group, axes as a set, ids, vectors) of every query for every group that it probes."""
 
-def _probe(blocks: dict[int, int], probes: int):
-    """Rows (k, side, vec_id, values): every query in all blocks of the buckets that it probes."""
-    bands: dict[int, set[int]] = {}
-    for key in blocks:
-        size, band = _band_of(key)
-        bands.setdefault(size, set()).add(band)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for size, ids, vectors, unit, _ in _parts(batches):
-            packed = _packed(vectors)
             for number in range(TABLES):
                 axis = axes(unit, number, probes)
+                sets = np.zeros((len(ids), -(-int(axis.max(initial=0) + 1) // GROUP)), np.int64)
+                np.bitwise_or.at(sets, (np.arange(len(ids))[:, None], axis // GROUP), np.int64(1) << (axis % GROUP))
+                row, group = np.nonzero(sets)
                 for band in sorted(bands.get(size, ())):
-                    key = _key(size, number, np.int64(band), axis)
-                    count = np.fromiter((blocks.get(k, 0) for k in key.ravel().tolist()), np.int64, key.size)
-                    row = np.repeat(np.repeat(np.arange(len(ids)), key.shape[1]), count)
-                    block = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    yield _rows(np.repeat(key.ravel(), count) * (1 << 20) + block, 0, ids[row], pa.array(packed[row], pa.binary()))
+                    yield _key(size, number, np.int64(band), group * GROUP), sets[row, group], ids[row], vectors[row]
 
     return run
 
 
-def _rows(key: np.ndarray, side: int, ids: np.ndarray, packed: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, np.int32)), pa.array(ids), packed], names=["k", "side", "vec_id", "values"])
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All vectors of a dimension as one bucket."""
+    for whole in batches:
+        for size, ids, vectors in _groups(whole):
+            yield np.full(len(ids), size, np.int64), np.ones(len(ids), np.int64), ids, vectors
 
 
-def nearest(ids: np.ndarray, queries: np.ndarray, others: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per query of a block: query ids, vector ids and scores of its k best, without itself."""
-    for first in range(0, len(ids), 512):
-        rough = queries[first : first + 512] @ vectors.T
-        rough[ids[first : first + 512, None] == others[None, :]] = -np.inf
-        for row in range(len(rough)):
-            scores = rough[row]
-            floor = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
-            slack = 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else 0.0
-            at = np.flatnonzero((scores >= floor - slack) & (scores > -np.inf))
-            exact = (vectors[at] * queries[first + row]).sum(axis=1)
-            best = np.lexsort((others[at], -exact))[:k]
-            yield np.full(len(best), ids[first + row]), others[at[best]], exact[best]
+def _counted(rows: DataFrame, hashed) -> dict[int, tuple[int, int]]:
+    """Rows and components of a vector by group."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, _, vectors in hashed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), vectors.shape[1]))], names=["k", "size"])
+
+    return {row["k"]: (row["n"], row["size"]) for row in rows.mapInArrow(run, "k long, size long").groupBy("k").agg(F.count("*").alias("n"), F.max("size").alias("size")).collect()}
+
+
+def _dealt(rows: DataFrame, hashed, side: int, own: dict[int, int], others: dict[int, int], kind: str) -> DataFrame:
+    """Rows (k, side, axes, vec_id, values): each in its own block of its group, once for every block of the other side."""
 
-def _search(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sets, ids, vectors in hashed(batches):
+            mine, other = (np.fromiter((blocks.get(k, 0) for k in key.tolist()), np.int64, len(key)) for blocks in (own, others))
+            block = (mix(ids.view(np.uint64)) % np.maximum(mine, 1).astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(key)), other)
+            more = np.arange(len(at)) - np.repeat(np.cumsum(other) - other, other)
+            first, second = (block[at], more) if side else (more, block[at])
+            tile = mix(mix(mix(key[at].view(np.uint64)) + first.view(np.uint64)) + second.view(np.uint64)).view(np.int64)
+            packed = np.array([v.tobytes() for v in vectors.astype(kind)], object)
+            columns = [pa.array(tile), pa.array(np.full(len(at), side, np.int32)), pa.array(sets[at]), pa.array(ids[at]), pa.array(packed[at], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "side", "axes", "vec_id", "values"])
+
+    return rows.mapInArrow(run, "k long, side int, axes long, vec_id long, values binary")
+
+
+def _met(rows: DataFrame, asked: DataFrame, hashed, probed, kind: str, k: int, row_counts: dict | None = None) -> DataFrame:
+    """The best pairs of every tile."""
+    width = np.dtype(kind).itemsize
+    counted = (_counted(rows, hashed) if row_counts is None else row_counts), _counted(asked, probed)
+    row_blocks, query_blocks = ({key: -(-n // max(1, TILE // (size * width))) for key, (n, size) in side.items()} for side in counted)
+    both = _dealt(rows, hashed, 1, row_blocks, query_blocks, kind).union(_dealt(asked, probed, 0, query_blocks, row_blocks, kind))
+    return both.repartition("k").sortWithinPartitions("k", "side").mapInArrow(_search(k, kind), NEAR)
+
+
+def nearest(ids: np.ndarray, probes: np.ndarray, queries: np.ndarray, others: np.ndarray, axis: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per query of a tile: query ids, vector ids and scores of its k best (more where they tie), without itself."""
+    order = np.argsort(axis, kind="stable")
+    axis, others, vectors = axis[order], others[order], vectors[order]
+    starts = np.flatnonzero(np.append(True, axis[1:] != axis[:-1]))
+    # Single precision is rough enough unless products could leave its range.
+    rough_kind = np.float32 if max(np.abs(queries).max(), np.abs(vectors).max()) < 1e15 and vectors.dtype == np.float32 else np.float64
+    rough_vectors = vectors.astype(rough_kind, copy=False)
+    error = 4 * np.finfo(rough_kind).eps * vectors.shape[1] * np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max())
+    by_id = np.argsort(others, kind="stable")
+    sorted_ids = others[by_id]
+    step = max(1, (4 << 20) // len(others))
+    for first in range(0, len(ids), step):
+        some = slice(first, first + step)
+        rough = np.full((len(ids[some]), len(others)), -np.inf, rough_kind)
+        asked = queries[some].astype(rough_kind, copy=False)
+        for start, end in zip(starts, [*starts[1:], len(axis)], strict=False):
+            rows = np.flatnonzero(probes[some] & axis[start])
+            rough[rows, start:end] = asked[rows] @ rough_vectors[start:end].T
+        low, high = np.searchsorted(sorted_ids, ids[some], "left"), np.searchsorted(sorted_ids, ids[some], "right")
+        for row in np.flatnonzero(high > low).tolist():
+            rough[row, by_id[low[row] : high[row]]] = -np.inf
+        floor = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k] if rough.shape[1] > k else np.full(len(rough), -np.inf)
+        slack = error * np.sqrt((queries[some].astype(np.float64) ** 2).sum(axis=1))
+        row, at = np.nonzero((rough >= (floor - slack)[:, None]) & (rough > -np.inf))
+        exact = (vectors[at].astype(np.float64) * queries[some][row].astype(np.float64)).sum(axis=1)
+        best = np.lexsort((others[at], -exact, row))
+        row, at, exact = row[best], at[best], exact[best]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        yield ids[some][row[rank < k]], others[at[rank < k]], exact[rank < k]
+
+
+def _search(k: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in runs(batches):
-            side, ids = np.asarray(batch.column("side")), np.asarray(batch.column("vec_id"))
+            side, ids, sets = (np.asarray(batch.column(c)) for c in ("side", "vec_id", "axes"))
             for start, end in zip(bounds, [*bounds[1:], batch.num_rows], strict=False):
                 asked = start + int((side[start:end] == 0).sum())
                 if start == asked or asked == end:
                     continue
                 values = batch.column("values")
-                queries, vectors = fixed_width(values.slice(start, asked - start), "<f8"), fixed_width(values.slice(asked, end - asked), "<f8")
-                found = list(nearest(ids[start:asked], queries, ids[asked:end], vectors, k))
-                columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+                queries, vectors = fixed_width(values.slice(start, asked - start), kind), fixed_width(values.slice(asked, end - asked), kind)
+                for found in nearest(ids[start:asked], sets[start:asked], queries, ids[asked:end], sets[asked:end], vectors, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -195,39 +234,24 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(scratch: Scratch, vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row of ``queries`` (vec_id, embedding)."""
     rows, asked = usable(vectors), usable(queries)
-    buckets = rows.mapInArrow(_buckets, "k long").groupBy("k").count().collect()
-    blocks = {row["k"]: -(-row["count"] // BLOCK) for row in buckets}
-    dealt = "k long, side int, vec_id long, values binary"
-    both = rows.mapInArrow(_deal(blocks), dealt).union(asked.mapInArrow(_probe(blocks, PROBES), dealt))
-    pairs = both.repartition("k").sortWithinPartitions("k", "side").mapInArrow(_search(k), NEAR)
+    element = vectors.schema["embedding"].dataType.elementType
+    kind = "<f4" if isinstance(element, FloatType) else "<f8"
+    bands: dict[int, set[int]] = {}
+    counts = _counted(rows, _hashed)
+    for key in counts:
+        size, band = _band_of(key)
+        bands.setdefault(size, set()).add(band)
+    pairs = _met(rows, asked, _hashed, _probed(bands, PROBES), kind, k, counts)
     found = scratch.keep(ranked(pairs, k), "found")
     total = rows.select("vec_id").distinct().count()
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total - 1))
     short = asked.join(enough, asked["vec_id"] == enough["query_id"], "left_anti")
     if not short.isEmpty():
         found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
-        found = found.unionByName(ranked(against_all(rows, short, total, k), k))
+        found = found.unionByName(ranked(_met(rows, short, _whole, _whole, kind, k), k))
     return found
 
 
-def against_all(rows: DataFrame, short: DataFrame, total: int, k: int) -> DataFrame:
-    """Exact neighbours of a stated set of queries: every query visits every block of rows."""
-    n = max(1, -(-total // BLOCK))
-
-    def pack(frame: DataFrame, side: int, block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for size, ids, vectors in _groups(batch):
-                    packed = [v.tobytes() for v in vectors.astype("<f8")]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), size)), pa.array(ids), pa.array(packed, pa.binary())], names=["size", "vec_id", "values"])
-
-        kept = frame.mapInArrow(run, "size long, vec_id long, values binary").withColumn("block", block)
-        return kept.select(F.xxhash64("size", "block").alias("k"), F.lit(side).alias("side"), "vec_id", "values")
-
-    both = pack(rows, 1, F.pmod("vec_id", F.lit(n))).union(pack(short, 0, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))))
-    return both.repartition("k").sortWithinPartitions("k", "side").mapInArrow(_search(k), NEAR)
-
-
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -67,13 +67,22 @@ def test_few_odd_and_equal_vectors(spark):
 
 
 def test_hot_vector_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(cross_polytope, "BLOCK", 16)
+    monkeypatch.setattr(cross_polytope, "TILE", 256)  # 16 vectors or queries a block
     rows = [(i, [0.6, 0.8] if i % 3 else [math.cos(i), math.sin(i)]) for i in range(300)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in sorted(cross_polytope.search(Scratch(spark, "t"), vectors, vectors.where("vec_id % 50 = 0")).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(cross_polytope.search(Scratch(spark, "t"), vectors, vectors.where("vec_id % 5 = 0")).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.vec_id)
-    assert got == {q: [i for i, _ in v] for q, v in plain_nearest(rows, range(0, 300, 50), 20).items()}
+    assert got == {q: [i for i, _ in v] for q, v in plain_nearest(rows, range(0, 300, 5), 20).items()}
+
+
+def test_single_precision_is_kept_and_scored_in_double(spark):
+    rng = np.random.default_rng(9)
+    data = (rng.normal(size=(400, 24)) * 10.0 ** rng.integers(-3, 17, (400, 1))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    got = cross_polytope.search(Scratch(spark, "t"), vectors, vectors.where("vec_id % 20 = 0")).collect()
+    wide = data.astype(np.float64)
+    assert len(got) == 400 and all(r.score == pytest.approx(float(wide[r.query_id] @ wide[r.vec_id]), rel=1e-12, abs=1e-300) for r in got)
 
 
 def test_raking_meets_its_targets(spark):
