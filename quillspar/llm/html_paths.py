@@ -15,6 +15,9 @@ one, the nearest container. Inside it all is content but paths of several blocks
 that are mostly links; headings are content there and beside its ancestors.
 Paths elsewhere are content if their value reaches ``OUTSIDE`` of the best.
 
+Of an article's own header only headings are read. Self-closing drawings end
+where they begin.
+
 Where names would leave nothing of a page, as on a page whose outermost element
 is called a banner, they are not heeded.
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,8 +46,10 @@ AREA, OUTSIDE, LINKS = 0.6, 0.5, 0.6
 #: Elements by their treatment.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template svg math iframe object textarea select canvas video audio noframes title"
-SKIPPED = frozenset("head nav footer header aside form button dialog menu fieldset".split())
+RAW = "script style iframe textarea noframes title"
+SKIPPED = frozenset("head nav footer aside form button dialog menu fieldset".split())
+#: Left out too, but the text around them is one block.
+SKIPPED_INLINE = frozenset("noscript template svg math object select canvas video audio".split())
 ROOTS = frozenset("html body".split())
 #: Of these, only such names make boilerplate: their classes often tell of the layout around them.
 AREAS, AREA_NAMED = frozenset("main article".split()), frozenset("comment comments related ad ads advert sponsored promo".split())
@@ -57,12 +63,18 @@ NAMED = frozenset(
     "share sharing social related recommended recommendations pagination pager widget toolbar search hidden complementary contentinfo alert skip".split()
 )
 
+#: Words that may stand beside these in a name, as in cookie-bar; with any other word, as in share-price, a name marks nothing.
+BESIDE = frozenset(
+    "bar box block wrap wrapper container content inner outer area section row col column list links link item items icon icons button buttons btn top bottom left right main "
+    "site page global primary secondary sub post posts article entry media text slot unit banner zone panel group tools count counts form input field footer header fixed sticky mobile desktop".split()
+)
 #: So begin further such words.
 NAMED_STARTS = ("advert", "adsby", "sponsor", "cookie", "breadcrumb", "newsletter", "sidebar", "commentlist")
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({RAW.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\2\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>"
@@ -75,14 +87,57 @@ _ELSEWHERE = re.compile(r"(?<![a-z0-9])(?:no|has|with|without|non)[-_][a-z0-9]+"
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
+@dataclass
+class Tree:
+    """The paths of a page: every path is its parent's number and a label; path 0 is the root."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    label: list[str] = field(default_factory=lambda: [""])
+    known: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def child(self, path: int, label: str) -> int:
+        if (path, label) not in self.known:
+            self.known[path, label] = len(self.parent)
+            self.parent.append(path)
+            self.label.append(label)
+        return self.known[path, label]
+
+    def upward(self, path: int) -> list[int]:
+        """The path and the paths around it, up to the root."""
+        out = []
+        while path >= 0:
+            out.append(path)
+            path = self.parent[path]
+        return out
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
+@dataclass
+class Element:
+    tag: str
+    path: int
+    skipped: bool
+    #: In the header of an article, where only headings count.
+    header: bool = False
+
+
+def _named(value: str, marks: frozenset[str]) -> bool:
+    """Whether one of the names in an attribute is made of marking words, and words that may stand beside them."""
+    for name in value.split():
+        words = [word for word in re.split(r"[^a-z]+", name) if word]
+        if any(word in marks or marks is NAMED and word.startswith(NAMED_STARTS) for word in words):
+            if all(word in marks or word in BESIDE or word.startswith(NAMED_STARTS) for word in words):
+                return True
+    return False
+
+
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
     """The element's label in a path, and whether its attributes mark boilerplate."""
     label, named = tag, False
@@ -91,10 +146,9 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
             if name in ("id", "class", "role"):
-                words = re.split(r"[^a-z0-9]+", _ELSEWHERE.sub("", value))
-                named |= bool(marks.intersection(words)) or tag not in AREAS and any(word.startswith(NAMED_STARTS) for word in words)
-                if name != "role" and value:
-                    label += f".{value.split()[0]}" if value.split() else ""
+                named |= _named(_ELSEWHERE.sub("", value), marks)
+                if name != "role" and value.split():
+                    label += f".{value.split()[0]}"
             elif name == "style":
                 named |= "display:none" in value.replace(" ", "")
             else:
@@ -102,72 +156,90 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
     return label, named and tag not in ROOTS
 
 
-def blocks_of(page: str, by_name: bool = True) -> list[Block]:
-    """The page's blocks with text, in page order, without boilerplate elements; names count only if ``by_name``."""
-    stack: list[tuple[str, str, bool]] = []  # tag, label, skipped
+def blocks_of(page: str, by_name: bool = True) -> tuple[list[Block], Tree]:
+    """The page's blocks with text, in page order, without boilerplate elements, and their paths; names count only if ``by_name``."""
+    tree = Tree()
+    stack = [Element("", 0, False)]
+    opened: Counter[str] = Counter()
     found: list[Block] = []
     block: Block | None = None
     links = 0
 
-    def close(tags: set[str]) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in tags:
-                del stack[depth:]
+    def push(tag: str, label: str, skipped: bool, header: bool = False) -> None:
+        top = stack[-1]
+        path = top.path if skipped else tree.child(top.path, label)
+        stack.append(Element(tag, path, skipped or top.skipped, header or top.header))
+        opened[tag] += 1
+
+    def close(tag: str) -> None:
+        while True:
+            gone = stack.pop().tag
+            opened[gone] -= 1
+            if gone == tag:
                 return
 
     for match in TOKEN.finditer(page):
-        tag = match[3] or match[6]
+        tag = match[4] or match[7]
+        top = stack[-1]
         if tag is None:
             token = match[0]
-            if match[1] or token[0] == "<" and len(token) > 1:
+            if match[1] or match[2] or token[0] == "<" and len(token) > 1:
                 continue
-            if stack and stack[-1][2]:
+            if top.skipped or top.header and not any(opened[h] for h in HEADINGS):
                 continue
             text = html.unescape(token)
             if block is None:
                 if not text.strip():
                     continue
-                block = Block(tuple(label for _, label, _ in stack))
+                block = Block(top.path)
                 found.append(block)
             block.parts.append(text)
             if links:
                 block.linked += len(text.strip())
             continue
-        tag, ending, attributes = tag.lower(), match[2] or match[5], match[4] or match[7] or ""
+        tag, ending, attributes = tag.lower(), match[3] or match[6], match[5] or match[8] or ""
         if tag == "a":
             links = 0 if ending else 1
         if tag == "br":
             if block is not None:
                 block.parts.append(" ")
             continue
+        if tag in SKIPPED_INLINE:
+            if ending:
+                if opened[tag]:
+                    close(tag)
+            elif not attributes.endswith("/"):
+                push(tag, tag, True)
+            continue
         if tag in INLINE:
-            if not ending and by_name and not (stack and stack[-1][2]) and _label(tag, attributes)[1]:
-                stack.append((tag, tag, True))
-            elif ending and stack and stack[-1][0] == tag:
-                stack.pop()
+            if not ending and by_name and not top.skipped and _label(tag, attributes)[1]:
+                push(tag, tag, True)
+            elif ending and top.tag == tag:
+                close(tag)
             continue
-        block = None
+        if not top.skipped:
+            block = None
         if tag in VOID:
             continue
         if ending:
             links = 0  # a link that was left open ends with its block
-            if any(tag == open_tag for open_tag, _, _ in stack):
-                close({tag})
+            if opened[tag]:
+                close(tag)
             continue
-        if tag in CLOSES:
-            nearest = next((t for t, _, _ in reversed(stack) if t in CLOSES[tag] or t in ("ul", "ol", "dl", "table", "select")), None)
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
+            nearest = next((e.tag for e in reversed(stack) if e.tag in CLOSES[tag] or e.tag in ("ul", "ol", "dl", "table", "select")), None)
             if nearest in CLOSES[tag]:
-                close({nearest})
-        elif tag == "body":
-            close({"head"})
-        if stack and stack[-1][0] == "p":
-            stack.pop()
+                close(nearest)
+        elif tag == "body" and opened["head"]:
+            close("head")
+        if stack[-1].tag == "p":
+            close("p")
         label, named = _label(tag, attributes)
-        skipped = bool(stack and stack[-1][2]) or tag in SKIPPED or named and by_name
-        stack.append((tag, label, skipped))
+        own = tag == "header" and bool(opened["article"])
+        push(tag, label, tag in SKIPPED or tag == "header" and not own or named and by_name and not own, own)
     for block in found:
         block.text = " ".join("".join(block.parts).split())
-    return [block for block in found if block.text]
+    return [block for block in found if block.text], tree
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarray:
@@ -181,26 +253,23 @@ def _tag(label: str) -> str:
     return label.split(".")[0]
 
 
-def around(area: tuple[str, ...]) -> tuple[str, ...]:
+def around(tree: Tree, area: int) -> int:
     """The nearest article around the area, or else main, or the outermost section, or the nearest container."""
-    tags = [_tag(label) for label in area]
+    upward = tree.upward(area)
+    tags = [_tag(tree.label[path]) for path in upward]
     for tag in ("article", "main"):
         if tag in tags:
-            return area[: len(tags) - tags[::-1].index(tag)]
+            return upward[tags.index(tag)]
     if "section" in tags:
-        return area[: tags.index("section") + 1]
-    while area and _tag(area[-1]) not in CONTAINERS:
-        area = area[:-1]
-    return area
+        return upward[len(tags) - 1 - tags[::-1].index("section")]
+    return next((path for path, tag in zip(upward, tags, strict=True) if tag in CONTAINERS), 0)
 
 
-def select(blocks: list[Block]) -> list[Block]:
+def select(blocks: list[Block], tree: Tree) -> list[Block]:
     """The content blocks, chosen by the fused ratios of their paths."""
     if not blocks:
         return []
-    paths = sorted({block.path for block in blocks})
-    place = {path: k for k, path in enumerate(paths)}
-    at = np.array([place[block.path] for block in blocks])
+    paths, at = np.unique([block.path for block in blocks], return_inverse=True)
     size = np.array([len(block.text) for block in blocks], float)
     free = np.maximum(size - [block.linked for block in blocks], 0)
     points = np.array([len(PUNCTUATION.findall(block.text)) for block in blocks], float) * (free > 0)
@@ -210,22 +279,35 @@ def select(blocks: list[Block]) -> list[Block]:
     value = np.bincount(at, fused_each) / count
     linked = 1 - np.bincount(at, free) / np.bincount(at, size)
     mass = np.bincount(at, free) * (1 + by_points)
-    area: tuple[str, ...] = paths[int(np.argmax(mass))]
-    while area and sum(mass[k] for k, path in enumerate(paths) if path[: len(area)] == area) < AREA * mass.sum():
-        area = area[:-1]
-    area = around(area)
-    inside = np.array([path[: len(area)] == area for path in paths])
-    heading = np.array([bool(path) and _tag(path[-1]) in HEADINGS for path in paths])
-    beside = heading & np.array([path[:-1] == area[: len(path) - 1] for path in paths])
+    # Paths are numbered after the paths around them, so one pass back sums what lies under each.
+    under = [0.0] * len(tree.parent)
+    for path, own in zip(paths.tolist(), mass.tolist(), strict=True):
+        under[path] = own
+    for path in range(len(under) - 1, 0, -1):
+        under[tree.parent[path]] += under[path]
+    area = int(paths[int(np.argmax(mass))])
+    while area and under[area] < AREA * under[0]:
+        area = tree.parent[area]
+    area = around(tree, area)
+    outside = set(tree.upward(area))
+    within = [False] * len(tree.parent)
+    for path in range(len(within)):
+        within[path] = path == area or path > 0 and within[tree.parent[path]]
+    inside = np.array([within[path] for path in paths.tolist()])
+    heading = np.array([_tag(tree.label[path]) in HEADINGS for path in paths.tolist()])
+    beside = heading & np.array([tree.parent[path] in outside for path in paths.tolist()])
     keep = np.where(inside, (linked <= LINKS) | (count == 1) | heading, beside | (value >= OUTSIDE * value.max()) & (linked <= 0.3))
     if not keep.any():
         keep = value >= value.max()
-    return [block for block, k in zip(blocks, at, strict=True) if keep[k]]
+    return [block for block, k in zip(blocks, at.tolist(), strict=True) if keep[k]]
 
 
 def main_text(page: str | None) -> str:
     page = page or ""
-    return "\n".join(block.text for block in select(blocks_of(page) or blocks_of(page, by_name=False)))
+    blocks, tree = blocks_of(page)
+    if not blocks:
+        blocks, tree = blocks_of(page, by_name=False)
+    return "\n".join(block.text for block in select(blocks, tree))
 
 
 def extract(pages: DataFrame) -> DataFrame:

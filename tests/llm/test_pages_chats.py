@@ -1,10 +1,15 @@
 """HTML extraction and chat formatting."""
 
 import hashlib
+import html
+import math
+import time
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
 from quillspar.llm import chat_format
+from quillspar.llm import html_paths as rules
 from quillspar.llm.html_paths import extract, main_text
 
 
@@ -100,3 +105,121 @@ def test_whole_articles():
     assert [line for line in main_text(linked).split("\n") if len(line) < 20] == ["One", "Two"]
     beside = f"<body><div><h1>Title</h1><div class=text><p>{long}</p><p>{long}</p></div></div><div class=other><ul><li><a>x</a></li><li><a>y</a></li></ul></div></body>"
     assert main_text(beside).split("\n")[0] == "Title" and "x" not in main_text(beside).split("\n")
+
+
+def test_no_text_is_lost_behind_odd_markup():
+    assert main_text("<article><p>See <svg class='i'/> second, part.</p><p>Third <math/>line.</p></article>") == "See second, part.\nThird line."
+    assert main_text("<article><p>One <svg><title>t</title><path d='x'/><text>drawn</text></svg>two.</p></article>") == "One two."
+    assert main_text("""<article><p>Before.</p><script data-x='it"s>var code = "<p>";</script><p>After.</p></article>""") == "Before.\nAfter."
+    assert main_text("<article><p>One <noscript><p>Enable it.</p></noscript>two.</p><p>Three <select><option>o</select> four.</p></article>") == "One two.\nThree four."
+    assert main_text("<article><header class=entry-header><h1>Title</h1><p>By someone</p></header><p>The text, at last.</p></article>") == "Title\nThe text, at last."
+    assert main_text("<article><p class='share-price'>Up by 3, to 5.</p><div class='search-results'><p>Found it.</p></div><div class='share-buttons'>Share!</div><div class='cookie-bar-2'>Yum.</div></article>") == "Up by 3, to 5.\nFound it."
+
+
+def test_deep_pages_take_linear_time():
+    deep = "<div>" * 60_000 + "<p>Deep, deep down.</p>" * 3000
+    began = time.time()
+    assert main_text(deep) == "\n".join(["Deep, deep down."] * 3000)
+    assert main_text("<div>" * 30_000 + "<p>x, y.</p></i></u></section>" * 3000).count("x, y.") == 3000
+    assert time.time() - began < 20
+
+
+class PlainParser(HTMLParser):
+    """Blocks with tuple paths, by the standard library's parser and the same rules."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.stack, self.blocks, self.open, self.links = [], [], False, False
+
+    def skipped(self):
+        return any(skip for _, skip in self.stack)
+
+    def handle_starttag(self, tag, attrs):
+        self.links = self.links or tag == "a"
+        if tag == "br" and self.open:
+            self.blocks[-1][1].append(" ")
+        if tag in rules.INLINE:
+            return
+        self.open = False
+        if tag in rules.VOID:
+            return
+        if tag == "body":
+            self.handle_endtag("head")
+        if tag in rules.CLOSES and self.stack and self.stack[-1][0].split(".")[0] in rules.CLOSES[tag]:
+            self.stack.pop()
+        if self.stack and self.stack[-1][0].split(".")[0] == "p":
+            self.stack.pop()
+        names = " ".join(v or "" for k, v in attrs if k in ("id", "class"))
+        skip = tag in rules.SKIPPED or tag in rules.RAW.split() or tag == "header" or names in ("ad", "sidebar")
+        self.stack.append((f"{tag}.{names}" if names else tag, skip))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.links = False
+        if tag in rules.INLINE:
+            return
+        self.open = self.links = False
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0].split(".")[0] == tag:
+                del self.stack[k:]
+                return
+
+    def handle_data(self, data):
+        if self.skipped() or not self.open and not data.strip():
+            return
+        if not self.open:
+            self.blocks.append((tuple(label for label, _ in self.stack), [], [0]))
+            self.open = True
+        self.blocks[-1][1].append(data)
+        if self.links:
+            self.blocks[-1][2][0] += len(data.strip())
+
+    def handle_entityref(self, name):
+        self.handle_data(html.unescape(f"&{name};"))
+
+    def handle_charref(self, name):
+        self.handle_data(html.unescape(f"&#{name};"))
+
+
+def plain_text(page):
+    """The rules of ``select`` over tuple paths, one path at a time."""
+    parser = PlainParser()
+    parser.feed(page)
+    parser.close()
+    blocks = [(path, " ".join("".join(parts).split()), linked[0]) for path, parts, linked in parser.blocks]
+    blocks = [b for b in blocks if b[1]]
+    stats = {}
+    for path, text, linked in blocks:
+        entry = stats.setdefault(path, [0, 0, 0.0, 0])
+        entry[0] += 1
+        entry[1] += len(text)
+        entry[2] += max(len(text) - linked, 0)
+        entry[3] += len(rules.PUNCTUATION.findall(text)) * (len(text) > linked)
+    smoothed = [[sum(w * column[i + d] for d, w in kernel if 0 <= i + d < len(blocks)) / sum(w for d, w in kernel if 0 <= i + d < len(blocks)) for i in range(len(blocks))]
+                for kernel in [[(d, math.exp(-0.5 * d * d)) for d in range(-2, 3)]] for column in ([stats[p][2] / stats[p][0] for p, _, _ in blocks], [stats[p][3] / stats[p][0] for p, _, _ in blocks])]
+    value = {p: sum(a * (1 + b) for (q, _, _), a, b in zip(blocks, *smoothed, strict=True) if q == p) / stats[p][0] for p in stats}
+    mass = {p: s[2] * (1 + s[3] / s[0]) for p, s in stats.items()}
+    area = max(mass, key=mass.get)
+    while area and sum(m for p, m in mass.items() if p[: len(area)] == area) < rules.AREA * sum(mass.values()):
+        area = area[:-1]
+    tags = [label.split(".")[0] for label in area]
+    if "article" in tags:
+        area = area[: len(tags) - tags[::-1].index("article")]
+    kept = []
+    for path, text, _ in blocks:
+        linked = 1 - stats[path][2] / stats[path][1]
+        heading = path and path[-1].split(".")[0] in rules.HEADINGS
+        if path[: len(area)] == area:
+            good = linked <= rules.LINKS or stats[path][0] == 1 or heading
+        else:
+            good = heading and path[:-1] == area[: len(path) - 1] or value[path] >= rules.OUTSIDE * max(value.values()) and linked <= 0.3
+        if good:
+            kept.append(text)
+    return "\n".join(kept)
+
+
+def test_pages_equal_a_plain_version(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    article = "<article class=x><h1>A &amp; b</h1><p>One, two <a href=u>three</a>.<p>Four &eacute;&#233; five.<ul><li>six.<li><a href=v>seven</a></ul><h2><a href=w>Eight</a></h2><table><tr><td>9.<td>10, 11.</table></article>"
+    pages += [f"<body><nav><a href=n>n</a></nav>{article}<aside>more</aside><div class=sidebar><p>side.</p></div></body>", f"<div><header>top</header>{article}<footer>f</footer></div>"]
+    assert [main_text(page) for page in pages] == [plain_text(page) for page in pages]
