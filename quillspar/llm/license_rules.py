@@ -70,26 +70,71 @@ SENTENCES = {
     "apache-comply": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
     "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-free-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-liability": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-liability": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "apache-terms": "see the license for the specific language governing permissions and limitations under the license",
+    "mpl-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "cc0-waive": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "cc-share": "share copy and redistribute the material in any medium or format",
+    "cc-adapt": "adapt remix transform and build upon the material",
+    "cc-attribution": "you must give appropriate credit provide a link to the license and indicate if changes were made",
+    "cc-noncommercial": "you may not use the material for commercial purposes",
+    "cc-sharealike": "if you remix transform or build upon the material you must distribute your contributions under the same license as the original",
+    "cc-noderivatives": "if you remix transform or build upon the material you may not distribute the modified material",
     "public-domain": "this work is dedicated to the public domain",
     "all-rights": "all rights reserved",
 }
-#: Rules as sequences of sentence identifiers; ``ref:X`` is any reference to X.
+#: The family of GNU licences: identifier, name, version, what is licensed.
+GNU = (
+    ("GPL-2.0", "gnu general public license", "2", "program"), ("GPL-3.0", "gnu general public license", "3", "program"),
+    ("LGPL-2.1", "gnu lesser general public license", "2 1", "library"), ("LGPL-3.0", "gnu lesser general public license", "3", "library"),
+    ("AGPL-3.0", "gnu affero general public license", "3", "program"),
+)
+for _id, _name, _version, _what in GNU:
+    _free = f"this {_what} is free software you can redistribute it and or modify it under the terms of the {_name}"
+    SENTENCES[f"free:{_id}-or-later"] = f"{_free} as published by the free software foundation either version {_version} of the license or at your option any later version"
+    SENTENCES[f"free:{_id}-only"] = f"{_free} version {_version} as published by the free software foundation"
+    SENTENCES[f"details:{_name}"] = f"see the {_name} for more details"
+    SENTENCES[f"copy:{_name}"] = f"you should have received a copy of the {_name} along with this {_what}"
+#: Rules as sequences of sentence identifiers, longer ones first; ``ref:X`` is any reference to X.
 RULES = (
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty", "bsd-liability")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("MIT", ("mit-grant", "mit-notice", "as-is", "no-liability")),
+    ("ISC", ("isc-grant", "isc-warranty", "isc-liability")),
+    ("Apache-2.0", ("ref:Apache-2.0", "apache-comply", "apache-copy", "apache-basis", "apache-terms")),
     ("Apache-2.0", ("ref:Apache-2.0", "apache-comply", "apache-basis")),
     ("Apache-2.0", ("apache-comply", "apache-basis")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
-    ("GPL-2.0-or-later", ("gpl-free-2", "gpl-hope")),
+    ("MPL-2.0", ("mpl-subject", "mpl-copy")),
+    ("CC-BY-NC-SA-4.0", ("cc-share", "cc-adapt", "cc-attribution", "cc-noncommercial", "cc-sharealike")),
+    ("CC-BY-SA-4.0", ("cc-share", "cc-adapt", "cc-attribution", "cc-sharealike")),
+    ("CC-BY-NC-4.0", ("cc-share", "cc-adapt", "cc-attribution", "cc-noncommercial")),
+    ("CC-BY-ND-4.0", ("cc-share", "cc-attribution", "cc-noderivatives")),
+    ("CC-BY-4.0", ("cc-share", "cc-adapt", "cc-attribution")),
+    *(
+        rule
+        for _id, _name, _, _what in GNU
+        for _kind in ("or-later", "only")
+        for _free, _hope in [(f"free:{_id}-{_kind}", "lgpl-hope" if _what == "library" else "gpl-hope")]
+        for rule in (
+            (f"{_id}-{_kind}", (_free, _hope, f"details:{_name}", f"copy:{_name}")),
+            (f"{_id}-{_kind}", (_free, _hope, f"details:{_name}")),
+            (f"{_id}-{_kind}", (_free, _hope)),
+            (f"{_id}-{_kind}", (_free,)),
+        )
+    ),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-grant",)),
     ("ISC", ("isc-grant",)),
-    ("GPL-3.0-or-later", ("gpl-free",)),
-    ("GPL-2.0-or-later", ("gpl-free-2",)),
+    ("MPL-2.0", ("mpl-subject",)),
+    ("CC0-1.0", ("cc0-waive",)),
     ("public-domain", ("public-domain",)),
     ("all-rights-reserved", ("all-rights",)),
     *((name, (f"ref:{name}",)) for name in NAMES),
@@ -114,8 +159,7 @@ def known() -> dict[str, str]:
 
 KNOWN = known()
 #: Every known sentence holds one of these.
-CUES = ("licen", "permission", "warranty", "liable", "redistribut", "public domain", "free software", "rights reserved", "neither the name", "released under", "distributed under", "available under", "published under", "substantial portions")
-LONGEST = max(map(len, KNOWN))
+CUES = ("licen", "permission", "warranty", "liable", "redistribut", "public domain", "free software", "rights reserved", "neither the name", "released under", "distributed under", "available under", "published under", "substantial portions", "liability", "waived all", "the mpl", "the material", "the possibility of", "warranties")
 _LINE, _STOP = re.compile(r"[^\n]+"), re.compile(r".+?(?:[.!?;](?=\s)|\Z|\n\s*\n)", re.DOTALL)
 
 
@@ -127,7 +171,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     found = {}
     for pattern in (_LINE, _STOP):
         for piece in pattern.finditer(text):
-            if piece.end() - piece.start() <= 4 * LONGEST and (name := KNOWN.get(normalise(piece[0]))):
+            if name := KNOWN.get(normalise(piece[0])):
                 blank = len(piece[0]) - len(piece[0].lstrip())
                 found[piece.start() + blank] = max(found.get(piece.start() + blank, (0, "")), (piece.end(), name))
     out: list[tuple[int, int, str]] = []

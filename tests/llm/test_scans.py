@@ -71,6 +71,58 @@ def test_every_known_sentence_is_found_in_its_place():
         assert license_rules.sentences(f"{lead}{text.capitalize()}.\nAnd more.") [0][0::2] == (len(lead), name)
 
 
+def plain_licences(text):
+    """Every line and every run between stops is compared with every known sentence; rules try all places one by one."""
+    cuts = {0, len(text)} | {k + 1 for k in range(len(text)) if text[k] == "\n"}
+    stops = {0, len(text)} | {k + 1 for k in range(len(text)) if text[k] in ".!?;" and text[k + 1 : k + 2].isspace()}
+    found = {}
+    for bounds in (sorted(cuts), sorted(stops)):
+        for a, b in zip(bounds, bounds[1:]):
+            piece = text[a:b]
+            words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in piece.lower()).split()
+            for known, name in license_rules.KNOWN.items():
+                if known.split() == words:
+                    place = a + len(piece) - len(piece.lstrip())
+                    found[place] = max(found.get(place, (0, "")), (b - (bounds == sorted(cuts) and piece.endswith("\n")), name))
+    rows = []
+    for a, (b, name) in sorted(found.items()):
+        if not rows or a >= rows[-1][1]:
+            rows.append((a, b, name))
+    used, out = set(), []
+    for licence, sequence in license_rules.RULES:
+        for first, (_, _, name) in enumerate(rows):
+            taken = [first]
+            if first in used or name != sequence[0]:
+                continue
+            for wanted in sequence[1:]:
+                later = [k for k in range(taken[-1] + 1, len(rows)) if k not in used and rows[k][2] == wanted]
+                if later and license_rules.between(text, rows[taken[-1]][1], rows[later[0]][0]) <= license_rules.GAP:
+                    taken.append(later[0])
+            if [rows[k][2] for k in taken] == list(sequence):
+                used.update(taken)
+                out.append(licence)
+    return ",".join(sorted({*out, *(["unknown-notice"] if len(used) < len(rows) else [])}))
+
+
+def test_licences_equal_a_naive_matcher(spark):
+    rng = random.Random(12)
+    known = list(license_rules.SENTENCES.values())
+    texts = []
+    for _ in range(150):
+        _, sequence = rng.choice([r for r in license_rules.RULES if not any(x.startswith("ref:") for x in r[1])])
+        lines = [license_rules.SENTENCES[x].capitalize() + "." for x in sequence]
+        for _ in range(rng.randrange(4)):
+            lines.insert(rng.randrange(len(lines) + 1), rng.choice(["Some other words here.", rng.choice(known), "Licensed under the MIT License.", "# * //"]))
+        texts.append(rng.choice(["\n", " ", "\n\n"]).join(lines))
+    marks = "/*" + "*" * 5000 + "\n"
+    texts += [None, "", "Released under the Apache License, Version 2.0", "*" * 5000 + license_rules.SENTENCES["mit-grant"] + "*" * 5000, marks + known[0]]
+    rows = [(n if n else None, text, "x") for n, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, licences string")
+    got = {r.doc_id: r.licences for r in license_rules.scan(docs).collect()}
+    assert got == {i: plain_licences(text or "") for i, text, _ in rows}
+    assert got[153] == "MIT" and license_rules.scan(docs.limit(0)).count() == 0
+
+
 def plain_passages(text, items):
     words = decontamination.words_of(text or "")[1]
     found = decontamination.shingle_hashes(words, 5)
