@@ -71,9 +71,16 @@ def f01_document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_documents(chunks.unionByName(chunks), registry)
 
 
-@query("f10_like", r"SELECT p_partkey FROM part WHERE p_name LIKE '%o\_d%' ESCAPE '\' OR p_name LIKE '%ring%'")
+def holds_literally(text: Column, term: str) -> Column:
+    """SQL LIKE for a term whose own ``%``, ``_`` and backslashes mean themselves."""
+    escaped = term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return F.like(text, F.lit(f"%{escaped}%"))
+
+
+@query("f10_like", r"""SELECT event_id FROM events WHERE event_type LIKE '%\_%' ESCAPE '\' OR replace(props, ' ', '_') LIKE '%":\_1%' ESCAPE '\' OR replace(props, '3', '%') LIKE '%\%7%' ESCAPE '\'""")
 def f10_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.col("p_name").contains("o_d") | F.col("p_name").contains("ring")).select("p_partkey")
+    marked = holds_literally(F.replace("props", F.lit(" "), F.lit("_")), '":_1') | holds_literally(F.replace("props", F.lit("3"), F.lit("%")), "%7")
+    return table(spark, sf_dir, "events").where(holds_literally(F.col("event_type"), "_") | marked).select("event_id")
 
 
 @query("f11_optional_filters", "SELECT event_id FROM events WHERE event_type = 'click' AND json_extract_string(props, '$.k') = '3'")

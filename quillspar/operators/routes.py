@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspar.functions.scalars import news_date
 from quillspar.functions.text import status_of, windows
 from quillspar.operators.evidence import grounding
-from quillspar.operators.linkage import part_pairs, score_pairs
+from quillspar.operators.linkage import indel_ratio, part_titles, score_titles
 from quillspar.operators.windows import cap_per_key
 from quillspar.registry import query
 from quillspar.sources.tables import table
@@ -183,7 +183,7 @@ def s08_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j13_best_title")
 def j13_best_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_pairs(part_pairs(spark, sf_dir), "title", "rtitle").where("score >= 70")
+    scored = score_titles(*part_titles(spark, sf_dir), 70.0, indel_ratio)
     return scored.groupBy("id").agg(F.max_by("rid", F.struct("score", "rid")).alias("rid"), F.max("score").alias("score"))
 
 

@@ -31,7 +31,7 @@ def upsert(index: DataFrame, rows: DataFrame, key: str, body: str) -> DataFrame:
 
 def snapshot_signature(frame: DataFrame, *columns: str) -> Column | DataFrame:
     """One row (rows, signature) that changes with any value, in whatever order rows come."""
-    return frame.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*columns)).alias("signature"))
+    return frame.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("signature"))
 
 
 def resume(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -46,6 +46,54 @@ def leases(log: DataFrame, now: Column) -> DataFrame:
     return last.select("job", state.alias("state"))
 
 
+def _changed(jobs: DataFrame, job: str, allowed: Column, **values: Column) -> DataFrame:
+    """The jobs with one of them changed where ``allowed``; ValueError if it is not there or not allowed."""
+    row = F.col("job") == job
+    if jobs.where(row & F.coalesce(allowed, F.lit(False))).isEmpty():
+        raise ValueError(f"job {job} does not allow this")
+    return jobs.select(*[F.when(row, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in jobs.columns])
+
+
+def create_job(jobs: DataFrame, job: str, key: str, now: float) -> DataFrame:
+    """Jobs (job, key, state, owner, until, cancel, created) with one more, unless one of the same key is there."""
+    one = jobs.sparkSession.createDataFrame([(job, key, "queued", None, 0.0, False, float(now))], jobs.schema)
+    return jobs.unionByName(one.join(jobs.select("key"), "key", "left_anti").select(jobs.columns))
+
+
+def claim(jobs: DataFrame, owner: str, now: float, seconds: float = 600) -> DataFrame:
+    """The oldest job that is queued, or whose lease has expired, is leased to the owner; expired jobs to be cancelled are cancelled."""
+    expired = F.col("until") < now
+    over = F.col("cancel") & expired & ~F.col("state").isin("ready_for_review", "failed", "cancelled")
+    jobs = jobs.withColumn("state", F.when(over, "cancelled").otherwise(F.col("state")))
+    free = ~F.col("cancel") & ((F.col("state") == "queued") | (F.col("state").isin("analyzing", "generating", "validating") & expired))
+    chosen = jobs.where(free).orderBy("created", "job").limit(1).select("job").collect()
+    if not chosen:
+        return jobs
+    return _changed(jobs, chosen[0]["job"], F.lit(True), state=F.lit("analyzing"), owner=F.lit(owner), until=F.lit(float(now + seconds)))
+
+
+def heartbeat(jobs: DataFrame, job: str, owner: str, now: float, state: str = "generating", seconds: float = 600) -> DataFrame:
+    """A lease that is still held is made longer; ValueError if it is another's, has expired, or the job is to be cancelled."""
+    held = (F.col("owner") == owner) & (F.col("until") >= now) & ~F.col("cancel")
+    return _changed(jobs, job, held, state=F.lit(state), until=F.lit(float(now + seconds)))
+
+
+def finish(jobs: DataFrame, job: str, owner: str, state: str) -> DataFrame:
+    """The owner's job ends in ``state``, or cancelled if that was asked for."""
+    return _changed(jobs, job, F.col("owner") == owner, state=F.when(F.col("cancel"), "cancelled").otherwise(state), until=F.lit(0.0))
+
+
+def cancel(jobs: DataFrame, job: str) -> DataFrame:
+    """Asks for an end: queued jobs are cancelled at once, running ones when they end or expire."""
+    open_ = ~F.col("state").isin("ready_for_review", "failed", "cancelled")
+    return _changed(jobs, job, open_, cancel=F.lit(True), state=F.when(F.col("state") == "queued", "cancelled").otherwise(F.col("state")))
+
+
+def retry(jobs: DataFrame, job: str) -> DataFrame:
+    """A failed or cancelled job is queued again."""
+    return _changed(jobs, job, F.col("state").isin("failed", "cancelled"), state=F.lit("queued"), owner=F.lit(None).cast("string"), until=F.lit(0.0), cancel=F.lit(False))
+
+
 def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
     """Counts and sums per window and type; as a stream, rows later than ``late`` are dropped by the watermark."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
