@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``docs``.
+
+Defined results: null and empty texts are scored by the bias alone, have no
+near duplicates, hold no passage, and are sampled as their cell is; rows with a
+null doc_id stay through near duplicates and are compared otherwise like
+others; rows that repeat one doc_id are one document, which stays or goes
+whole; null languages and sources form the value ``unknown``; an empty table
+gives no rows; further columns travel along, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,7 +58,7 @@ STAGES = [
     ("token_store", encoded),
 ]
 
-#: SQL cannot state the stages; tests hold each against a plain version.
+#: SQL cannot state the stages; tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
 
 
