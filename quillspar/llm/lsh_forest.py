@@ -53,7 +53,7 @@ from quillspar.llm.shingles import mix, shingle_hashes, word_hashes
 WORDS, SIMILAR = 5, 75
 TREES, DEPTH, HASHES = 32, 4, 128
 REGION, PART, BLOCK, AGREE = 1024, 256, 1024, 0.62
-TILE_CLASSES, TILE_HASHES = 1000, 1_500_000
+TILE_CLASSES, TILE_HASHES, SALTS = 1000, 1_500_000, 16
 
 _SEEDS = np.random.default_rng(20).integers(1, 2**32, (2, HASHES), dtype=np.uint32)
 
@@ -218,6 +218,12 @@ def regions(scratch: Scratch, classes: DataFrame) -> tuple[DataFrame, DataFrame]
     return whole.union(parts), cut
 
 
+def salted(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with one row a group; each group's rows are dealt over SALTS parts of the join, so a large group is not one task's."""
+    every = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(every.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
 def across(scratch: Scratch, name: str, rows: DataFrame, joined: DataFrame) -> DataFrame:
     """(k, doc_id): tiles in which all classes of a group meet that are in different components.
 
@@ -231,7 +237,7 @@ def across(scratch: Scratch, name: str, rows: DataFrame, joined: DataFrame) -> D
     # Large components have blocks of their own; the others share blocks.
     own = F.when(F.col("w") > 1, F.col("c"))
     deal = sizes.join(apart.hint("merge"), "k").select("k", "c", own.alias("own"), F.ceil(F.when(F.col("w") > 1, F.col("w")).otherwise(F.col("rest"))).alias("blocks"))
-    placed = rows.join(deal.hint("merge"), ["k", "c"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    placed = salted(rows, deal, ["k", "c"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     placed = scratch.keep(placed.select("k", "own", F.xxhash64("k", F.col("own").isNull(), F.coalesce("own", F.lit(0)), "part").alias("block"), "doc_id"), f"{name}-blocks")
     blocks = placed.select("k", "own", "block").distinct()
     pairs = blocks.join(blocks.select("k", F.col("own").alias("own_b"), F.col("block").alias("b")).hint("merge"), "k").where("block <= b AND (own IS NULL OR own_b IS NULL OR own <> own_b)")
@@ -316,8 +322,8 @@ def confirmed(scratch: Scratch, texts: DataFrame, classes: DataFrame, soft: Data
     """Links (a, b) between classes of the components ``soft`` (node, component), found on full sets."""
     share = F.greatest(F.lit(1.0 / TILE_CLASSES), F.col("n_shingles") / TILE_HASHES)
     members = scratch.keep(classes.join(soft.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "digest", "component", share.alias("w")), "members")
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("w")).alias("blocks"))
-    placed = members.join(blocks.hint("merge"), "component")
+    large = scratch.keep(members.groupBy("component").agg(F.ceil(F.sum("w")).alias("blocks")).where("blocks > 1"), "large")
+    placed = salted(members, large, ["component"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     sets = (
         texts.join(placed.hint("merge"), "doc_id")
         .select("doc_id", "text", "digest", "component", "blocks")
@@ -327,7 +333,7 @@ def confirmed(scratch: Scratch, texts: DataFrame, classes: DataFrame, soft: Data
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     block = F.explode(F.when(F.col("doc_id") == F.col("component"), every).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")))))
     found = scratch.keep(compared(sets.withColumn("block", block).withColumn("k", F.xxhash64("component", "block"))), "links")
-    several = members.join(blocks.where("blocks > 1").hint("merge"), "component").select(F.col("component").alias("k"), "doc_id", "w")
+    several = salted(members, large, ["component"]).select(F.col("component").alias("k"), "doc_id", "w")
     if several.isEmpty():
         return found
     tiles = scratch.keep(across(scratch, "exact", several, components(scratch, found, "first")), "tiles")
