@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspar.functions import extraction, scalars
-from quillspar.operators import composites, facts, graph, knowledge, linkage
+from quillspar.operators import composites, facts, graph, knowledge, linkage, maintenance
 from quillspar.streaming import incremental
 
 
@@ -215,3 +215,19 @@ def test_network_weights(spark):
 
 def test_places_agree_with_search():
     assert bisect.bisect(plain_places("aaaa", "aa"), 0) == 1
+
+
+def test_graph_merge(spark):
+    schema = "seq long, assertion_id long, subject string, subject_name string, subject_type string, predicate string, object string, object_name string, object_type string, object_kind string, status string"
+    rows = [(1, 1, "a", "A", "t", "p", "b", "B", "t", "entity", "approved"), (2, 2, "c", None, "t", "p", "5", "5", "t", "literal", "approved"), (3, 3, None, None, None, "p", "z", "Z", "t", "entity", "approved"), (4, 4, "a", "A2", "t", "p", "b", "B", "t", "entity", "withdrawn"), (5, 1, "a", "A3", "t", "q", "d", "D", "t", "entity", "modified")]
+    nodes = spark.createDataFrame([("old", "Old", "t"), ("a", "was", "t")], "id string, name string, type string")
+    edges = spark.createDataFrame([(4, "x", "p", "y", "approved"), (9, "x", "p", "y", "approved")], "assertion_id long, src string, predicate string, dst string, status string")
+    got = maintenance.graph_merge(nodes, edges, spark.createDataFrame(rows, schema))
+    assert {(r.id, r["name"]) for r in got[0].collect()} == {("old", "Old"), ("a", "A3"), ("b", "B"), ("c", "c"), ("d", "D")}
+    assert {(r.assertion_id, r.src, r.predicate, r.dst) for r in got[1].collect()} == {(9, "x", "p", "y"), (1, "a", "q", "d")}
+
+
+def test_copies_have_a_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "i int, t string")
+    made = {r["name"]: (r.rows, r.checksum) for r in maintenance.copy_selected({"x": rows, "y": rows.repartition(3), "z": rows.where("i = 1")}, str(tmp_path / "one")).collect()}
+    assert made["x"] == made["y"] != made["z"] and made["z"][0] == 1 and spark.read.parquet(str(tmp_path / "one" / "x")).count() == 3
