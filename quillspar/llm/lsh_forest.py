@@ -218,10 +218,10 @@ def regions(scratch: Scratch, classes: DataFrame) -> tuple[DataFrame, DataFrame]
     return whole.union(parts), cut
 
 
-def salted(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def salted(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` joined with one row a group; each group's rows are dealt over SALTS parts of the join, so a large group is not one task's."""
     every = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(every.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(every.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def across(scratch: Scratch, name: str, rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -322,8 +322,8 @@ def confirmed(scratch: Scratch, texts: DataFrame, classes: DataFrame, soft: Data
     """Links (a, b) between classes of the components ``soft`` (node, component), found on full sets."""
     share = F.greatest(F.lit(1.0 / TILE_CLASSES), F.col("n_shingles") / TILE_HASHES)
     members = scratch.keep(classes.join(soft.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "digest", "component", share.alias("w")), "members")
-    large = scratch.keep(members.groupBy("component").agg(F.ceil(F.sum("w")).alias("blocks")).where("blocks > 1"), "large")
-    placed = salted(members, large, ["component"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    blocks = members.groupBy("component").agg(F.ceil(F.sum("w")).alias("blocks"))
+    placed = members.join(blocks.hint("merge"), "component")
     sets = (
         texts.join(placed.hint("merge"), "doc_id")
         .select("doc_id", "text", "digest", "component", "blocks")
@@ -333,10 +333,13 @@ def confirmed(scratch: Scratch, texts: DataFrame, classes: DataFrame, soft: Data
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     block = F.explode(F.when(F.col("doc_id") == F.col("component"), every).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")))))
     found = scratch.keep(compared(sets.withColumn("block", block).withColumn("k", F.xxhash64("component", "block"))), "links")
-    several = salted(members, large, ["component"]).select(F.col("component").alias("k"), "doc_id", "w")
+    several = members.join(blocks.where("blocks > 1").hint("merge"), "component").select(F.col("component").alias("k"), "doc_id", "w")
     if several.isEmpty():
         return found
-    tiles = scratch.keep(across(scratch, "exact", several, components(scratch, found, "first")), "tiles")
+    # What is joined so far goes on as stars, from which the final components are found in fewer rounds.
+    joined = components(scratch, found, "first")
+    found = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    tiles = scratch.keep(across(scratch, "exact", several, joined), "tiles")
     if tiles.isEmpty():
         return found
     asked = members.select("doc_id", "digest").join(tiles.select("doc_id").distinct().hint("merge"), "doc_id")
