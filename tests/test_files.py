@@ -52,7 +52,7 @@ def test_ratios_and_assignment(spark):
     assert linkage.indel_ratio("abc", "abc") == 100 and linkage.indel_ratio("", "a") == 0 and linkage.indel_ratio("ab", "ba") == 50
     assert linkage.title_ratio("b a", "a b") == 100 and linkage.title_ratio("safety code", "safety code of plants") == 100
     pairs = [("d1", "p1", 90.0), ("d1", "p2", 95.0), ("d2", "p2", 95.0), ("d2", "p1", 70.0), ("d3", "p1", 70.0), ("d4", "p9", 50.0)]
-    got = linkage.assign(spark.createDataFrame(pairs, "id string, rid string, score double"))
+    got = linkage.assign(spark.createDataFrame(pairs, "id string, rid string, score double"), 60.0)
     assert sorted((r.id, r.rid, r.level) for r in got.collect()) == [("d1", "p2", "high"), ("d2", "p1", "medium")]
 
 
