@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
 from quillspar.functions import extraction, parsing, scalars, text  # noqa: F401
-from quillspar.operators import composites, dashboard, evidence, facts, graph, joins, knowledge, linkage, maintenance, profile, retrieval, routes, windows  # noqa: F401
+from quillspar.operators import articles, composites, dashboard, evidence, facts, graph, joins, knowledge, linkage, maintenance, profile, retrieval, routes, windows  # noqa: F401
 from quillspar.sources import files  # noqa: F401
 from quillspar.streaming import incremental  # noqa: F401

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspar.functions import extraction, scalars
-from quillspar.operators import composites, facts, graph, knowledge, linkage, maintenance
+from quillspar.operators import articles, composites, facts, graph, knowledge, linkage, maintenance
 from quillspar.streaming import incremental
 
 
@@ -231,3 +231,65 @@ def test_copies_have_a_manifest(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "i int, t string")
     made = {r["name"]: (r.rows, r.checksum) for r in maintenance.copy_selected({"x": rows, "y": rows.repartition(3), "z": rows.where("i = 1")}, str(tmp_path / "one")).collect()}
     assert made["x"] == made["y"] != made["z"] and made["z"][0] == 1 and spark.read.parquet(str(tmp_path / "one" / "x")).count() == 3
+
+
+def test_headed_chunks_against_a_plain_version(spark):
+    known = re.compile("(?:第[一二三四五六七八九十百零]+[章节部分篇]|[一二三四五六七八九十]+[、.．]|[（(][一二三四五六七八九十]+[）)]|[0-9]{1,2}[、.．]|[0-9]{1,2}[.][0-9]{1,2})")
+
+    def heading(line):
+        line = line.strip()
+        return len(line) <= 60 and bool(known.match(line) or any(line.startswith(w) and len(line) <= len(w) + 6 for w in articles.TITLES))
+
+    def plain(text):
+        sections, out = [["正文", []]], []
+        for line in text.split("\n"):
+            if heading(line):
+                sections.append([line.strip(), []])
+            else:
+                sections[-1][1].append(line)
+        for name, lines in sections:
+            body, start = "\n".join(lines).strip(), 0
+            while body:
+                end = len(body) if len(body) <= 1200 else min(start + 1000, len(body))
+                out.append((name, body[start:end].strip()))
+                if end == len(body):
+                    break
+                start = end - 150
+        return [(k + 1, *piece) for k, piece in enumerate(p for p in out if p[1])]
+
+    rng = random.Random(3)
+    lines = ["一、 概况", "事故经过", "事故经过如下所述", "事故经过如下所述的那些事情", "3.2 原因", "第二章 处置", "（三）责任", "", "  ", "字" * 61, "1." + "长" * 70, "词" * 400, "句 " * 300, "没有标题"]
+    texts = {k: "\n".join(rng.choices(lines, k=rng.randint(1, 12))) for k in range(60)} | {60: "", 61: "字" * 1200, 62: "字" * 1201, 63: "一、", 64: "字" * 1850, 65: "字" * 1851}
+    frame = spark.createDataFrame([*texts.items(), (66, None)], "doc_id int, text string")
+    got = {}
+    for row in articles.section_chunks(frame).orderBy("doc_id", "chunk").collect():
+        got.setdefault(row.doc_id, []).append((row.chunk, row.section, row.text))
+    assert got == {k: p for k, text in texts.items() if (p := plain(text))}
+
+
+def test_targets_of_questions(spark):
+    asked = ["液氯操作人员需要哪些个体防护", "液氯充装操作时的防护服", "LP G 泄漏", None]
+    frame = spark.createDataFrame([(k, q) for k, q in enumerate(asked)], "k int, q string")
+    entities, intents = articles.question_targets(F.col("q"), {"chlorine": ["液氯"], "lpg": ["lpg"]}, articles.INTENTS)
+    got = frame.select("k", entities.alias("e"), intents.alias("i")).orderBy("k").collect()
+    assert [(r.e, r.i) for r in got] == [(["chlorine"], ["protection"]), (["chlorine"], ["operation", "protection"]), (["lpg"], ["emergency"]), ([], [])]
+
+
+def test_audit_plan_leaves_audited_ones_out(spark):
+    rows = [(k, "c", "passed", True) for k in range(12)] + [(20, "c", "failed", True), (21, "c", "passed", False), (22, None, None, None)]
+    got = articles.audit_plan(spark.createDataFrame(rows, "id int, chunk string, status string, located boolean"), spark.createDataFrame([(0,)], "id int"))
+    found = {r.id: (r.reason, r.batch) for r in got.collect()}
+    assert found == {k: (None, (k - 1) // 10) for k in range(1, 12)} | {20: ("validation", None), 21: ("quote", None), 22: ("validation", None)}
+
+
+def test_encyclopedia_pages_and_excerpts(spark):
+    long = "氯是一种有毒气体，使用时必须注意通风并佩戴用具"
+    page = f"""<html><title>x</title><h1>other</h1><h1 class="J-lemma-title">液 氯</h1><div class="para_1">{long}<sup>[1]</sup>[2-3]<br>。</div><div class="para">short</div><h2>目录</h2>
+      <div class="x"><div class="para"> {long}一</div></div><h2>毒理与健康危害</h2><div class="para">{long}二<script>x</script></div><h3>空</h3><h2>健康危害</h2><div class="para">{"毒" * 100}。{"性" * 100}；</div></html>"""
+    rows = [("a", page, ["液氯"]), ("b", page, ["苯"]), ("c", "<title>百度安全验证</title>", ["x"]), ("d", "<p>none</p>", ["x"]), ("e", "<h1>x</h1><div class=para>short</div>", ["X"]), ("f", None, None)]
+    found = articles.encyclopedia(spark.createDataFrame(rows, "url string, html string, names array<string>")).cache()
+    got = {r.url: r for r in found.collect()}
+    assert {u: r.status for u, r in got.items()} == {"a": "ok", "b": "other_title", "c": "challenge", "d": "no_title", "e": "no_sections", "f": "no_title"}
+    assert [(s.heading, s.text) for s in got["a"].sections] == [("基本概述", f"{long}。\n{long}一"), ("毒理与健康危害", f"{long}二"), ("健康危害", "毒" * 100 + "。" + "性" * 100 + "；")]
+    best = found.where("url = 'a'").select(articles.chapter_excerpt(F.col("sections"), ["毒理", "毒性", "健康危害"]).alias("x"), articles.chapter_excerpt(F.col("sections"), ["运输"]).alias("y"), articles.chapter_excerpt(F.slice("sections", 3, 1), ["健康"]).alias("z")).first()
+    assert (best.x.heading, best.x.excerpt, best.y, best.z.excerpt) == ("毒理与健康危害", f"{long}二", None, "毒" * 100 + "。")
