@@ -45,9 +45,9 @@ def section_chunks(reports: DataFrame) -> DataFrame:
     lines = reports.select("doc_id", F.split("text", "\n", -1).alias("lines"))
     at = F.filter(F.transform("lines", lambda line, k: F.when(is_heading(line), k)), lambda k: k.isNotNull())
     marked = lines.select("doc_id", "lines", F.concat(F.array(F.lit(-1)), at).alias("begin"), F.concat(at, F.array(F.size("lines"))).alias("end"))
-    body = lambda begin, k: _stripped(F.array_join(F.slice("lines", begin + 2, F.element_at("end", k + 1) - begin - 1), "\n"))
+    body = lambda begin, end: _stripped(F.array_join(F.slice("lines", begin + 2, end - begin - 1), "\n"))
     name = lambda begin: F.when(begin < 0, F.lit(BODY)).otherwise(_stripped(F.element_at("lines", F.greatest(begin, F.lit(0)) + 1)))
-    sections = marked.select("doc_id", F.transform("begin", lambda begin, k: F.struct(name(begin).alias("section"), body(begin, k).alias("body"))).alias("sections"))
+    sections = marked.select("doc_id", F.zip_with("begin", "end", lambda begin, end: F.struct(name(begin).alias("section"), body(begin, end).alias("body"))).alias("sections"))
     windows = lambda s: F.sequence(F.lit(0), F.when(F.length(s["body"]) <= WHOLE, 0).otherwise(F.ceil((F.length(s["body"]) - SIZE) / (SIZE - OVERLAP))).cast("int"))
     piece = lambda s, k: _stripped(F.substring(s["body"], k * (SIZE - OVERLAP) + 1, F.when(F.length(s["body"]) <= WHOLE, WHOLE).otherwise(SIZE)))
     pieces = F.flatten(F.transform("sections", lambda s: F.transform(windows(s), lambda k: F.struct(s["section"], piece(s, k).alias("text")))))
