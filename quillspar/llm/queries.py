@@ -7,6 +7,7 @@ from quillspar.llm.decontamination import op4_decontamination
 from quillspar.llm.html_paths import op1_html_extraction
 from quillspar.llm.license_rules import op9_license_rules
 from quillspar.llm.lsh_forest import op8_minhash_forest
+from quillspar.llm.piece_bpe import op13_piece_bpe
 from quillspar.llm.token_store import op6_token_store
 from quillspar.llm.toxicity import op10_toxicity
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_minhash_forest": op8_minhash_forest,
     "op9_license_rules": op9_license_rules,
     "op10_toxicity": op10_toxicity,
+    "op13_piece_bpe": op13_piece_bpe,
 }
 
 ORACLES: dict[str, str] = {
