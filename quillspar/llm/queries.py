@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say it, their statements."""
 
-from quillspar.llm import chat_format, mixing
+from quillspar.llm import chat_format, mixing, prefix_trie
 from quillspar.llm.credentials import op5_credential_links
 from quillspar.llm.cross_polytope import op2_cross_polytope
 from quillspar.llm.decontamination import op4_decontamination
@@ -22,10 +22,12 @@ QUERIES = {
     "op8_minhash_forest": op8_minhash_forest,
     "op9_license_rules": op9_license_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op13_piece_bpe": op13_piece_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op7_chat_formatting": chat_format.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
