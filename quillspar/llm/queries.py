@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say it, their statements."""
 
-from quillspar.llm import chat_format, mixing, prefix_trie
+from quillspar.llm import chat_format, mixing, prefix_trie, yinyang
 from quillspar.llm.credentials import op5_credential_links
 from quillspar.llm.cross_polytope import op2_cross_polytope
 from quillspar.llm.decontamination import op4_decontamination
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_license_rules": op9_license_rules,
     "op10_toxicity": op10_toxicity,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_yinyang_codes": yinyang.op12_yinyang_codes,
     "op13_piece_bpe": op13_piece_bpe,
 }
 
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op7_chat_formatting": chat_format.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_yinyang_codes": yinyang.oracle(),
 }
