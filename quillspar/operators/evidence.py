@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspar.operators.windows import cap_per_key
 from quillspar.registry import query
@@ -32,6 +37,24 @@ def changed_sections(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["page", "heading"], "full").select("page", "heading", change.alias("change")).where("change IS NOT NULL")
 
 
+@F.pandas_udf(T.StringType())
+def unified_diff(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The unified diff of two texts (null: empty) by lines, with three lines of context and the names of both; empty if they are equal."""
+
+    def one(before: str | None, after: str | None, old: str, new: str) -> str:
+        return "".join(difflib.unified_diff((before or "").splitlines(True), (after or "").splitlines(True), fromfile=old, tofile=new))
+
+    for batch in rows:
+        yield pd.Series([one(*row) for row in zip(*batch)])
+
+
+def compare(revisions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(page, before, after, diff) of the stated pairs of revisions (page, revision, text); a revision that is not there is an empty text."""
+    text = lambda side: revisions.select("page", F.col("revision").alias(side), F.col("text").alias(f"{side}_text"))
+    both = pairs.select("page", "before", "after").join(text("before"), ["page", "before"], "left").join(text("after"), ["page", "after"], "left")
+    return both.select("page", "before", "after", unified_diff("before_text", "after_text", F.col("before").cast("string"), F.col("after").cast("string")).alias("diff"))
+
+
 def recovered(relations: DataFrame, bodies: DataFrame, gap: int = 500, keep: int = 5) -> DataFrame:
     """Passages that name both ends of a relation (rid, doc_id, source, target) within ``gap`` signs, the closest first.
 
@@ -76,6 +99,19 @@ def x24_changed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed_sections(rows.where("role <> 'system'"), new)
 
 
+@query("x24_unified_diff")
+def x24_unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a page with a line for each turn, against itself without system turns and with shouted questions."""
+    rows = table(spark, sf_dir, "conversations")
+    line = lambda body: F.concat(F.lit("## "), "role", F.lit("\n"), body, F.lit("\n"))
+    page = lambda lines: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", lines.alias("line")))), lambda t: t["line"]), "")
+    second = line(F.when((F.col("role") == "user") & (F.col("turn") < 4), F.upper("text")).otherwise(F.col("text")))
+    first, later = rows.groupBy("conv_id").agg(page(line(F.col("text"))).alias("text")), rows.where("role <> 'system'").groupBy("conv_id").agg(page(second).alias("text"))
+    shape = lambda frame, number: frame.select(F.col("conv_id").alias("page"), F.lit(number).alias("revision"), "text")
+    pairs = rows.select(F.col("conv_id").alias("page")).distinct().select("page", F.lit(1).alias("before"), F.lit(2).alias("after"))
+    return compare(shape(first, 1).unionByName(shape(later, 2)), pairs)
+
+
 @query(
     "k29_recovery",
     """WITH r AS (SELECT doc_id AS rid, doc_id, lang AS source, CASE WHEN source = 'src1' THEN 'of' ELSE 'in' END AS target FROM documents),

@@ -122,12 +122,6 @@ def merge_stream(stream: DataFrame, path: str, key: str, checkpoint: str):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def watch(spark: SparkSession, folder: str, schema: str, suffix: str = "*.json") -> DataFrame:
-    """A stream of a folder's files, ten a pass at most; a changed file comes as a new row with its path and time."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).option("pathGlobFilter", suffix).json(folder)
-    return stream.select("*", "_metadata.file_path", "_metadata.file_modification_time")
-
-
 def cached(requests: DataFrame, cache: DataFrame, now: Column, ready: str = "INTERVAL '7' DAY", failed: str = "INTERVAL '300' SECOND") -> DataFrame:
     """Requests (url) with the state of their cache entry (url, ok, fetched): hit while it is young enough, else fetch; an old good one may serve on error."""
     age = now - F.col("fetched")

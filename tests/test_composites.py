@@ -3,13 +3,12 @@
 import bisect
 import random
 import re
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspar.functions import extraction, scalars
-from quillspar.operators import articles, composites, facts, graph, knowledge, linkage, maintenance
+from quillspar.operators import articles, composites, evidence, facts, graph, knowledge, linkage, maintenance
 from quillspar.streaming import incremental
 
 
@@ -283,3 +282,24 @@ def test_encyclopedia_pages_and_excerpts(spark):
     assert [(s.heading, s.text) for s in got["a"].sections] == [("基本概述", f"{long}。\n{long}一"), ("毒理与健康危害", f"{long}二"), ("健康危害", "毒" * 100 + "。" + "性" * 100 + "；")]
     best = found.where("url = 'a'").select(articles.chapter_excerpt(F.col("sections"), ["毒理", "毒性", "健康危害"]).alias("x"), articles.chapter_excerpt(F.col("sections"), ["运输"]).alias("y"), articles.chapter_excerpt(F.slice("sections", 3, 1), ["健康"]).alias("z")).first()
     assert (best.x.heading, best.x.excerpt, best.y, best.z.excerpt) == ("毒理与健康危害", f"{long}二", None, "毒" * 100 + "。")
+
+
+def test_unified_diffs(spark, small):
+    import difflib
+
+    rnd = random.Random(11)
+    rows = [("p0", 1, None), ("p0", 2, "a\nb"), ("p1", 1, "same\n"), ("p1", 2, "same\n")]
+    for k in range(40):
+        lines = [rnd.choice("abcdef") + "\n" for _ in range(rnd.randrange(60))]
+        other = [line for line in lines if rnd.random() > 0.1]
+        for _ in range(rnd.randrange(4)):
+            other.insert(rnd.randrange(len(other) + 1), "new\n")
+        rows += [(f"q{k}", 1, "".join(lines)), (f"q{k}", 2, "".join(other).rstrip("\n"))]
+    frame = spark.createDataFrame(rows, "page string, revision int, text string")
+    pairs = frame.select("page", F.lit(1).alias("before"), F.lit(2).alias("after")).distinct().union(spark.createDataFrame([("p1", 2, 7)], "page string, before int, after int"))
+    text = {(p, r): t or "" for p, r, t in rows}
+    for row in evidence.compare(frame, pairs).collect():
+        a, b = text[row.page, row.before], text.get((row.page, row.after), "")
+        assert row["diff"] == "".join(difflib.unified_diff(a.splitlines(True), b.splitlines(True), fromfile=str(row.before), tofile=str(row.after)))
+    found = evidence.x24_unified_diff(spark, small)
+    assert found.count() == spark.read.parquet(f"{small}/conversations.parquet").select("conv_id").distinct().count() and found.where("diff LIKE '--- 1%'").count() > 0
