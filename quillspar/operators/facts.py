@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspar.operators.joins import overlap
+from quillspar.operators.joins import interval_pairs
 from quillspar.operators.windows import cap_per_key, first_wins
 from quillspar.registry import query
 from quillspar.sources.tables import table
@@ -100,10 +100,8 @@ def f11_optional_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def f13_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("f"), (F.col("o_orderdate") + F.expr("INTERVAL '30' DAY")).alias("t"))
-    a, b = spans.alias("a"), spans.alias("b")
-    met = overlap(F.col("a.f"), F.col("a.t"), F.col("b.f"), F.col("b.t"))
-    pairs = a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey")) & met)
-    return pairs.select(F.col("a.o_orderkey").alias("first"), F.col("b.o_orderkey").alias("second"))
+    pairs = interval_pairs(spans, ["o_custkey"], "o_orderkey", "f", "t")
+    return pairs.select(F.col("first.o_orderkey").alias("first"), F.col("second.o_orderkey").alias("second"))
 
 
 @query(

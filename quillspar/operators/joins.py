@@ -22,18 +22,50 @@ def overlap(start: Column, end: Column, other_start: Column, other_end: Column)
     return ordered(start, other_end) & ordered(other_start, end) & ordered(start, end) & ordered(other_start, other_end)
 
 
+def interval_pairs(rows: DataFrame, keys: list[str], order: str, start: str, end: str) -> DataFrame:
+    """Unordered pairs of rows with equal ``keys`` whose half-open intervals share an instant, as structs ``first`` and ``second`` by ``order``.
+
+    Time is cut into cells, on as many levels as there are magnitudes of length: an interval lies in at most two cells
+    of the level whose cells are at least as long as it is. A pair is looked for on the level of the longer one, so a
+    row is sent to two cells a level, however long the others are, and it is given in the cell where the later one
+    begins and nowhere else. The rows of a frequent key are therefore dealt by time as well. Rows with a null key are
+    in no pair; null bounds are open; empty and inverted intervals share nothing. ``order`` is unique; bounds are dates
+    or timestamps.
+    """
+    row = F.struct(*rows.columns)
+    ends = F.col(end).isNull() | F.col(start).isNull() | (F.col(start) < F.col(end))
+    timed = rows.where(ends).select(
+        *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], row.alias("_row"), F.unix_micros(F.col(start).cast("timestamp")).alias("_s"), F.unix_micros(F.col(end).cast("timestamp")).alias("_e")
+    )
+    bounds = timed.agg(F.least(F.min("_s"), F.min("_e")).alias("low"), F.greatest(F.max("_s"), F.max("_e")).alias("high")).first()
+    low, high = bounds.low or 0, bounds.high or 0
+    # An open bound lies beyond all others.
+    timed = timed.withColumns({"_s": F.coalesce("_s", F.lit(low - 1)), "_e": F.coalesce("_e", F.lit(high + 2))})
+    timed = timed.withColumn("_level", F.ceil(F.log2((F.col("_e") - F.col("_s")).cast("double"))).cast("int"))
+    levels = sorted(r[0] for r in timed.select("_level").distinct().collect())  # at most one a bit of a number
+    cells = lambda level: F.sequence(F.expr(f"shiftright(_s, {level})"), F.expr(f"shiftright(_e - 1, {level})"))
+    names = [f"_k{n}" for n in range(len(keys))]
+    long = timed.select(*names, F.col("_row").alias("_b"), F.col("_s").alias("_bs"), F.col("_level").alias("_at"), F.explode(cells("_level")).alias("_cell"))
+    upwards = F.filter(F.array(*map(F.lit, levels)), lambda level: level >= F.col("_level")) if levels else F.array().cast("array<int>")
+    short = timed.select("*", F.explode(upwards).alias("_at")).select(*names, F.col("_row").alias("_a"), F.col("_s").alias("_as"), "_level", "_at", F.explode(cells("_at")).alias("_cell"))
+    met = short.join(long, [*names, "_at", "_cell"])
+    once = (F.col("_level") < F.col("_at")) | (F.col(f"_a.{order}") < F.col(f"_b.{order}"))
+    owner = F.expr("shiftright(greatest(_as, _bs), _at)") == F.col("_cell")
+    both = overlap(F.col(f"_a.{start}"), F.col(f"_a.{end}"), F.col(f"_b.{start}"), F.col(f"_b.{end}"))
+    before = F.col(f"_a.{order}") < F.col(f"_b.{order}")
+    pairs = met.where(once & owner & both & (F.col(f"_a.{order}") != F.col(f"_b.{order}")))
+    return pairs.select(F.when(before, F.col("_a")).otherwise(F.col("_b")).alias("first"), F.when(before, F.col("_b")).otherwise(F.col("_a")).alias("second"))
+
+
 def conflicts(facts: DataFrame) -> DataFrame:
     """Unordered pairs of facts of one (subject, predicate) that state different objects, in different documents, for overlapping times.
 
-    The equality on subject and predicate carries the join; a pair is emitted
-    once, the earlier row first. Facts: seq, subject, predicate, object, doc, valid_from, valid_to.
+    A pair is emitted once, the earlier row first. Facts: seq, subject, predicate, object, doc, valid_from, valid_to.
     """
-    usable = facts.where("subject <> '' AND predicate <> '' AND object <> ''")
-    a, b = usable.alias("a"), usable.alias("b")
-    same = (F.col("a.subject") == F.col("b.subject")) & (F.col("a.predicate") == F.col("b.predicate")) & (F.col("a.seq") < F.col("b.seq"))
-    differ = (F.col("a.object") != F.col("b.object")) & ~F.col("a.doc").eqNullSafe(F.col("b.doc"))
-    both = overlap(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to"))
-    return a.join(b, same & differ & both).select(F.col("a.subject").alias("subject"), F.col("a.predicate").alias("predicate"), F.col("a.seq").alias("first"), F.col("b.seq").alias("second"), F.lit("needs_review").alias("status"))
+    usable = facts.where("subject <> '' AND predicate <> '' AND object <> ''").select("seq", "subject", "predicate", "object", "doc", "valid_from", "valid_to")
+    pairs = interval_pairs(usable, ["subject", "predicate"], "seq", "valid_from", "valid_to")
+    differ = (F.col("first.object") != F.col("second.object")) & ~F.col("first.doc").eqNullSafe(F.col("second.doc"))
+    return pairs.where(differ).select("first.subject", "first.predicate", F.col("first.seq").alias("first"), F.col("second.seq").alias("second"), F.lit("needs_review").alias("status"))
 
 
 def phased_link(left: DataFrame, right: DataFrame, phases: list[tuple[str, Column, Column, float]]) -> DataFrame:
