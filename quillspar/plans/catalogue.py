@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from quillspar.functions import extraction, parsing, scalars, text  # noqa: F401
+from quillspar.functions import extraction, markup, parsing, scalars, text  # noqa: F401
 from quillspar.operators import articles, communities, composites, dashboard, evidence, facts, graph, joins, knowledge, linkage, maintenance, paths, postings, profile, retrieval, routes, windows  # noqa: F401
 from quillspar.sources import files  # noqa: F401
-from quillspar.streaming import incremental, journal, lease_queue, mirror  # noqa: F401
+from quillspar.streaming import incremental, journal, lease_queue, mirror, snapshots  # noqa: F401
