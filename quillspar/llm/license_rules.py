@@ -7,12 +7,13 @@ first: a rule holds where its sentences occur in order with at most GAP other
 sentences between two of them, and takes the sentences it used, so that a
 reference inside a longer notice is not reported again.
 
-Sentences are the pieces between line feeds and the pieces between full stops,
-so notices wrapped over lines are found as well; known texts are looked up at
-both. Texts without any cue word of the known sentences are not split: each
-known sentence holds a cue, so nothing is missed.
+Sentences begin and end at line ends or stops, so notices wrapped over lines, under
+headings or before lines without a stop are found as well. Texts without any cue of
+the known sentences are not split: each known sentence holds a cue, which is looked
+for in the normalised text, so nothing is missed.
 
-Defined results: null and empty texts hold no licence; sentences that no rule
+Defined results: null and empty texts hold no licence; an empty table gives no rows;
+sentences that no rule
 uses are reported as ``unknown-notice``, once a text; repeated rows are scanned
 and returned once each; null ids are kept; other columns are not read.
 """
@@ -154,30 +155,58 @@ def known() -> dict[str, str]:
                 for article in ("", "the "):
                     out[f"{lead} {article}{spelling}"] = f"ref:{name}"
                     out[f"{lead} {article}{spelling} license"] = f"ref:{name}"
+                    out[f"{lead} {article}{spelling} the license"] = f"ref:{name}"  # (the "License")
     return out
 
 
 KNOWN = known()
-#: Every known sentence holds one of these.
+
+
+def _by_beginning() -> dict[tuple[str, ...], list[tuple[list[str], str]]]:
+    """Known sentences by their first two words, the longer ones first."""
+    out: dict[tuple[str, ...], list[tuple[list[str], str]]] = {}
+    for text in sorted(KNOWN, key=lambda text: -len(text.split())):
+        words = text.split()
+        out.setdefault(tuple(words[:2]), []).append((words, KNOWN[text]))
+    return out
+
+
+_BEGINNINGS = _by_beginning()
+#: Every known sentence, normalised, holds one of these.
 CUES = ("licen", "permission", "warranty", "liable", "redistribut", "public domain", "free software", "rights reserved", "neither the name", "released under", "distributed under", "available under", "published under", "substantial portions", "liability", "waived all", "the mpl", "the material", "the possibility of", "warranties")
-_LINE, _STOP = re.compile(r"[^\n]+"), re.compile(r".+?(?:[.!?;](?=\s)|\Z|\n\s*\n)", re.DOTALL)
+_WORD = re.compile(r"[a-z0-9]+")
+#: What stands between two words where a sentence may begin or end: a line's end, or a stop before white space or the text's end.
+_BOUND = re.compile(r"\n|[.!?;:](?:\s|\Z)")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, identifier) of the known sentences, by place; of two over the same text the longer."""
+    """(start, end, identifier) of the known sentences, by place; of two that begin together the longer.
+
+    A sentence begins and ends at a line's end or a stop, not at the same kind of both, so one that is wrapped over
+    lines is found under a heading and before a line without a stop alike.
+    """
     lower = text.lower()
-    if not any(cue in lower for cue in CUES):
-        return []
-    found = {}
-    for pattern in (_LINE, _STOP):
-        for piece in pattern.finditer(text):
-            if name := KNOWN.get(normalise(piece[0])):
-                blank = len(piece[0]) - len(piece[0].lstrip())
-                found[piece.start() + blank] = max(found.get(piece.start() + blank, (0, "")), (piece.end(), name))
+    if len(lower) != len(text):  # a few signs have longer small letters; places are those of the text
+        lower = "".join(low if len(low := sign.lower()) == 1 else " " for sign in text)
+    # Cues of several words are looked for as sentences are: white space and marks between them are one space.
+    if not any(cue in lower for cue in CUES if " " not in cue):
+        flat = " ".join(_WORD.findall(lower))
+        if not any(cue in flat for cue in CUES if " " in cue):
+            return []
+    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(lower)]
+    plain = [word for _, _, word in words]
     out: list[tuple[int, int, str]] = []
-    for start, (end, name) in sorted(found.items()):
-        if not out or start >= out[-1][1]:
-            out.append((start, end, name))
+    for at in range(len(words)):
+        candidates = _BEGINNINGS.get(tuple(plain[at : at + 2]))
+        if not candidates or out and words[at][0] < out[-1][1] or at and not _BOUND.search(lower, words[at - 1][1], words[at][0]):
+            continue
+        for wanted, name in candidates:
+            last = at + len(wanted)
+            if plain[at:last] == wanted:
+                after = words[last][0] if last < len(words) else len(lower)
+                if after == len(lower) or _BOUND.search(lower, words[last - 1][1], after):
+                    out.append((words[at][0], words[last - 1][1], name))
+                    break
     return out
 
 

@@ -71,6 +71,32 @@ def test_every_known_sentence_is_found_in_its_place():
         assert license_rules.sentences(f"{lead}{text.capitalize()}.\nAnd more.") [0][0::2] == (len(lead), name)
 
 
+def test_known_sentences_are_found_wherever_they_are_wrapped():
+    for text, name in license_rules.KNOWN.items():
+        if name.startswith("ref:") and not text.startswith(("licensed under the", "spdx")):
+            continue
+        words = text.capitalize().split()
+        for at in range(1, len(words)):
+            for around in ("{}", "A heading\n{}", "Copyright 2020 X. {}.\nMore words", "x\n\n# {}:\ny"):
+                whole = around.format(" ".join(words[:at]) + "\n   # " + " ".join(words[at:]))
+                assert [found[2] for found in license_rules.sentences(whole)] == [name], whole
+
+
+@pytest.mark.parametrize(
+    "text, licence",
+    [
+        ("This work is dedicated to the public\ndomain.", "public-domain"), ("All rights\nreserved.", "all-rights-reserved"),
+        ("To the extent possible under law, the author has waived\nall copyright and related or neighboring rights\nto this work", "CC0-1.0"),
+        ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in\ncompliance with the License.', "Apache-2.0"),
+        ("İ MIT License\n\nCopyright (c) 2020 X\n\n" + license_rules.SENTENCES["mit-grant"].replace(" of ", "\nof ") + ":", "MIT"),
+        ("nobody has all rights reserved here", ""), ("the public domain", ""),
+    ],
+)
+def test_licences_of_wrapped_notices(text, licence):
+    found = license_rules.sentences(text)
+    assert ",".join(sorted({name for _, _, name in license_rules.apply_rules(found, text)} - {"unknown-notice"})) == licence
+
+
 def plain_licences(text):
     """Every line and every run between stops is compared with every known sentence; rules try all places one by one."""
     cuts = {0, len(text)} | {k + 1 for k in range(len(text)) if text[k] == "\n"}
