@@ -30,6 +30,8 @@ from quillspar.llm.common import table
 
 #: The control strings of the template.
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+#: What stands between the texts of two turns, as a pattern.
+CONTROLS = r"(?:<\|im_end\|>\n)?<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>\n"
 
 
 def escape(text: Column) -> Column:
@@ -97,16 +99,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def under_mask(formatted: Column, mask: Column) -> Column:
     """The texts, still escaped, that lie inside the mask of the formatted string, in order.
 
-    A running sum over the mask gives their places; it is kept as an array of
-    one number a turn, so the work grows with the square of a conversation's turns.
+    Control strings occur only where the template puts them, so cutting the string at them once gives every turn's
+    piece, at whose end lies what the mask holds inside: the work grows with the string, not with its turns' square.
     """
-    ends = F.aggregate(
-        mask,
-        F.array(F.lit(0)),
-        lambda sums, m: F.array_append(sums, F.element_at(sums, -1) + m["outside"] + m["inside"]),
-    )
-    cut = F.zip_with(mask, F.slice(ends, F.lit(2), F.size(mask)), lambda m, end: F.substring(formatted, end - m["inside"] + 1, m["inside"]))
-    return F.filter(cut, lambda text: text != "")
+    pieces = F.slice(F.split(formatted, CONTROLS, -1), F.lit(2), F.size(mask))
+    return F.filter(F.zip_with(pieces, mask, lambda piece, m: F.right(piece, m["inside"])), lambda text: text != "")
 
 
 def read_chats(formatted: DataFrame, *more: str) -> DataFrame:

@@ -223,3 +223,19 @@ def test_pages_equal_a_plain_version(spark):
     article = "<article class=x><h1>A &amp; b</h1><p>One, two <a href=u>three</a>.<p>Four &eacute;&#233; five.<ul><li>six.<li><a href=v>seven</a></ul><h2><a href=w>Eight</a></h2><table><tr><td>9.<td>10, 11.</table></article>"
     pages += [f"<body><nav><a href=n>n</a></nav>{article}<aside>more</aside><div class=sidebar><p>side.</p></div></body>", f"<div><header>top</header>{article}<footer>f</footer></div>"]
     assert [main_text(page) for page in pages] == [plain_text(page) for page in pages]
+
+
+def test_work_grows_with_the_turns_of_a_conversation(spark):
+    """Twice the turns take about twice the time, and every assistant text is under the mask once."""
+
+    def took(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("té <| \\"), "id").alias("text"))
+        frame = chat_format.format_chats(turns)
+        began = time.perf_counter()
+        row = frame.select(F.array_join(chat_format.under_mask(F.col("formatted"), F.col("mask")), "\n").alias("inside")).select(chat_format.unescape(F.col("inside")).alias("t")).first()
+        assert row.t == "\n".join(f"té <| \\{k}" for k in range(n) if k % 3)
+        return time.perf_counter() - began
+
+    took(2_000)
+    small, large = min(took(20_000) for _ in range(2)), min(took(40_000) for _ in range(2))
+    assert large < 3 * small + 0.5
