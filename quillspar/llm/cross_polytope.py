@@ -1,8 +1,13 @@
 """Approximate nearest neighbours by inner product, with cross-polytope hashing.
 
-In each of TABLES tables a vector is turned by three rounds of random signs and
+In each of some tables a vector is turned by three rounds of random signs and
 a Walsh-Hadamard transform, and hashed to the signed axis nearest to it. A query
-is turned alike and probes the PROBES axes nearest to it in every table.
+is turned alike and probes the axes nearest to it in every table. How many tables
+and probes that takes depends on the dimension and on how the vectors lie; it is
+measured: ASKED of the queries are compared with all rows, and the plan with the
+fewest visits is taken that finds TARGET of their nearest. One table with all axes
+visits everything, so no plan costs more than that.
+
 Neighbouring buckets travel together, GROUP axes at a time: a vector once a
 table, a query once for every group that it probes, with the set of its axes
 there. Vectors and queries of a group are both cut into blocks of at most TILE
@@ -24,7 +29,8 @@ Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, neither do rows with a null id; vectors of another
 dimension than the query's are no candidates; rows that share an id count once,
 with their best score; ties go to the smaller id; with k candidates or fewer all
-are returned; an empty table gives no rows; other columns are not read.
+are returned; an empty table gives no rows; other columns are not read. Vectors of
+more than 4,095 components are an error.
 """
 
 from __future__ import annotations
@@ -41,7 +47,10 @@ from pyspark.sql.types import FloatType
 from quillspar.llm.common import Scratch, fixed_width, runs, table
 from quillspar.llm.shingles import mix
 
-TABLES, PROBES, GROUP, TILE = 3, 40, 32, 8 << 20
+#: Tables at most, axes that travel together, bytes of a block.
+TABLES, GROUP, TILE = 4, 32, 8 << 20
+#: Queries that a plan is measured on, the recall it must have there, and what a table costs beside its visits, in shares of all.
+ASKED, TARGET, OVERHEAD = 64, 0.945, 0.02
 SEED = 64
 NEAR = "query_id long, vec_id long, score double"
 
@@ -67,15 +76,48 @@ def rotate(x: np.ndarray, number: int) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, number: int, probes: int) -> np.ndarray:
-    """The signed axes nearest to every row, nearest first: axis a is 2a, its opposite 2a + 1."""
+def signed(x: np.ndarray, number: int) -> np.ndarray:
+    """How far every row reaches along every signed axis: axis a is 2a, its opposite 2a + 1."""
     turned = rotate(x, number)
-    both = np.stack([turned, -turned], axis=2).reshape(len(x), -1)
+    return np.stack([turned, -turned], axis=2).reshape(len(x), -1)
+
+
+def axes(x: np.ndarray, number: int, probes: int) -> np.ndarray:
+    """The signed axes nearest to every row, nearest first."""
+    both = signed(x, number)
     probes = min(probes, both.shape[1])
     best = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
     return np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, axis=1), axis=1, kind="stable"), axis=1)
 
 
+def plan(queries: np.ndarray, near: np.ndarray) -> tuple[int, int]:
+    """Tables and probes that find TARGET of some pairs of a query and one of its nearest with the fewest visits."""
+    unit = lambda x: (y := x / np.abs(x).max(axis=1, keepdims=True)) / np.sqrt((y**2).sum(axis=1, keepdims=True))
+    width = 2 << max(0, int(queries.shape[1] - 1).bit_length())
+    queries, near, places = unit(queries), unit(near), []
+    for number in range(TABLES):
+        reach = signed(queries, number)
+        places.append((reach > np.take_along_axis(reach, axes(near, number, 1), axis=1)).sum(axis=1))
+    plans = [(1 + OVERHEAD, 1, width)]
+    for tables in range(1, TABLES + 1):
+        due = np.sort(np.min(places[:tables], axis=0))
+        probes = int(due[min(len(due) - 1, int(np.ceil(TARGET * len(due))))]) + 1
+        plans.append((tables * probes / width + OVERHEAD * tables, tables, probes))
+    return min(plans)[1:]
+
+
+def _planned(rows: DataFrame, asked: DataFrame, kind: str, k: int) -> dict[int, tuple[int, int]]:
+    """A plan for the dimensions of ASKED queries, chosen by a hash of their ids and compared with all rows; others visit all."""
+    few = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED)
+    exact = ranked(_met(rows, few, _whole, _whole, kind, k), k).select("query_id", "vec_id")
+    pairs = exact.join(rows, "vec_id").join(few.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
+    found: dict[int, tuple[list, list]] = {}
+    for row in pairs.where("size(vector) = size(asked)").select("asked", "vector").collect():
+        for side, vector in zip(found.setdefault(len(row.asked), ([], [])), row):
+            side.append(vector)
+    return {size: plan(*map(np.array, sides)) for size, sides in found.items()}
+
+
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(dimension, ids, vectors) of a batch's rows."""
     sizes = np.asarray(pc.list_value_length(batch.column("vector")))
@@ -107,20 +149,25 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
                 yield size, ids, vectors, vectors / top / norm, np.round(4 * (np.log2(top) + np.log2(norm))[:, 0]).astype(np.int64)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _hashed(plans: dict[int, tuple[int, int]]):
     """(group, axis as a set, ids, vectors) of every vector, table by table."""
-    for size, ids, vectors, unit, band in _parts(batches):
-        for number in range(TABLES):
-            axis = axes(unit, number, 1)[:, 0]
-            yield _key(size, number, band, axis), np.int64(1) << (axis % GROUP), ids, vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for size, ids, vectors, unit, band in _parts(batches):
+            for number in range(plans.get(size, (1, 0))[0]):
+                axis = axes(unit, number, 1)[:, 0]
+                yield _key(size, number, band, axis), np.int64(1) << (axis % GROUP), ids, vectors
+
+    return run
 
 
-def _probed(bands: dict[int, set[int]], probes: int):
+def _probed(bands: dict[int, set[int]], plans: dict[int, tuple[int, int]]):
     """(group, axes as a set, ids, vectors) of every query for every group that it probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for size, ids, vectors, unit, _ in _parts(batches):
-            for number in range(TABLES):
+            tables, probes = plans.get(size, (1, 1 << 13))
+            for number in range(tables):
                 axis = axes(unit, number, probes)
                 sets = np.zeros((len(ids), -(-int(axis.max(initial=0) + 1) // GROUP)), np.int64)
                 np.bitwise_or.at(sets, (np.arange(len(ids))[:, None], axis // GROUP), np.int64(1) << (axis % GROUP))
@@ -237,11 +284,13 @@ def search(scratch: Scratch, vectors: DataFrame, queries: DataFrame, k: int = 20
     element = vectors.schema["embedding"].dataType.elementType
     kind = "<f4" if isinstance(element, FloatType) else "<f8"
     bands: dict[int, set[int]] = {}
-    counts = _counted(rows, _hashed)
+    plans = _planned(rows, asked, kind, k)
+    hashed = _hashed(plans)
+    counts = _counted(rows, hashed)
     for key in counts:
         size, band = _band_of(key)
         bands.setdefault(size, set()).add(band)
-    pairs = _met(rows, asked, _hashed, _probed(bands, PROBES), kind, k, counts)
+    pairs = _met(rows, asked, hashed, _probed(bands, plans), kind, k, counts)
     found = scratch.keep(ranked(pairs, k), "found")
     total = rows.select("vec_id").distinct().count()
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, total - 1))

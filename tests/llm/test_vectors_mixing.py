@@ -54,6 +54,45 @@ def test_recall_and_scores(spark):
         assert all(abs(float(data[q] @ data[i]) - s) < 1e-9 for i, s in ranks.values())
 
 
+def unit_vectors(dimension, clustered, n):
+    rng = np.random.default_rng(dimension)
+    data = rng.normal(size=(n, dimension))
+    if clustered:
+        data = rng.normal(size=(n // 40, dimension))[rng.integers(0, n // 40, n)] + 0.6 * data
+    return data / np.sqrt((data**2).sum(axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("dimension, clustered", [(32, False), (64, True), (128, False), (128, True), (256, False), (768, False), (768, True)])
+def test_recall_at_any_width(spark, dimension, clustered):
+    n = 1200
+    data = unit_vectors(dimension, clustered, n)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in cross_polytope.search(Scratch(spark, "t"), vectors, vectors.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    scores = data[::20] @ data.T
+    scores[np.arange(len(scores)), np.arange(0, n, 20)] = -np.inf
+    wanted = np.argsort(-scores, axis=1)[:, :20].tolist()
+    assert np.mean([len(found[20 * q] & set(near)) / 20 for q, near in enumerate(wanted)]) >= 0.9
+
+
+def test_a_plan_holds_beyond_its_queries():
+    """Measured on 64 queries, tables and probes find the nearest of all others; near ones are found with few visits."""
+    for clustered in (False, True):
+        data = unit_vectors(64, clustered, 4000)
+        ids, asked = np.arange(4000), np.arange(0, 4000, 20)
+        scores = data[asked] @ data.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        near = np.argsort(-scores, axis=1)[:, :20]
+        tables, probes = cross_polytope.plan(np.repeat(data[asked[:64]], 20, axis=0), data[near[:64].ravel()])
+        assert tables * probes <= 128 * (0.25 if clustered else 0.9)
+        hit = np.zeros(near.shape, bool)
+        for number in range(tables):
+            axis, probed = cross_polytope.axes(data, number, 1)[:, 0], cross_polytope.axes(data[asked], number, probes)
+            hit |= (axis[near][:, :, None] == probed[:, None, :]).any(axis=2)
+        assert hit.mean() >= 0.92
+
+
 def test_few_odd_and_equal_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, []), (None, [1.0, 1.0]), (10, [-1.0, 0.0]), (11, [1.0, 2.0, 3.0]), (3, [0.0, 1.0])]
