@@ -12,16 +12,21 @@ The path that holds most of the fused text and its closest common ancestors
 give the content area: the deepest prefix under which ``AREA`` of all fused text
 lies, and then the article (or main, or outermost section) around it; without
 one, the nearest container. Inside it all is content but paths of several blocks
-that are mostly links; headings are content there and beside its ancestors.
-Paths elsewhere are content if their value reaches ``OUTSIDE`` of the best.
+that are mostly links, unless they follow content there (lists of references);
+headings are content there and beside its ancestors. Paths elsewhere are content
+if their value reaches ``OUTSIDE`` of the best.
 
-Of an article's own header only headings are read. Self-closing drawings end
-where they begin.
+Of a header inside an article or main, or named as an entry's, headings are read
+and paragraphs that are named or written as a standfirst. A form is left out unless
+the page's content with it weighs more than ``FORM`` times that without: so are pages
+that server-side frameworks write into one form. Self-closing drawings end where
+they begin.
 
 Where names would leave nothing of a page, as on a page whose outermost element
 is called a banner, they are not heeded.
 
-Defined results: null, empty and tag-only pages give an empty text; repeated
+Defined results: null, empty and tag-only pages give an empty text; an empty table
+gives no rows; repeated
 rows give repeated rows; an unclosed comment or script runs to the end of the
 page; character references are decoded as HTML5 does, without a semicolon too;
 other columns are not read.
@@ -41,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspar.llm.common import small_batches, table
 
-AREA, OUTSIDE, LINKS = 0.6, 0.5, 0.6
+AREA, OUTSIDE, LINKS, FORM = 0.6, 0.5, 0.6, 2.0
 
 #: Elements by their treatment.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -53,6 +58,8 @@ SKIPPED_INLINE = frozenset("noscript template svg math object select canvas vide
 ROOTS = frozenset("html body".split())
 #: Of these, only such names make boilerplate: their classes often tell of the layout around them.
 AREAS, AREA_NAMED = frozenset("main article".split()), frozenset("comment comments related ad ads advert sponsored promo".split())
+#: Quotations inside an article are content as well, however its alerts are called.
+QUOTES = frozenset("blockquote q pre".split())
 CONTAINERS, HEADINGS = frozenset("article main section div td body".split()), frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag closes, if one of them is open inside the nearest block of another kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -68,6 +75,8 @@ BESIDE = frozenset(
     "bar box block wrap wrapper container content inner outer area section row col column list links link item items icon icons button buttons btn top bottom left right main "
     "site page global primary secondary sub post posts article entry media text slot unit banner zone panel group tools count counts form input field footer header fixed sticky mobile desktop".split()
 )
+#: Words that make a header an entry's own; names of standfirsts, and the signs that one without a name has at least.
+ENTRY, LEADS, LEAD = frozenset("entry post posts article content".split()), frozenset("lead lede standfirst intro summary subtitle deck dek excerpt abstract".split()), 60
 #: So begin further such words.
 NAMED_STARTS = ("advert", "adsby", "sponsor", "cookie", "breadcrumb", "newsletter", "sidebar", "commentlist")
 
@@ -117,6 +126,8 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    #: In an entry's header and not in a heading.
+    header: bool = False
 
 
 @dataclass
@@ -124,40 +135,51 @@ class Element:
     tag: str
     path: int
     skipped: bool
-    #: In the header of an article, where only headings count.
+    #: In the header of an article, where headings and standfirsts count.
     header: bool = False
 
 
+def _words(name: str) -> list[str]:
+    return [word for word in re.split(r"[^a-z]+", name) if word]
+
+
+def _own(words: list[str]) -> bool:
+    """Whether a name is that of an entry's header."""
+    return "header" in words and not ENTRY.isdisjoint(words) and all(word == "header" or word in BESIDE for word in words)
+
+
 def _named(value: str, marks: frozenset[str]) -> bool:
     """Whether one of the names in an attribute is made of marking words, and words that may stand beside them."""
-    for name in value.split():
-        words = [word for word in re.split(r"[^a-z]+", name) if word]
-        if any(word in marks or marks is NAMED and word.startswith(NAMED_STARTS) for word in words):
+    for words in map(_words, value.split()):
+        if any(word in marks or marks is NAMED and word.startswith(NAMED_STARTS) for word in words) and not _own(words):
             if all(word in marks or word in BESIDE or word.startswith(NAMED_STARTS) for word in words):
                 return True
     return False
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's label in a path, and whether its attributes mark boilerplate."""
-    label, named = tag, False
-    marks = AREA_NAMED if tag in AREAS else NAMED
+def _label(tag: str, attributes: str, marks: frozenset[str] = NAMED) -> tuple[str, bool, bool]:
+    """The element's label in a path, whether its attributes mark boilerplate, and whether they name an entry's header."""
+    label, named, own = tag, False, False
     if attributes.strip(" /\n\t"):
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
             if name in ("id", "class", "role"):
                 named |= _named(_ELSEWHERE.sub("", value), marks)
+                own |= name != "role" and any(_own(_words(each)) for each in value.split())
                 if name != "role" and value.split():
                     label += f".{value.split()[0]}"
             elif name == "style":
                 named |= "display:none" in value.replace(" ", "")
             else:
                 named |= name == "hidden" or value == "true"
-    return label, named and tag not in ROOTS
+    return label, named and tag not in ROOTS, own
+
 
+def blocks_of(page: str, by_name: bool = True, forms: bool = False) -> tuple[list[Block], Tree]:
+    """The page's blocks with text, in page order, without boilerplate elements, and their paths.
 
-def blocks_of(page: str, by_name: bool = True) -> tuple[list[Block], Tree]:
-    """The page's blocks with text, in page order, without boilerplate elements, and their paths; names count only if ``by_name``."""
+    Names count only if ``by_name``, and forms are read if ``forms``.
+    """
     tree = Tree()
     stack = [Element("", 0, False)]
     opened: Counter[str] = Counter()
@@ -185,13 +207,13 @@ def blocks_of(page: str, by_name: bool = True) -> tuple[list[Block], Tree]:
             token = match[0]
             if match[1] or match[2] or token[0] == "<" and len(token) > 1:
                 continue
-            if top.skipped or top.header and not any(opened[h] for h in HEADINGS):
+            if top.skipped:
                 continue
             text = html.unescape(token)
             if block is None:
                 if not text.strip():
                     continue
-                block = Block(top.path)
+                block = Block(top.path, header=top.header and not any(opened[h] for h in HEADINGS))
                 found.append(block)
             block.parts.append(text)
             if links:
@@ -234,12 +256,18 @@ def blocks_of(page: str, by_name: bool = True) -> tuple[list[Block], Tree]:
             close("head")
         if stack[-1].tag == "p":
             close("p")
-        label, named = _label(tag, attributes)
-        own = tag == "header" and bool(opened["article"])
-        push(tag, label, tag in SKIPPED or tag == "header" and not own or named and by_name and not own, own)
+        within = bool(opened["article"] or opened["main"])
+        label, named, entry = _label(tag, attributes, AREA_NAMED if tag in AREAS or within and tag in QUOTES else NAMED)
+        own = tag == "header" and within or entry and not named
+        push(tag, label, tag in SKIPPED and not (forms and tag == "form") or tag == "header" and not own or named and by_name and not own, own)
     for block in found:
         block.text = " ".join("".join(block.parts).split())
-    return [block for block in found if block.text], tree
+    return [block for block in found if block.text and (not block.header or _standfirst(tree.label[block.path], block.text))], tree
+
+
+def _standfirst(label: str, text: str) -> bool:
+    tag, _, name = label.partition(".")
+    return not LEADS.isdisjoint(_words(name)) or tag == "p" and len(text) >= LEAD and text[-1] in ".!?…。！？\"”’»"
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0, radius: int = 2) -> np.ndarray:
@@ -299,15 +327,30 @@ def select(blocks: list[Block], tree: Tree) -> list[Block]:
     keep = np.where(inside, (linked <= LINKS) | (count == 1) | heading, beside | (value >= OUTSIDE * value.max()) & (linked <= 0.3))
     if not keep.any():
         keep = value >= value.max()
-    return [block for block, k in zip(blocks, at.tolist(), strict=True) if keep[k]]
+    out, content = [], False
+    for block, k in zip(blocks, at.tolist(), strict=True):
+        # A list of links in the area is a menu before its first text and a list of references after it.
+        if keep[k] or inside[k] and content:
+            out.append(block)
+        content |= bool(inside[k] and keep[k] and not heading[k])
+    return out
+
+
+def weight(blocks: list[Block]) -> float:
+    """Text outside links, each block's by its punctuation, as in ``select``."""
+    return sum(max(0, len(block.text) - block.linked) * (1 + len(PUNCTUATION.findall(block.text))) for block in blocks)
 
 
 def main_text(page: str | None) -> str:
     page = page or ""
-    blocks, tree = blocks_of(page)
-    if not blocks:
-        blocks, tree = blocks_of(page, by_name=False)
-    return "\n".join(block.text for block in select(blocks, tree))
+    content = select(*blocks_of(page))
+    if re.search("<form", page, re.IGNORECASE):
+        with_forms = select(*blocks_of(page, forms=True))
+        if weight(with_forms) > FORM * weight(content):
+            content = with_forms
+    if not content:
+        content = select(*blocks_of(page, by_name=False))
+    return "\n".join(block.text for block in content)
 
 
 def extract(pages: DataFrame) -> DataFrame:

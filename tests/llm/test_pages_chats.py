@@ -6,6 +6,7 @@ import math
 import time
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspar.llm import chat_format
@@ -239,3 +240,25 @@ def test_work_grows_with_the_turns_of_a_conversation(spark):
     took(2_000)
     small, large = min(took(20_000) for _ in range(2)), min(took(40_000) for _ in range(2))
     assert large < 3 * small + 0.5
+
+
+SENTENCE = "The committee met on Tuesday, and it decided, after a long debate, that the bridge would be repaired."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><form id=aspnetForm><div class=menu><a href=/>Home</a></div><div><h1>Title</h1><p>{SENTENCE}</p><p>{SENTENCE}</p></div><div class=footer>Imprint</div></form></body>", f"Title\n{SENTENCE}\n{SENTENCE}"),
+        (f"<article><h1>Title</h1><p>{SENTENCE}</p></article><form><label>Your name, please.</label><textarea>x</textarea><p>We answer within a day.</p></form>", f"Title\n{SENTENCE}"),
+        (f"<article><div class='entry-header'><h1>Title</h1></div><p>{SENTENCE}</p></article>", f"Title\n{SENTENCE}"),
+        (f"<div id=page><div class='site-header'>Site</div><div class='post'><div class=post-header><h1>Title</h1><span>by X</span></div><p>{SENTENCE}</p><p>{SENTENCE}</p></div></div>", f"Title\n{SENTENCE}\n{SENTENCE}"),
+        (f"<header>Site</header><main><header><h1>Title</h1><div>3 May</div></header><p>{SENTENCE}</p></main>", f"Title\n{SENTENCE}"),
+        (f"<article><header><h1>Title</h1><p class='lead big'>Short lead</p><p>By X, 3 May</p></header><p>{SENTENCE}</p></article>", f"Title\nShort lead\n{SENTENCE}"),
+        (f"<article><header><h1>Title</h1><p>{SENTENCE}</p><ul><li>Share</li></ul></header><p>{SENTENCE} Two.</p></article>", f"Title\n{SENTENCE}\n{SENTENCE} Two."),
+        (f"<article><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><h1>Title</h1><p>{SENTENCE}</p><h2>Further reading</h2><ul><li><a href=3>A book</a></li><li><a href=4>A paper</a></li></ul></article>", f"Title\n{SENTENCE}\nFurther reading\nA book\nA paper"),
+        (f"<article><p>{SENTENCE}</p><blockquote class=alert>They said: beware.</blockquote><div class=alert>Our shop is closed.</div></article>", f"{SENTENCE}\nThey said: beware."),
+        (f"<article><p>{SENTENCE}</p><div class=comments><p>{SENTENCE} No!</p></div></article><div class=ad>{SENTENCE}</div><nav>{SENTENCE}</nav>", SENTENCE),
+    ],
+)
+def test_whole_articles_on_common_pages(page, text):
+    assert main_text(page) == text
