@@ -14,17 +14,23 @@ WHOLE = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
 PIECES = piece_bpe.Pieces(MODEL)
 
 
+def ids_of(text, pieces=PIECES):
+    ids, bounds = pieces.encode([text])
+    assert bounds.tolist() == [0, len(ids)]
+    return ids
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n▁.,'teahinoé\u0000①日")), max_size=60))
 def test_ids_equal_the_library(text):
-    ids = PIECES.encode(text)
+    ids = ids_of(text)
     assert ids.tolist() == WHOLE.encode(text)
     assert PIECES.decode(ids) == WHOLE.decode(WHOLE.encode(text))
 
 
 @pytest.mark.parametrize("text", ["", " ", " " * 37 + "x" + " " * 16, "▁", "<0x41></s><unk>", "\r\n\n\t", "a" * 3000, "日本語①" * 500, "a  b   c    d", "́e‍😀"])
 def test_ids_of_chosen_texts(text):
-    assert PIECES.encode(text).tolist() == WHOLE.encode(text)
+    assert ids_of(text).tolist() == WHOLE.encode(text)
 
 
 def test_each_prefix_has_one_last_token():
@@ -40,13 +46,25 @@ def test_each_prefix_has_one_last_token():
         assert fitting == [last[-1]]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n▁.,'-aé\ue000\ue001")), max_size=30), max_size=6))
+def test_texts_of_a_batch(texts):
+    ids, bounds = PIECES.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [WHOLE.encode(t) for t in texts]
+
+
 def test_words_are_dropped_at_the_limit(monkeypatch):
-    monkeypatch.setattr(piece_bpe, "LIMIT", 5_000)
     monkeypatch.setattr(piece_bpe, "PAIRS", 50)
-    pieces = piece_bpe.Pieces(MODEL)
+    pieces = piece_bpe.Pieces(MODEL, 5_000)
     for text in [" ".join(f"word{k}x{k * 7}" for k in range(n, n + 40)) for n in range(0, 400, 40)]:
-        assert pieces.encode(text).tolist() == WHOLE.encode(text)
-    assert len(pieces.pairs) <= 50 and pieces.bytes <= 5_000 + 40 * (piece_bpe.WORD + 200)
+        assert ids_of(text, pieces).tolist() == WHOLE.encode(text)
+    assert len(pieces.pairs) <= 50 and len(pieces.place) <= 81
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("▁theationé①")), min_size=1, max_size=40))
+def test_long_words_equal_short_ones(word):
+    assert PIECES.long_word(word) == PIECES.word(word)
 
 
 def test_other_models_are_refused():
