@@ -11,6 +11,14 @@ import __spark_entry__ as entry
 from quillspar.registry import ORACLES, QUERIES
 
 
+#: Queries that SQL does not state, and the tests that hold them against plain versions.
+PLAIN = {
+    "i06_lease_replay": "test_lease_queue", "j10_fuzzy_assignment": "test_composites", "j12_top_three": "test_plain_versions", "j13_best_title": "test_plain_versions", "k18_communities": "test_communities",
+    "k33_quiz_sample": "test_plain_versions", "s08_signature": "test_composites", "s11_page_parts": "test_markup", "s12_main_content": "test_markup", "x12_clause_chunks": "test_plain_versions",
+    "x16_first_chunks": "test_composites", "x19_pair_excerpt": "test_composites", "x24_unified_diff": "test_composites", "x28_encyclopedia": "test_composites",
+}
+
+
 @pytest.fixture(scope="module")
 def duck(small):
     connection = duckdb.connect()
@@ -38,7 +46,7 @@ def rows(columns, found):
 def test_query(spark, small, duck, name):
     got = QUERIES[name](spark, small)
     if name not in ORACLES:
-        assert got.columns and got.count() >= 0
+        assert os.path.exists(f"{os.path.dirname(__file__)}/{PLAIN[name]}.py") and not got.isEmpty()
         return
     wanted = duck.execute(ORACLES[name])
     columns = [c[0] for c in wanted.description]
