@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -231,15 +234,43 @@ def f16_evidence_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quoted(documents: DataFrame, quotes: DataFrame, limit: int = 8 << 20) -> DataFrame:
     """How many documents hold each quote, white space aside.
 
-    Quotes are broadcast in slices whose size is checked: the documents are scanned once for every ``limit`` bytes of quotes.
+    Quotes are broadcast in slices whose size is checked: the documents are scanned once for every ``limit`` bytes of
+    quotes. One automaton finds all quotes of a slice in one walk over a text, whatever their number.
     """
     plain = lambda c: F.regexp_replace(c, r"\s+", "")
-    quotes = quotes.where("trim(text) <> ''").select("item_id", plain("text").alias("quote"))
-    bodies = documents.select(plain("text").alias("body"))
+    quotes = quotes.where("trim(text) <> ''").select("item_id", plain("text").alias("quote")).where("quote <> ''")
+    bodies = documents.select(plain("text").alias("body")).where("body <> ''")
+    kind = dict(quotes.dtypes)["item_id"]
     slices = max(1, -(-(quotes.agg(F.sum(F.octet_length("quote"))).first()[0] or 0) // limit))
-    parts = [quotes.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(slices)) == k) for k in range(slices)]
-    found = [bodies.join(F.broadcast(part), F.contains("body", "quote")).groupBy("item_id").agg(F.count("*").alias("documents")) for part in parts]
-    return reduce(DataFrame.unionByName, found).groupBy("item_id").agg(F.sum("documents").alias("documents"))
+    found = None
+    for k in range(slices):
+        part = quotes.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(slices)) == k).toArrow()
+        shared = documents.sparkSession.sparkContext.broadcast(list(zip(part.column("quote").to_pylist(), part.column("item_id").to_pylist())))
+        rows = bodies.mapInArrow(_holding(shared, part.schema.field("item_id").type), f"item_id {kind}").groupBy("item_id").agg(F.count("*").alias("documents"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("item_id").agg(F.sum("documents").alias("documents"))
+
+
+def _holding(shared, kind: pa.DataType):
+    """One row for every quote of every text that holds it; rows of equal quotes each have theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners: dict[str, list] = {}
+        for quote, item in shared.value:
+            owners.setdefault(quote, []).append(item)
+        automaton = ahocorasick.Automaton()
+        for quote in owners:
+            automaton.add_word(quote, quote)
+        if not owners:
+            return
+        automaton.make_automaton()
+        for batch in batches:
+            for body in batch.column("body"):
+                items = [item for quote in {quote for _, quote in automaton.iter(body.as_py())} for item in owners[quote]]
+                if items:
+                    yield pa.RecordBatch.from_arrays([pa.array(items, kind)], names=["item_id"])
+
+    return run
 
 
 @query("u01_union", "SELECT 'customer' AS kind, c_nationkey AS nation FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier")

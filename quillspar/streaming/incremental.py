@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspar.registry import query
 from quillspar.sources.tables import table
+from quillspar.streaming.journal import Files
 
 
 def apply_export(current: DataFrame, export: DataFrame, key: str, removed: DataFrame | None = None) -> DataFrame:
@@ -105,19 +106,29 @@ def first_seen(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def merge_stream(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Merges micro-batches into a table by ``key``: each batch writes a new version, so a repeated batch changes nothing."""
+def merge_stream(stream: DataFrame, path: str, key: str, checkpoint: str, sequence: str | None = None, keep: int = 2):
+    """Merges micro-batches into a table by ``key``: each batch writes a new version, so a repeated batch changes nothing.
+
+    Of a key's rows in one batch the one with the largest ``sequence`` counts; without a sequence they must be equal, or
+    the stream stops. The last ``keep`` versions stay, for readers of the one before.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/version={number}"
-        older = number - 1
-        rest = batch
-        if older >= 0:
-            rest = apply_export(spark.read.parquet(f"{path}/version={older}"), batch.dropDuplicates([key]), key)
+        if sequence:
+            order = Window.partitionBy(key).orderBy(F.desc(sequence), F.xxhash64(*batch.columns))
+            rows = batch.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+        else:
+            rows = batch.distinct()
+            if not rows.groupBy(key).count().where("count > 1").isEmpty():
+                raise ValueError("rows of one key differ; name a sequence")
+        if number:
+            merged = apply_export(spark.read.parquet(f"{path}/version={number - 1}"), rows, key)
         else:
-            rest = batch.dropDuplicates([key]).withColumn("removed", F.lit(0))
-        rest.write.mode("overwrite").parquet(target)
+            merged = rows.withColumn("removed", F.lit(0))
+        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number >= keep:
+            Files(spark, path).delete(f"version={number - keep}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

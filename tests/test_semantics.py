@@ -131,3 +131,18 @@ def test_stream_merge(spark, tmp_path):
     incremental.merge_stream(stream(), str(target), "id", str(tmp_path / "mark")).start().awaitTermination(60)
     got = spark.read.parquet(f"{target}/version=1")
     assert {r.id: r.body for r in got.collect()} == {1: "a", 2: "c", 3: "d"}
+    spark.createDataFrame([(2, "e"), (2, "f"), (4, "g"), (4, "g")], schema).coalesce(1).write.parquet(str(source / "3"))
+    with pytest.raises(Exception, match="name a sequence"):
+        incremental.merge_stream(stream(), str(target), "id", str(tmp_path / "mark")).start().awaitTermination(60)
+    incremental.merge_stream(stream(), str(target), "id", str(tmp_path / "mark"), sequence="body").start().awaitTermination(60)
+    assert {r.id: r.body for r in spark.read.parquet(f"{target}/version=2").collect()} == {1: "a", 2: "f", 3: "d", 4: "g"}
+    assert not (target / "version=0").exists()
+
+
+def test_quotes_in_texts(spark):
+    from quillspar.operators import joins
+
+    docs = spark.createDataFrame([("a b c",), ("xab cx abc",), (None,), ("",), ("bc\n\td",)], "text string")
+    quotes = spark.createDataFrame([(1, "ab\nc"), (2, "bcd"), (3, "a b c"), (4, "zz"), (5, " "), (6, None), (None, "c")], "item_id int, text string")
+    for limit in (8 << 20, 3):
+        assert {tuple(r) for r in joins.quoted(docs, quotes, limit).collect()} == {(1, 2), (2, 1), (3, 2), (None, 3)}
