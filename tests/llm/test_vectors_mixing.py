@@ -62,7 +62,7 @@ def unit_vectors(dimension, clustered, n):
     return data / np.sqrt((data**2).sum(axis=1, keepdims=True))
 
 
-@pytest.mark.parametrize("dimension, clustered", [(32, False), (64, True), (128, False), (128, True), (256, False), (768, False), (768, True)])
+@pytest.mark.parametrize("dimension, clustered", [(32, False), (64, True), (128, False), (256, True), (768, False)])
 def test_recall_at_any_width(spark, dimension, clustered):
     n = 1200
     data = unit_vectors(dimension, clustered, n)
@@ -76,21 +76,26 @@ def test_recall_at_any_width(spark, dimension, clustered):
     assert np.mean([len(found[20 * q] & set(near)) / 20 for q, near in enumerate(wanted)]) >= 0.9
 
 
-def test_a_plan_holds_beyond_its_queries():
+@pytest.mark.parametrize("clustered", [False, True])
+@pytest.mark.parametrize("dimension", [32, 64, 128, 256, 768])
+def test_a_plan_holds_beyond_its_queries(dimension, clustered):
     """Measured on 64 queries, tables and probes find the nearest of all others; near ones are found with few visits."""
-    for clustered in (False, True):
-        data = unit_vectors(64, clustered, 4000)
-        ids, asked = np.arange(4000), np.arange(0, 4000, 20)
-        scores = data[asked] @ data.T
-        scores[np.arange(len(asked)), asked] = -np.inf
-        near = np.argsort(-scores, axis=1)[:, :20]
-        tables, probes = cross_polytope.plan(np.repeat(data[asked[:64]], 20, axis=0), data[near[:64].ravel()])
-        assert tables * probes <= 128 * (0.25 if clustered else 0.9)
-        hit = np.zeros(near.shape, bool)
-        for number in range(tables):
-            axis, probed = cross_polytope.axes(data, number, 1)[:, 0], cross_polytope.axes(data[asked], number, probes)
-            hit |= (axis[near][:, :, None] == probed[:, None, :]).any(axis=2)
-        assert hit.mean() >= 0.92
+    n = 3000
+    data = unit_vectors(dimension, clustered, n)
+    ids, asked = np.arange(n), np.arange(0, n, 20)
+    scores = data[asked] @ data.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, :20]
+    tables, probes = cross_polytope.plan(np.repeat(data[asked[:64]], 20, axis=0), data[near[:64].ravel()])
+    width = cross_polytope.signed(data[:1], 0).shape[1]
+    assert tables * probes <= width * (0.3 if clustered else 0.95)
+    hit = np.zeros(near.shape, bool)
+    for number in range(tables):
+        place = cross_polytope.axes(data, number, 1)[:, 0]
+        probed = np.zeros((len(asked), width), bool)
+        np.put_along_axis(probed, cross_polytope.axes(data[asked], number, probes), True, axis=1)
+        hit |= np.take_along_axis(probed, place[near], axis=1)
+    assert hit.mean() >= 0.92
 
 
 def test_few_odd_and_equal_vectors(spark):
