@@ -107,14 +107,32 @@ def plan(queries: np.ndarray, near: np.ndarray) -> tuple[int, int]:
 
 
 def _planned(rows: DataFrame, asked: DataFrame, kind: str, k: int) -> dict[int, tuple[int, int]]:
-    """A plan for the dimensions of ASKED queries, chosen by a hash of their ids and compared with all rows; others visit all."""
-    few = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED)
-    exact = ranked(_met(rows, few, _whole, _whole, kind, k), k).select("query_id", "vec_id")
-    pairs = exact.join(rows, "vec_id").join(few.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
+    """A plan for the dimensions of ASKED queries, chosen by a hash of their ids and compared with all rows; others visit all.
+
+    The queries go to the rows, as there are few of them; each task gives the best it has, and no vector is shuffled.
+    """
+    few = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).toArrow()
+    queries = {size: found for batch in few.combine_chunks().to_batches() for size, *found in _groups(batch)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 4096):
+                for size, ids, vectors in _groups(whole.slice(first, 4096)):
+                    if size in queries:
+                        numbers, values = queries[size]
+                        every = np.ones(len(numbers), np.int64), np.ones(len(ids), np.int64)
+                        for found in nearest(numbers, every[0], values.astype(kind), ids, every[1], vectors.astype(kind), k):
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+    exact = ranked(rows.mapInArrow(run, NEAR), k).select("query_id", "vec_id")
+    pairs = rows.join(F.broadcast(exact), "vec_id").groupBy("query_id", "vec_id").agg(F.min("vector").alias("vector")).collect()  # ASKED times k rows at most
+    asked_for = {(size, number): value for size, (numbers, values) in queries.items() for number, value in zip(numbers.tolist(), values)}
     found: dict[int, tuple[list, list]] = {}
-    for row in pairs.where("size(vector) = size(asked)").select("asked", "vector").collect():
-        for side, vector in zip(found.setdefault(len(row.asked), ([], [])), row):
-            side.append(vector)
+    for row in pairs:
+        value = asked_for.get((len(row.vector), row.query_id))
+        if value is not None:
+            for side, vector in zip(found.setdefault(len(row.vector), ([], [])), (value, row.vector)):
+                side.append(vector)
     return {size: plan(*map(np.array, sides)) for size, sides in found.items()}
 
 
