@@ -154,5 +154,5 @@ def gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @query("k18_communities")
 def k18_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the graph of parts."""
-    return louvain(part_edges(spark, sf_dir))
+    """Communities of the graph of parts, by one pass."""
+    return louvain(part_edges(spark, sf_dir), passes=1)
