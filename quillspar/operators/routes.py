@@ -34,7 +34,7 @@ def search_tokens(text: Column, most: int = 1000) -> Column:
 
 def standard_code(text: Column) -> Column:
     """The first standard code of a text: letters, number and year with single signs between."""
-    found = F.regexp_extract(F.upper(F.translate(text, "—–－_", "----")), r"\b([A-Z]{2,4}(?:/T)?)[ -]*(\d{2,6}(?:\.\d+)?)-(\d{4})\b", 0)
+    found = F.regexp_extract(F.upper(F.translate(text, "—–－_", "----")), r"\b([A-Z]{2,4}(?:/T)?)[ -]*(\d{2,}(?:\.\d+)?)-(\d{4})\b", 0)
     return F.nullif(F.regexp_replace(found, r"[ -]+", " "), F.lit(""))
 
 
