@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,21 +104,28 @@ def places(text: Column, needle: str) -> Column:
     return F.transform(F.slice(ends, F.lit(2), F.size(pieces) - 1), lambda end: end - len(needle))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pair_excerpt(text: Column, source: str, target: str, gap: int = 500, around: int = 120) -> Column:
-    """The text around the nearest pair of a source's and a target's place, empty if they are further apart than ``gap`` or one is missing."""
+    """The text around the nearest pair of a source's and a target's place, empty if they are further apart than ``gap`` or one is missing.
+
+    Nothing lies between the two of a nearest pair, so only neighbours in the order of all places are looked at.
+    """
     if not source or not target:
         return F.lit("")
-    same = source == target
-    pairs = F.flatten(
-        F.transform(
-            places(text, source),
-            lambda x: F.transform(places(text, target), lambda y: F.struct(F.abs(x - y).alias("gap"), x.alias("first"), y.alias("second"))),
-        )
-    )
-    near = F.array_min(F.filter(pairs, lambda p: (p["gap"] > 0) if same else F.lit(True)))
-    left = F.greatest(F.lit(0), F.least(near["first"], near["second"]) - around)
-    right = F.least(F.length(text), F.greatest(near["first"] + len(source), near["second"] + len(target)) + around)
-    return F.when(near["gap"] <= gap, F.substring(text, left + 1, right - left)).otherwise("")
+    marked = lambda needle, kind: F.transform(places(text, needle), lambda p: F.struct(p.alias("at"), F.lit(kind).alias("kind")))
+    order = F.array_sort(marked(source, 0) if source == target else F.concat(marked(source, 0), marked(target, 1)))
+    first = lambda a, b: F.when(a["kind"] <= b["kind"], a["at"]).otherwise(b["at"])
+    second = lambda a, b: F.when(a["kind"] <= b["kind"], b["at"]).otherwise(a["at"])
+    pair = lambda a, b: F.struct((b["at"] - a["at"]).alias("gap"), first(a, b).alias("first"), second(a, b).alias("second"))
+    beside = lambda m: F.zip_with(F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, 2, 1 << 30), lambda a, b: F.when(F.lit(source == target) | (a["kind"] != b["kind"]), pair(a, b)))
+    left = lambda near: F.greatest(F.lit(0), F.least(near["first"], near["second"]) - around)
+    right = lambda near: F.least(F.length(text), F.greatest(near["first"] + len(source), near["second"] + len(target)) + around)
+    excerpt = lambda near: F.when(near["gap"] <= gap, F.substring(text, left(near) + 1, right(near) - left(near))).otherwise("")
+    return _let(_let(order, lambda m: F.array_min(beside(m))), excerpt)
 
 
 @query("x19_pair_excerpt")
