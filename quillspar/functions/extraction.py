@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspar.registry import query
 from quillspar.sources.tables import table
@@ -140,22 +138,12 @@ def split_headed(text: Column, kind: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.length(p) > least)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_long(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Pieces of 1200 signs at most, each up to its last full stop where it has one, which no built-in function can cut one after the other."""
-
-    def cut(text: str | None) -> list[str]:
-        out, start = [], 0
-        text = text or ""
-        while len(text) - start > 1200:
-            stop = text.rfind("。", start, start + 1200)
-            end = (stop if stop >= 0 else start + 1200) + 1
-            out.append(text[start:end])
-            start = end
-        return out + ([text[start:]] if text[start:].strip() else [])
-
-    for batch in texts:
-        yield batch.map(cut)
+def split_long(text: Column | str) -> Column:
+    """Pieces of 1200 signs at most, each up to its last full stop where it has one, else of 1201; blank ends and null texts give none."""
+    found = F.regexp_extract_all(text, F.lit(r"(?s)(?=.{1201})(?:.{0,1199}。|.{1201})|.+"), F.lit(0))
+    # Only the last piece has 1200 signs or fewer to its right, and only it may be dropped for being blank.
+    kept = lambda m: F.when(F.element_at(m, -1).rlike(r"(?U)^[\s\x1c-\x1f]*\z") & (F.length(F.element_at(m, -1)) <= 1200), F.slice(m, F.lit(1), F.size(m) - 1)).otherwise(m)
+    return F.coalesce(_let(found, lambda m: F.when(F.size(m) > 0, kept(m)).otherwise(m)), F.array().cast("array<string>"))
 
 
 @query("x16_first_chunks")

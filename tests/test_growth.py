@@ -16,6 +16,23 @@ def test_standard_codes_of_numbers_with_seven_digits(spark, tmp_path):
     assert got == {1_234_567: "GB/T 1234577 2010", 8: None}
 
 
+def plain_cuts(text):
+    out, start = [], 0
+    while len(text) - start > 1200:
+        stop = text.rfind("。", start, start + 1200)
+        end = (stop if stop >= 0 else start + 1200) + 1
+        out.append(text[start:end])
+        start = end
+    return out + ([text[start:]] if text[start:].strip() else [])
+
+
+def test_long_pieces_are_cut_without_python(spark):
+    texts = ["甲" * 1200, "甲" * 1201, "甲" * 1202, "x" * 1199 + "。" + " " * 40, "x" * 1200 + "。" * 3, " " * 1201, " " * 2402 + "\n\x1f", "😀" * 1300 + "。\n" * 700, "a。" + "b\n" * 2000, " ", "\u00a0b"]
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").select("n", extraction.split_long("t").alias("cut"))
+    assert {r.n: r.cut for r in frame.collect()} == {n: plain_cuts(t) for n, t in enumerate(texts)}
+    assert "Python" not in plan_of(frame)
+
+
 def test_excerpts_of_thousands_of_places(spark):
     text = "with " * 3000 + "x" * 200 + "from " * 3000 + "with"
     row = spark.createDataFrame([(text,)], "t string").select(extraction.pair_excerpt(F.col("t"), "with", "from", 500, 3).alias("e"), extraction.pair_excerpt(F.col("t"), "from", "with", 500, 3).alias("f")).first()
