@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspar.operators.windows import cap_per_key
 from quillspar.registry import query
+from quillspar.sources.shared import Steps, dealt
 from quillspar.sources.tables import table
 
 
@@ -190,6 +192,23 @@ def j11_phased_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phased_link(left, right, [("code", (F.col("id") % 1000).cast("string"), code, 1.0), ("nation", F.col("c_nationkey").cast("string"), F.col("s_nationkey").cast("string"), 0.85)])
 
 
+def sharing_most(cited: DataFrame, k: int, part: int = 500) -> DataFrame:
+    """(page, other, shared): the ``k`` pages that share most documents with a page, ties to the smaller; ``cited`` has page and doc.
+
+    A page is sent to where it is counted with lists of the others of each document, about ``part`` in one; a task makes about two
+    million pairs, so neither a large document nor many pages make a large task.
+    """
+    steps = Steps(cited.sparkSession, "sharing")
+    cited = steps.keep(cited.select("page", "doc").where("page IS NOT NULL AND doc IS NOT NULL").distinct())
+    size = steps.keep(cited.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1"))
+    made = size.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    dealt_out = cited.join(size, "doc").withColumn("part", F.pmod(F.xxhash64("page"), F.ceil(F.col("n") / part)))
+    lists = dealt_out.groupBy("doc", "part").agg(F.collect_list("page").alias("others")).select("doc", "others")
+    pairs = dealt(cited.join(lists, "doc").select("page", "others"), made, "page", each=2_000_000).select("page", F.explode("others").alias("other"))
+    counted = pairs.where("page <> other").groupBy("page", "other").agg(F.count("*").alias("shared"))
+    return cap_per_key(counted, ["page"], [F.desc("shared"), F.col("other")], k)
+
+
 @query(
     "j15_shared_documents",
     """WITH e AS (SELECT DISTINCT l_suppkey AS page, l_partkey AS doc FROM lineitem WHERE l_returnflag = 'R'),
@@ -197,10 +216,8 @@ def j11_phased_link(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT page, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY shared DESC, other) AS r FROM p) WHERE r <= 6""",
 )
 def j15_shared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("doc")).distinct()
-    pairs = e.join(e.withColumnRenamed("page", "other"), "doc").where("page <> other").groupBy("page", "other").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy("page").orderBy(F.desc("shared"), "other")
-    return pairs.withColumn("r", F.row_number().over(order)).where("r <= 6").drop("r")
+    e = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("page"), F.col("l_partkey").alias("doc"))
+    return sharing_most(e, 6)
 
 
 @query(
