@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillspar.functions import extraction
-from quillspar.operators import graph, routes
+from quillspar.operators import graph, joins, knowledge, routes
 from quillspar.sources import shared
 
 
@@ -68,3 +68,37 @@ def test_triangles_give_the_scores_of_linked_pairs(spark):
     wanted = {(a, b): sum(1 / math.log(len(around[n])) for n in around[a] & around[b]) for a in around for b in around[a] if a < b and around[a] & around[b]}
     got = {(r.a, r.b): r.score for r in graph.adamic_adar_links(spark.createDataFrame(sorted(edges), "src int, dst int")).collect()}
     assert got.keys() == wanted.keys() and all(abs(got[p] - wanted[p]) < 1e-9 for p in wanted)
+
+
+def test_shared_documents_in_parts_of_large_ones(spark):
+    rng = random.Random(4)
+    cited = {(rng.randrange(30), rng.randrange(12)) for _ in range(150)} | {(n, 99) for n in range(30)}
+    shared_of = lambda a, b: len({d for p, d in cited if p == a} & {d for p, d in cited if p == b})
+    wanted = {(a, b, s) for a in range(30) for s, b in sorted((-shared_of(a, b), b) for b in range(30) if a != b and shared_of(a, b))[:3] for s in [-s]}
+    frame = spark.createDataFrame(sorted(cited), "page int, doc int")
+    for part in (500, 3):
+        assert {tuple(r) for r in joins.sharing_most(frame, 3, part).collect()} == wanted
+
+
+def test_network_sends_lists_instead_of_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    pages = [(n, "abc"[n % 3]) for n in range(40)]
+    direct = [(n, n % 3) for n in range(40)]
+    cited = {(rng.randrange(40), f"d{rng.randrange(25)}") for _ in range(160)} | {(n, f"hot{n % 2}") for n in range(40)}
+    of, links = {}, {(min(p), max(p)) for p in direct if p[0] != p[1]}
+    for page, doc in cited:
+        of.setdefault(doc, []).append(page)
+    docs = {p: {d for q, d in cited if q == p} for p in range(40)}
+    pairs = links | {(a, b) for group in of.values() for a in sorted(group)[:9] for b in sorted(group)[:9] if a < b}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    score = lambda a, b: sum(1 / math.log(len(near[n])) for n in near.get(a, set()) & near.get(b, set()) if len(near[n]) > 1)
+    wanted = {(a, b): 3 * ((a, b) in links) + 4 * len(docs[a] & docs[b]) + 1.5 * score(a, b) + (a % 3 == b % 3) for a, b in pairs}
+    made = []
+    monkeypatch.setattr(knowledge, "dealt", lambda frame, rows, *keys, each=1: made.append(frame.columns) or shared.dealt(frame, rows, *keys, each=each))
+    found = knowledge.wiki_network(spark.createDataFrame(pages, "page int, type string"), spark.createDataFrame(direct, "a int, b int"), spark.createDataFrame(sorted(cited), "page int, doc string"), cap=9)
+    got = {(r.a, r.b): r.weight for r in found.collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[p] - wanted[p]) < 1e-9 for p in wanted)
+    assert made[0] == ["a", "later"]
