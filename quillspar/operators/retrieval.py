@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from quillspar.registry import query
 from quillspar.sources.tables import table
 
 K1, B, RRF_K, MAX_TERMS, BLOCKS = 1.2, 0.75, 60, 24, 64
+#: Rows of a tile's sides, queries of one product, and what a product may differ from a score that is equal when rounded to six digits.
+TILE, QUERIES_AT_ONCE, SLACK = 16_384, 256, 2e-6
 #: Weights of the routes in the fusion.
 ROUTE_WEIGHTS = {"vector": 1.0, "keyword": 1.0, "graph": 0.8}
 
@@ -60,16 +65,66 @@ def normalised(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(F.lit(0.0)))
 
 
+def _tile_top(k: int):
+    """What may be among the k nearest of each query in a tile of vectors and queries, with exact scores."""
+
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        return np.asarray(table[name].combine_chunks().flatten(), "float64").reshape(table.num_rows, -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": right["query_id"].slice(0, 0), "vec_id": left["vec_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        order = pc.sort_indices(left["vec_id"])
+        left, found = left.take(order), [empty]
+        vectors, asked = matrix(left, "embedding"), matrix(right, "asked")
+        ids, queries = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+        for start in range(0, len(queries), QUERIES_AT_ONCE):
+            some = slice(start, start + QUERIES_AT_ONCE)
+            near = asked[some] @ vectors.T
+            near[queries[some, None] == ids] = -np.inf
+            least = np.partition(near, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
+            row, column = np.nonzero((near >= least[:, None] - SLACK) & (near > -np.inf))
+            score = np.zeros(len(row))
+            for at in range(vectors.shape[1]):  # in the order of the components, as ``dot`` adds them up
+                score += asked[start + row, at] * vectors[column, at]
+            # Of copies, which score the same, k with the smallest ids are enough.
+            rank = np.lexsort((column, -score, row))
+            fresh = np.r_[True, (row[rank][1:] != row[rank][:-1]) | (score[rank][1:] != score[rank][:-1])]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(rank)), 0)) if len(rank) else rank
+            rank = rank[np.arange(len(rank)) - first < k]
+            found.append(pa.table([right["query_id"].take(start + row[rank]), left["vec_id"].take(column[rank]), pa.array(score[rank])], names=empty.column_names))
+        return pa.concat_tables(found)
+
+    return run
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k vectors of largest inner product for a stated set of queries, exactly.
 
-    Vectors are dealt into blocks and every query visits every block, so neither
-    side is broadcast and no task holds more than a block.
+    Vectors and queries are dealt into tiles of TILE rows a side, of which each is one product of matrices; what can be
+    among a query's k nearest is scored again in the order of the components. Null vectors, and those with other widths or
+    components that are null or not finite, are scored one by one.
     """
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    placed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)).cast("int"))
-    pairs = placed.join(asked.hint("merge"), "block").where("vec_id <> query_id").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("asked")), 6).alias("score"))
-    return cap_per_key(pairs, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
+    width = vectors.agg(F.mode(F.size("embedding"), True)).first()[0]
+    kind = dict(vectors.dtypes)
+    e = F.col("embedding")
+    whole = F.coalesce((F.size(e) == F.lit(width)) & (F.size(e) > 0) & F.forall(e, lambda x: F.coalesce(F.abs(x) < 1e100, F.lit(False))), F.lit(False))
+    marked, asking = vectors.where("vec_id IS NOT NULL").select("vec_id", "embedding", whole.alias("whole")), queries.where("vec_id IS NOT NULL").select("vec_id", "embedding", whole.alias("whole"))
+    n, odd = marked.agg(F.count("*"), F.count_if(~F.col("whole"))).first()
+    m, odd_queries = asking.agg(F.count("*"), F.count_if(~F.col("whole"))).first()
+    down, across = max(1, -(-n // TILE)), max(1, -(-m // TILE))
+    dealt = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    placed = marked.where("whole").select("vec_id", "embedding", dealt("vec_id", down).alias("block"), each(across).alias("part"))
+    asked = asking.where("whole").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), dealt("vec_id", across).alias("part"), each(down).alias("block"))
+    schema = f"query_id {kind['vec_id']}, vec_id {kind['vec_id']}, score double"
+    pairs = placed.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(_tile_top(k), schema)
+    if odd or odd_queries:
+        left, right = marked.withColumn("block", dealt("vec_id", BLOCKS)), asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), F.col("whole").alias("also"), each(BLOCKS).alias("block"))
+        single = left.join(right.hint("merge"), "block").where("vec_id <> query_id AND NOT (whole AND also)")
+        pairs = pairs.unionByName(single.select("query_id", "vec_id", dot(e, F.col("asked")).alias("score")))
+    return cap_per_key(pairs.withColumn("score", F.round("score", 6)), ["query_id"], [F.desc("score"), F.col("vec_id")], k)
 
 
 def fuse(hits: DataFrame) -> DataFrame:
