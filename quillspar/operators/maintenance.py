@@ -142,13 +142,14 @@ def k43_wiki_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_assertions(reports: DataFrame) -> DataFrame:
     """Assertions (doc, predicate, object, object_kind) that the rules find in reports (doc, text): counts as literals, standards, substances, clauses and days as entities."""
     found = annotations(F.col("text"))
-    read = reports.select("doc", *[column.alias(name) for name, column in found.items()])
-    said = lambda predicate, name, kind: F.struct(F.lit(predicate).alias("predicate"), F.col(name).cast("string").alias("object"), F.lit(kind).alias("object_kind"))
-    literals = [said(f"has_{name}", name, "literal") for name in ("death_count", "severe_injury_count", "minor_injury_count", "injury_count", "missing_count")]
-    rows = read.select("doc", F.explode(F.array(*literals)).alias("a")).where("a.object IS NOT NULL")
-    for predicate, name in {"references": "standard_codes", "involves_chemical": "cas_numbers", "violates": "clauses", "occurred_on": "dates"}.items():
-        rows = rows.union(read.select("doc", F.explode(name).alias("x")).select("doc", said(predicate, "x", "entity").alias("a")))
-    return rows.select("doc", "a.*")
+    said = lambda predicate, x, kind: F.struct(F.lit(predicate).alias("predicate"), x.cast("string").alias("object"), F.lit(kind).alias("object_kind"))
+    literals = [F.when(found[name].isNotNull(), said(f"has_{name}", found[name], "literal")) for name in ("death_count", "severe_injury_count", "minor_injury_count", "injury_count", "missing_count")]
+    entities = {"references": "standard_codes", "involves_chemical": "cas_numbers", "violates": "clauses", "occurred_on": "dates"}
+    none = F.array().cast("array<struct<predicate:string,object:string,object_kind:string>>")
+    each = lambda predicate, name: F.coalesce(F.transform(found[name], lambda x: said(predicate, x, "entity")), none)
+    listed = [each(*pair) for pair in entities.items()]
+    # A report is read once, whatever is found in it.
+    return reports.select("doc", F.explode(F.concat(F.array_compact(F.array(*literals)), *listed)).alias("a")).select("doc", "a.*")
 
 
 @query(
