@@ -7,10 +7,9 @@ import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspar.registry import query
 from quillspar.sources.tables import table
@@ -159,6 +158,8 @@ def k30_audit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 NO_SECTION = ("目录", "参考资料", "词条图册", "相关视频")
 CHALLENGE = r"<title[^>]*>\s*(?:百度安全验证|安全验证|访问验证|百度一下).*?</title>"
 FIRST, LEAST, MOST = "基本概述", 20, 5000
+#: Pages that are read at once.
+AT_ONCE = 50
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -236,13 +237,18 @@ def encyclopedia(pages: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     another title or without a paragraph say so in their status.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("url", "status", "title", "sections")
+    kind = pa.schema([*[pa.field(c, pa.string()) for c in names[:3]], pa.field("sections", pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())])))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [read_article(html, {plain_name(n) for n in (names if names is not None else [])}, also) for html, names in zip(batch["html"], batch["names"], strict=True)]
-            yield pd.DataFrame({"url": batch["url"], "status": [f["status"] for f in found], "title": [f["title"] for f in found], "sections": [f["sections"] for f in found]})
+            for start in range(0, batch.num_rows, AT_ONCE):
+                # A few pages at a time leave their columns, so a batch is never held a second time.
+                rows = batch.slice(start, AT_ONCE).to_pylist()
+                found = [{"url": r["url"]} | read_article(r["html"], {plain_name(n) for n in r["names"] or []}, also) for r in rows]
+                yield pa.RecordBatch.from_pylist(found, kind)
 
-    section = T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("text", T.StringType())]))
-    return pages.select("url", "html", "names").mapInPandas(read, T.StructType([T.StructField(c, T.StringType()) for c in ("url", "status", "title")] + [T.StructField("sections", section)]))
+    return pages.select("url", "html", "names").mapInArrow(read, "url string, status string, title string, sections array<struct<heading: string, text: string>>")
 
 
 def chapter_excerpt(sections: Column, words: list[str], size: int = 180, least: int = 70) -> Column:

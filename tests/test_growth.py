@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillspar.functions import extraction
-from quillspar.operators import graph, joins, knowledge, routes
+from quillspar.operators import articles, graph, joins, knowledge, maintenance, retrieval, routes
 from quillspar.sources import shared
 
 
@@ -102,3 +102,40 @@ def test_network_sends_lists_instead_of_pairs(spark, monkeypatch):
     got = {(r.a, r.b): r.weight for r in found.collect()}
     assert got.keys() == wanted.keys() and all(abs(got[p] - wanted[p]) < 1e-9 for p in wanted)
     assert made[0] == ["a", "later"]
+
+
+def test_dense_top_by_tiles_equals_a_plain_search(spark, monkeypatch):
+    rng = random.Random(3)
+    some = lambda: [rng.choice([0.5, -0.25, 0.125, rng.uniform(-1, 1)]) for _ in range(8)]
+    vectors = {n: some() for n in range(300)} | {n: [1.0] * 8 for n in range(300, 340)} | {400: None, 401: [1.0] * 5, 402: [None] + [1.0] * 7, 403: [0.5] * 8}
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    queries = [n for n in vectors if n % 50 == 0 or n == 320]
+    wanted = set()
+    for q in queries:
+        scores = []
+        for n, v in vectors.items():
+            plain = v and vectors[q] and len(v) == len(vectors[q]) and None not in v
+            scores += [(-round(sum(x * y for x, y in zip(v, vectors[q])), 6) if plain else math.inf, n)] if n != q else []
+        wanted |= {(q, n, None if s == math.inf else -s) for s, n in sorted(scores)[:7]}
+    monkeypatch.setattr(retrieval, "TILE", 90)
+    found = retrieval.dense_top(frame, frame.where(F.col("vec_id").isin(queries)), 7)
+    got = {(r.query_id, r.vec_id, None if r.score is None else r.score + 0.0) for r in found.collect()}
+    assert {r[:2] for r in got} == {r[:2] for r in wanted} and "FlatMapCoGroupsInArrow" in plan_of(found)
+    assert sorted((q, n) for q, n, s in got if s is None) == sorted((q, n) for q, n, s in wanted if s is None)
+
+
+def test_reports_are_read_once(spark):
+    frame = spark.createDataFrame([(1, "3 人死亡，GB 1-2018 第5条 6.3.1 CAS 7664-41-7 2020年1月5日"), (2, None), (3, "")], "doc long, text string")
+    found = maintenance.rule_assertions(frame)
+    assert {tuple(r) for r in found.collect()} == {
+        (1, "has_death_count", "3", "literal"), (1, "references", "GB 1-2018", "entity"), (1, "involves_chemical", "7664-41-7", "entity"), (1, "violates", "第5条", "entity"),
+        (1, "violates", "6.3.1", "entity"), (1, "occurred_on", "2020-01-05", "entity"), (1, "occurred_on", "7664-41-07", "entity"),
+    }
+    assert "Union" not in plan_of(found)
+
+
+def test_pages_are_read_without_pandas(spark):
+    frame = spark.createDataFrame([(f"u{k}", f"<h1>t{k}</h1><p>{'x' * 30}</p>", [f"t{k}"]) for k in range(120)] + [("n", None, None)], "url string, html string, names array<string>")
+    found = articles.encyclopedia(frame, ("p",))
+    assert {(r.url, r.status, r.title, len(r.sections)) for r in found.collect()} == {(f"u{k}", "ok", f"t{k}", 1) for k in range(120)} | {("n", "no_title", None, 0)}
+    assert "MapInPandas" not in plan_of(found)
