@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspar.functions.parsing import nfkc
 from quillspar.registry import query
-from quillspar.sources.shared import Steps
+from quillspar.sources.shared import Steps, dealt
 from quillspar.sources.tables import table
 
 #: Patterns of standard codes in the names of files, tried in this order.
@@ -90,59 +86,47 @@ def _patterns(documents: DataFrame) -> DataFrame:
     return found.unionByName(part("tail", tails, _plain(F.col("raw")), TAIL)).unionByName(part("quoted", quoted, _plain(F.col("raw")), QUOTED)).distinct()
 
 
-def resolve_sources(documents: DataFrame, files: DataFrame, limit: int = 8 << 20) -> DataFrame:
+def _grams(text: Column) -> Column:
+    """The distinct runs of CODE signs of a text; every pattern has one."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - CODE + 1), lambda k: F.substring(text, k, F.lit(CODE))))
+
+
+def _held(names: DataFrame, patterns: DataFrame, limit: int) -> DataFrame:
+    """(pattern, plain): which names (plain) hold which of the distinct patterns, of CODE signs or more.
+
+    A pattern is looked for in the names that have its rarest run of signs, so signs that most names share are no one's clue.
+    A task takes about ``limit`` patterns.
+    """
+    runs = names.select("plain").where(F.length("plain") >= CODE).distinct().select("plain", F.explode(_grams(F.col("plain"))).alias("gram"))
+    wanted = dealt(patterns.select("pattern").distinct(), patterns.count(), "pattern", each=limit)
+    asked = wanted.select("pattern", F.explode(_grams(F.col("pattern"))).alias("gram"))
+    known = runs.groupBy("gram").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    rarest = asked.join(known, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.struct(n.alias("n"), "gram")).alias("gram"), F.min(n).alias("n"))
+    return rarest.where("n > 0").select("pattern", "gram").join(runs, "gram").where(F.contains("plain", F.col("pattern"))).select("pattern", "plain")
+
+
+def resolve_sources(documents: DataFrame, files: DataFrame, limit: int = 100_000) -> DataFrame:
     """(doc_id, path, score) of the documents (doc_id, title, code) whose best-scored file (path) is the only one with that score.
 
     Scores: the name is the title 100, holds the code 95, the title 90, a quoted title 85 (and begins with a year of the
     code, if it has any), a part of the title 80. Names and patterns are compared without marks, white space and case.
-    Patterns are broadcast in slices whose size is checked; one automaton finds all of a slice in one walk over a name.
     """
-    spark = documents.sparkSession
-    steps = Steps(spark, "resolve")
+    steps = Steps(documents.sparkSession, "resolve")
     name = F.element_at(F.split("path", "/"), -1)
     named = steps.keep(files.select("path", name.alias("name"), _plain(F.regexp_replace(name, r"\.[^.]*$", "")).alias("plain")))
     patterns = steps.keep(_patterns(documents))
-    doc_type = dict(documents.dtypes)["doc_id"]
     same = documents.select("doc_id", _plain(F.col("title")).alias("plain")).where("plain <> ''").distinct().join(named, "plain").select("doc_id", "path", F.lit(SCORES["same"]).alias("score"))
-    size = patterns.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
-    slices = max(1, -(-size // limit))
-    for k in range(slices):
-        part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == k).select("doc_id", "kind", "pattern", "years").toArrow()
-        shared = spark.sparkContext.broadcast(part.to_pylist())
-        hits = named.mapInArrow(_searched(shared, part.schema.field("doc_id").type), f"doc_id {doc_type}, kind string, years string, path string, name string")
-        begins = (F.col("years") == "") | F.exists(F.split("years", ","), lambda y: F.col("name").startswith(y))
-        score = F.element_at(F.create_map(*[F.lit(x) for pair in SCORES.items() for x in pair]), F.col("kind"))
-        same = same.unionByName(hits.where((F.col("kind") != "quoted") | begins).select("doc_id", "path", score.alias("score")))
+    hits = patterns.join(_held(named, patterns, limit), "pattern").join(named, "plain")
+    begins = (F.col("years") == "") | F.exists(F.split("years", ","), lambda y: F.col("name").startswith(y))
+    score = F.element_at(F.create_map(*[F.lit(x) for pair in SCORES.items() for x in pair]), F.col("kind"))
+    same = same.unionByName(hits.where((F.col("kind") != "quoted") | begins).select("doc_id", "path", score.alias("score")))
     best = same.groupBy("doc_id", "path").agg(F.max("score").alias("score"))
     top = best.groupBy("doc_id").agg(F.max("score").alias("score"))
     winners = best.join(top, ["doc_id", "score"]).groupBy("doc_id", "score").agg(F.count("*").alias("n"), F.min("path").alias("path"))
     return winners.where("n = 1").select("doc_id", "path", "score")
 
 
-def _searched(shared, kind: pa.DataType):
-    """A row for every pattern of every document that a file's name holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, owners = ahocorasick.Automaton(), {}
-        for row in shared.value:
-            owners.setdefault(row["pattern"], []).append((row["doc_id"], row["kind"], row["years"]))
-        for pattern in owners:
-            automaton.add_word(pattern, pattern)
-        if not owners:
-            return
-        automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                for pattern in {pattern for _, pattern in automaton.iter(row["plain"])}:
-                    out += [(*owner, row["path"], row["name"]) for owner in owners[pattern]]
-            if out:
-                kinds = (kind, *[pa.string()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "kind", "years", "path", "name"])
-
-    return run
-
-
 def cache_key(name: Column, url: Column) -> Column:
     """The key under which a page is kept: the digest of name and address as a JSON list."""
     escaped = name, url
