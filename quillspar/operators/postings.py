@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillspar.functions.text import terms
 from quillspar.operators.retrieval import B, K1, MAX_TERMS
 from quillspar.registry import query
-from quillspar.sources.shared import shared_dir
+from quillspar.sources.shared import dealt, shared_dir
 from quillspar.sources.tables import table
 
 #: Documents of a block, folders by the terms' hash, parts that the blocks of one folder are written in.
@@ -35,7 +35,7 @@ SLACK = 2e-6
 
 @dataclass
 class Index:
-    """A folder with the tables ``placed`` (documents in their blocks), ``postings`` and ``statistics``."""
+    """A folder with the tables ``placed`` (documents in their blocks), ``postings``, ``frequencies`` (documents of a term) and ``statistics``."""
 
     spark: SparkSession
     path: str
@@ -44,9 +44,11 @@ class Index:
         """The rows of some terms: folder, term, block, df, weight (the best of the block) and docs."""
         hashes = self.spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(term)), F.lit(FOLDERS)).alias(str(k)) for k, term in enumerate(wanted)]).first()
         kind = dict(self.spark.read.parquet(f"{self.path}/placed").dtypes)["doc_id"]
-        schema = f"term string, block long, weight double, docs array<struct<doc_id: {kind}, weight: double>>, df long, folder int"
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings")
-        return rows.where(F.col("folder").isin(sorted(set(hashes))) & F.col("term").isin(wanted))
+        schema = f"term string, block long, weight double, docs array<struct<doc_id: {kind}, weight: double>>, folder int"
+        asked = F.col("folder").isin(sorted(set(hashes))) & F.col("term").isin(wanted)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/postings").where(asked)
+        frequency = self.spark.read.schema("term string, df long, folder int").parquet(f"{self.path}/frequencies").where(asked)
+        return rows.join(F.broadcast(frequency), ["folder", "term"])  # a row for each of the terms
 
 
 def build(documents: DataFrame, path: str) -> Index:
@@ -57,16 +59,19 @@ def build(documents: DataFrame, path: str) -> Index:
     placed.withColumn("block", F.floor(F.col("at") / BLOCK)).drop("at").write.parquet(f"{path}/placed")
     placed = spark.read.parquet(f"{path}/placed")
     placed.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("average")).write.parquet(f"{path}/statistics")
-    average = spark.read.parquet(f"{path}/statistics").first().average or 1.0
-    weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
-    found = placed.select("block", "doc_id", weight.alias("weight"), F.explode("terms").alias("term"))
-    blocks = found.groupBy("term", "block").agg(F.max("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("doc_id", "weight"))).alias("docs"))
-    frequency = blocks.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
-    folder = F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")
-    rows = blocks.join(frequency, "term").withColumn("folder", folder)
+    known = spark.read.parquet(f"{path}/statistics").first()
+    weight = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.lit(known.average or 1.0)))
+    # A block's documents meet once, with their lists of terms; its rows are made there and shuffled once, to where they are written.
+    met = dealt(placed.select("block", "doc_id", weight.alias("weight"), "terms"), known.n_docs, "block", each=20_000)
+    found = met.select("block", "doc_id", "weight", F.explode("terms").alias("term"))
+    blocks = found.groupBy("block", "term").agg(F.max("weight").alias("weight"), F.array_sort(F.collect_list(F.struct("doc_id", "weight"))).alias("docs"))
+    rows = blocks.withColumns({"n": F.size("docs"), "folder": F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int")})
     # A frequent term's blocks are in all parts of its folder, so none of them waits for one task.
     rows = rows.repartition("folder", F.pmod("block", F.lit(PARTS))).sortWithinPartitions("folder", "term", "block")
     rows.write.partitionBy("folder").parquet(f"{path}/postings")
+    written = spark.read.schema("term string, n int, folder int").parquet(f"{path}/postings")
+    frequency = written.groupBy("folder", "term").agg(F.sum("n").alias("df"))
+    frequency.repartition("folder").sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{path}/frequencies")
     return Index(spark, path)
 
 

@@ -6,8 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from quillspar.functions import extraction
-from quillspar.operators import articles, graph, joins, knowledge, maintenance, retrieval, routes
-from quillspar.sources import shared
+from quillspar.operators import articles, graph, joins, knowledge, maintenance, postings, retrieval, routes
+from quillspar.sources import registry_files, shared
 
 
 def plan_of(frame):
@@ -139,3 +139,18 @@ def test_pages_are_read_without_pandas(spark):
     found = articles.encyclopedia(frame, ("p",))
     assert {(r.url, r.status, r.title, len(r.sections)) for r in found.collect()} == {(f"u{k}", "ok", f"t{k}", 1) for k in range(120)} | {("n", "no_title", None, 0)}
     assert "MapInPandas" not in plan_of(found)
+
+
+def test_names_are_searched_without_python(spark):
+    documents = spark.createDataFrame([(1, "Customer 0001", "AQ 77-2007"), (2, "Customer 0002", ""), (3, "absent words", None)], "doc_id long, title string, code string")
+    files = spark.createDataFrame([("a/the Customer#0001 x.pdf",), ("a/AQ 77-2007 of none.pdf",), ("b/customer 0002.pdf",), ("b/ab.pdf",)], "path string")
+    found = registry_files.resolve_sources(documents, files)
+    assert {tuple(r) for r in found.collect()} == {(1, "a/AQ 77-2007 of none.pdf", 95), (2, "b/customer 0002.pdf", 100)}
+    assert "InArrow" not in plan_of(found)
+
+
+def test_an_index_counts_the_documents_of_a_term(spark, tmp_path):
+    texts = [(k, "all" + (" even" if k % 2 == 0 else "") + (" one" if k == 7 else "")) for k in range(100)]
+    index = postings.build(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), str(tmp_path / "i"))
+    assert {(r.term, r.df) for r in index.postings(["all", "even", "one", "none"]).collect()} == {("all", 100), ("even", 50), ("one", 1)}
+    assert {(r.term, r.df) for r in spark.read.parquet(f"{tmp_path}/i/frequencies").collect()} == {("all", 100), ("even", 50), ("one", 1)}
