@@ -24,7 +24,9 @@ where an event is not allowed or finds no job, and changes nothing. Times are
 milliseconds. With ``by_rows`` the time is the event's own column ``at``, so a log
 can be replayed: leases are then looked at when the next event comes. The events
 that one trigger brings for one queue are sorted in memory, so a long log is read
-as a stream whose triggers are bounded.
+as a stream whose triggers are bounded. While they are taken, each entry of state
+is read once at most and written once at the end, if it has changed; a table has
+every queue once, so its replay has no state to read or to leave.
 """
 
 from __future__ import annotations
@@ -42,55 +44,89 @@ EVENT = "queue string, seq long, action string, job string, dedup string, owner
 TRANSITION = "queue string, seq long, action string, job string, done boolean, state string, owner string, until long, at long"
 JOB = "state string, owner string, until long, cancel boolean, created long, dedup string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: The states of a job that runs, and those in which it has ended.
+#: The parts of a job; the states of a job that runs, and those in which it has ended.
+HELD = ("state", "owner", "until", "cancel", "created", "dedup")
 RUNNING, ENDED = ("analyzing", "generating", "validating"), ("ready_for_review", "failed", "cancelled")
 
 
+class _Entries:
+    """A map of one queue's state while its events are taken. ``whole`` maps are read at once, others by the entry, and without a ``state`` nothing is."""
+
+    def __init__(self, state, whole: bool = False) -> None:
+        self.state, self.whole, self.changed = state, whole, set()
+        self.now = {name[0]: value for name, value in state.iterator()} if state and whole else {}
+
+    def get(self, name: str) -> tuple | None:
+        if name not in self.now and self.state and not self.whole:
+            self.now[name] = self.state.getValue((name,)) if self.state.containsKey((name,)) else None
+        return self.now.get(name)
+
+    def put(self, name: str, value: tuple | None) -> None:
+        self.now[name] = value
+        self.changed.add(name)
+
+    def write(self) -> None:
+        for name in self.changed if self.state else ():
+            if self.now[name] is not None:
+                self.state.updateValue((name,), self.now[name])
+            elif self.state.containsKey((name,)):
+                self.state.removeKey((name,))
+
+
 class LeaseQueue(StatefulProcessor):
-    def __init__(self, remember_ms: int, by_rows: bool) -> None:
-        self.remember_ms, self.by_rows = remember_ms, by_rows
+    def __init__(self, remember_ms: int, by_rows: bool, once: bool = False) -> None:
+        """``once``: every queue comes once, so no state is there or needed again."""
+        self.remember_ms, self.by_rows, self.once = remember_ms, by_rows, once
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         kept = None if self.by_rows else self.remember_ms  # a replay's time is not the clock's
-        self.open = handle.getMapState("open", "job string", JOB)
-        self.ended = handle.getMapState("ended", "job string", JOB, kept)
-        self.known = handle.getMapState("known", "dedup string", "job string", kept)
+        self.maps = handle.getMapState("open", "job string", JOB), handle.getMapState("ended", "job string", JOB, kept), handle.getMapState("known", "dedup string", "job string", kept)
+
+    def _read(self) -> None:
+        opened, ended, known = (None, None, None) if self.once else self.maps
+        self.open, self.ended, self.known = _Entries(opened, whole=True), _Entries(ended), _Entries(known)
+
+    def _write(self) -> None:
+        for entries in (self.open, self.ended, self.known):
+            entries.write()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        self._read()
         clock = None if self.by_rows else timerValues.getCurrentProcessingTimeInMs()
         for event in sorted(rows, key=lambda row: row.seq):
             now = event.at if self.by_rows else clock
             job, done = getattr(self, "_" + event.action)(event, now)
             yield self._told(key[0], event.seq, event.action, job, done, now)
+        self._write()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._read()
         now = timerValues.getCurrentProcessingTimeInMs()
         for job, held in self._jobs():
             if held["state"] in RUNNING and held["until"] < now:
                 held["state"] = "cancelled" if held["cancel"] else "queued"
                 self._put(job, held)
                 yield self._told(key[0], None, "expire", job, True, now)
+        self._write()
 
     def _told(self, queue: str, seq: int | None, action: str, job: str | None, done: bool, now: int) -> Row:
         held = self._get(job) or {"state": None, "owner": None, "until": None}
         return Row(queue=queue, seq=seq, action=action, job=job, done=done, state=held["state"], owner=held["owner"], until=held["until"], at=now)
 
     def _jobs(self) -> list[tuple[str, dict]]:
-        return [(job[0], dict(zip(("state", "owner", "until", "cancel", "created", "dedup"), held))) for job, held in self.open.iterator()]
+        return [(job, dict(zip(HELD, held))) for job, held in self.open.now.items() if held is not None]
 
     def _get(self, job: str | None) -> dict | None:
-        for held in (self.open, self.ended) if job is not None else ():
-            if held.containsKey((job,)):
-                return dict(zip(("state", "owner", "until", "cancel", "created", "dedup"), held.getValue((job,))))
-        return None
+        held = None if job is None else self.open.get(job) or self.ended.get(job)
+        return dict(zip(HELD, held)) if held is not None else None
 
     def _put(self, job: str, held: dict) -> None:
         """A job is in the map of its state, and only there."""
         to, other = (self.ended, self.open) if held["state"] in ENDED else (self.open, self.ended)
-        to.updateValue((job,), (held["state"], held["owner"], held["until"], held["cancel"], held["created"], held["dedup"]))
-        if other.containsKey((job,)):
-            other.removeKey((job,))
+        to.put(job, tuple(held[name] for name in HELD))
+        if other.get(job) is not None:
+            other.put(job, None)
 
     def _lease(self, job: str, held: dict, event: Row, now: int, state: str) -> None:
         held |= {"state": state, "owner": event.owner, "until": now + int(1000 * (event.seconds or 600))}
@@ -100,11 +136,11 @@ class LeaseQueue(StatefulProcessor):
 
     def _create(self, event: Row, now: int) -> tuple[str | None, bool]:
         name = event.dedup if event.dedup is not None else event.job
-        if self.known.containsKey((name,)):
-            return self.known.getValue((name,))[0], False
+        if (known := self.known.get(name)) is not None:
+            return known[0], False
         if self._get(event.job):
             return event.job, False
-        self.known.updateValue((name,), (event.job,))
+        self.known.put(name, (event.job,))
         self._put(event.job, {"state": "queued", "owner": None, "until": 0, "cancel": False, "created": now, "dedup": name})
         return event.job, True
 
@@ -156,7 +192,7 @@ def transitions(events: DataFrame, remember_ms: int = 30 * 86_400_000, by_rows:
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     spark.streams.active  # the session's manager of streams keeps the places of state, for tables too
-    return events.groupBy("queue").transformWithState(LeaseQueue(remember_ms, by_rows), TRANSITION, "Append", "None" if by_rows else "ProcessingTime")
+    return events.groupBy("queue").transformWithState(LeaseQueue(remember_ms, by_rows, by_rows and not events.isStreaming), TRANSITION, "Append", "None" if by_rows else "ProcessingTime")
 
 
 def lease_log(events: DataFrame) -> DataFrame:

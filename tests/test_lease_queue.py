@@ -131,3 +131,41 @@ def _sent(source):
     for path in source.iterdir():
         for line in path.read_text().splitlines():
             yield tuple(json.loads(line).values())
+
+
+class Map:
+    """A map state that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def __getattr__(self, name):
+        self.asked += 1
+        return {
+            "iterator": lambda: iter([((k,), v) for k, v in self.held.items()]), "containsKey": lambda k: k[0] in self.held, "getValue": lambda k: self.held[k[0]],
+            "updateValue": lambda k, v: self.held.__setitem__(k[0], v), "removeKey": lambda k: self.held.pop(k[0]),
+        }[name]
+
+
+class Handle:
+    def __init__(self):
+        self.maps = {}
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, Map())
+
+
+def test_state_is_asked_once_an_entry_and_not_at_all_for_a_table(spark, small):
+    log = sorted(lease_queue.lease_log(spark.read.parquet(f"{small}/events.parquet")).collect(), key=lambda r: r.seq)
+    events = [r for r in log if r.queue == log[0].queue] * 10
+    events = [lease_queue.Row(**r.asDict() | {"seq": k, "at": events[0].at + k}) for k, r in enumerate(events)]
+    plain = Plain()
+    wanted = [plain.told(e.asDict(), e.at) for e in events]
+    for once, parts in ((True, 1), (False, 1), (False, 4)):
+        handle, queue, got = Handle(), lease_queue.LeaseQueue(0, True, *([True] if once else [])), []
+        queue.init(handle)
+        for part in range(parts):
+            got += map(tuple, queue.handleInputRows((log[0].queue,), iter(events[part * len(events) // parts : (part + 1) * len(events) // parts]), None))
+        assert got == wanted
+        asked = sum(m.asked for m in handle.maps.values())
+        assert asked <= (0 if once else parts * 80) and (once or len(events) > 40)
