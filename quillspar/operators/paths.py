@@ -3,6 +3,8 @@
 Searches run level by level; the frontier is joined with the edges, what has been
 visited is left out by an anti join, and each level is written. A node keeps the
 smallest of the equally short ways to it, so results do not depend on row order.
+Pairs whose ends lie in different components are never followed: their searches
+would reach all of both.
 """
 
 from __future__ import annotations
@@ -10,25 +12,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspar.operators.graph import _EDGES, part_edges
+from quillspar.operators.graph import _EDGES, part_edges, undirected
 from quillspar.registry import query
 from quillspar.sources.shared import Steps
 from quillspar.sources.tables import table
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of ``links`` (src, dst, in both directions, without loops); a component is named after one of its nodes.
+
+    In a round every node follows its smallest smaller neighbour down to a node that has none, by pointer jumping; these nodes and
+    what still links them are the graph of the next round, which has a fraction of the nodes.
+    """
+    steps = Steps(links.sparkSession, "components")
+    found = None
+    while True:
+        up = steps.keep(links.groupBy("src").agg(F.min("dst").alias("to")).select(F.col("src").alias("node"), F.least("src", "to").alias("root")))
+        while True:
+            further = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = steps.keep(up.join(further, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            moved, up = not jumped.where("moved").isEmpty(), jumped.drop("moved")
+            if not moved:
+                break
+        if found is None:
+            found = up.select("node", F.col("root").alias("component"))
+        else:
+            found = steps.keep(found.join(up.select(F.col("node").alias("component"), "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        a, b = (up.select(F.col("node").alias(end), F.col("root").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+        once = links.where("src < dst").join(a, "src").select("dst", "a").distinct().join(b, "dst").where("a <> b")
+        once = steps.keep(once.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        if once.isEmpty():
+            return found
+        links = once.union(once.select("dst", "src"))
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5, directed: bool = False) -> DataFrame:
     """(start, end, found, hops, path) of every distinct pair (start, end): the shortest path of at most ``depth`` edges, the smallest of equals.
 
     Both ends are searched from, one level of one side at a time, until the sides of a pair meet; a pair that has met
-    or cannot meet any more is not followed further. A start that is its own end has a path of no edges. Ways are kept
+    or cannot meet any more is not followed further, and the last level is only joined with the other side. A start that is its own end has a path of no edges. Ways are kept
     as arrays of at most ``depth`` + 1 nodes.
     """
     steps = Steps(edges.sparkSession, "paths")
-    out = edges.select("src", "dst").where("src <> dst").distinct()
-    out = steps.keep(out if directed else out.union(out.select("dst", "src")).distinct())
+    both = steps.keep(undirected(edges.where("src <> dst")))
+    out = steps.keep(edges.select("src", "dst").where("src <> dst").distinct()) if directed else both
     into = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     pairs = steps.keep(pairs.select("start", "end").where("start IS NOT NULL AND end IS NOT NULL").distinct())
-    way = lambda side: pairs.select("start", "end", F.col(side).alias("node"), F.array(side).alias("way"))
+    part = components(both)
+    ends = [part.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")) for end in ("start", "end")]
+    near = pairs.join(ends[0], "start").join(ends[1], "end").where("start_part = end_part").select("start", "end")
+    alive = steps.keep(near.union(pairs.where("start = end")).distinct())
+    way = lambda side: alive.select("start", "end", F.col(side).alias("node"), F.array(side).alias("way"))
     seen = {"start": steps.keep(way("start")), "end": steps.keep(way("end"))}
     frontier = dict(seen)
     met = steps.keep(_meeting(seen).groupBy("start", "end").agg(F.min("path").alias("path")))
@@ -38,6 +72,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5, directed:
         going = frontier[side].join(met.select("start", "end"), ["start", "end"], "left_anti")
         longer = F.concat("way", F.array("dst")) if side == "start" else F.concat(F.array("dst"), "way")
         reached = links.join(going.withColumnRenamed("node", "src"), "src").select("start", "end", F.col("dst").alias("node"), longer.alias("way"))
+        if level == depth - 1:
+            met = steps.keep(met.unionByName(_meeting({side: reached, other: seen[other]}).groupBy("start", "end").agg(F.min("path").alias("path"))))
+            break
         fresh = reached.join(seen[side].select("start", "end", "node"), ["start", "end", "node"], "left_anti").groupBy("start", "end", "node").agg(F.min("way").alias("way"))
         frontier[side] = steps.keep(fresh)
         if frontier[side].isEmpty():

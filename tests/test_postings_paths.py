@@ -107,3 +107,33 @@ def test_approved_paths_equal_an_enumeration(spark):
     assert {r.node for r in nodes.collect()} == {*itertools.chain(*(n for _, n in wanted))}
     assert {r.edge for r in used.collect()} == {*itertools.chain(*(e for e, _ in wanted))}
     assert paths.approved_paths(frame, spark.createDataFrame([("none",)], "node string"), 2, 5).count() == 0
+
+
+def test_components_equal_a_plain_search(spark):
+    rnd = random.Random(5)
+    edges = [(k, k + 1) for k in range(60) if k % 20 != 19] + [(rnd.randrange(100, 160), rnd.randrange(160, 190)) for _ in range(70)] + [(200, 300), (250, 300), (250, 240)]
+    name = {n: n for e in edges for n in e}
+    for _ in name:
+        for a, b in edges:
+            name[a] = name[b] = min(name[a], name[b])
+    links = spark.createDataFrame(edges + [(b, a) for a, b in edges], "src long, dst long").distinct()
+    got = {r.node: r.component for r in paths.components(links).collect()}
+    assert len(got) == len(name) and len(set(zip(name.values(), (got[n] for n in name)))) == len(set(name.values())) == len(set(got.values()))
+    assert paths.components(links.limit(0)).count() == 0
+
+
+def test_pairs_of_different_components_are_not_followed(spark, monkeypatch):
+    kept = []
+
+    class Counted(paths.Steps):
+        def keep(self, frame):
+            out = super().keep(frame)
+            kept.append(out.count() if "way" in out.columns else 0)
+            return out
+
+    monkeypatch.setattr(paths, "Steps", Counted)
+    edges = [(c + a, c + b) for c in (0, 100) for a in range(30) for b in range(a)]
+    pairs = [(a, 100 + b) for a in range(10) for b in range(10)] + [(7, 7), (500, 500), (500, 1), (1, 2)]
+    got = paths.shortest_paths(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(pairs, "start long, end long"))
+    assert {(r.start, r.end, r.hops) for r in got.collect() if r.found} == {(7, 7, 0), (500, 500, 0), (1, 2, 1)} and got.count() == len(pairs)
+    assert sum(kept) <= 200
