@@ -7,12 +7,21 @@ round, may move in it: two neighbours that want each other's place do not swap
 for ever. Weights are integers and gains are compared as exact decimals, ties go
 to the smallest community, so the result does not depend on partitions or on the
 order of rows.
+
+Links are dealt by ranges of their nodes to blocks, once a level. A round sends
+each block one row for every node that its links touch, and the block's task adds
+its links up in arrays; links themselves are not rows of any round.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +31,8 @@ from quillspar.sources.shared import Steps
 
 #: Parts of one unit of weight, halves that take turns, and the least gain of modularity that a sweep or a level must bring.
 UNIT, HALVES, LEAST = 1_000_000, 2, 1e-4
+#: Links of a block, about.
+EACH = 500_000
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -48,39 +59,101 @@ def _modularity(inner: int, squares: Decimal, m: int) -> float:
     return inner / m - float(squares) / float(m) ** 2
 
 
-def _round(steps: Steps, links: DataFrame, nodes: DataFrame, labels: DataFrame, m: int, turn: int) -> tuple[DataFrame, float]:
+def _divisor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greatest common divisor of a task's weights."""
+    found = [int(np.gcd.reduce(np.asarray(batch.column("w")))) for batch in batches if batch.num_rows]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([math.gcd(*found)], pa.int64())], names=["w"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of the links of a task, in the order of src."""
+    found = list(batches)
+    if sum(batch.num_rows for batch in found):
+        src, dst, w = (np.concatenate([np.asarray(batch.column(name)) for batch in found]) for name in ("src", "dst", "w"))
+        order = np.argsort(src, kind="stable")
+        columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x[order].astype("<i8").tobytes()], pa.large_binary()) for x in (src, dst, w))]
+        yield pa.RecordBatch.from_arrays([columns[0], *(c.cast(pa.binary()) for c in columns[1:])], names=["block", "src", "dst", "w"])
+
+
+def _touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes whose state a block needs; it owns those that its links begin at."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = np.unique(np.frombuffer(row["src"], "<i8"))
+            other = np.setdiff1d(np.frombuffer(row["dst"], "<i8"), own)
+            nodes = np.concatenate([own, other])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.full(len(nodes), row["block"], np.int32)), pa.array(np.arange(len(nodes)) < len(own))], names=["node", "block", "own"])
+
+
+def _blocks(steps: Steps, links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, src, dst, w), the links of a block as arrays, and (node, block, own), where a node's state is needed."""
+    n = -(-links.count() // EACH) or 1
+    blocks = steps.keep(links.select("src", "dst", "w").repartitionByRange(n, "src").mapInArrow(_pack, "block int, src binary, dst binary, w binary"))
+    touched = steps.keep(blocks.mapInArrow(_touched, "node long, block int, own boolean"))
+    # Nodes without links to others stay; they are dealt to any block.
+    rest = nodes.join(touched.where("own"), "node", "left_anti").select("node", F.pmod(F.hash("node"), F.lit(n)).cast("int").alias("block"), F.lit(True).alias("own"))
+    return blocks, steps.keep(touched.union(rest))
+
+
+def _best(m: int):
+    def run(links: pa.Table, state: pa.Table) -> pa.Table:
+        """Where the nodes of a block go, and the weight inside their present community."""
+        state = {name: state.column(name).to_numpy() for name in state.column_names}
+        order = np.argsort(state["node"])
+        state = {name: column[order] for name, column in state.items()}
+        mine = {name: column[state["own"]] for name, column in state.items()}
+        src, dst, w = (np.frombuffer(b"".join(links.column(name).to_pylist()), "<i8") for name in ("src", "dst", "w"))
+        place, row = np.searchsorted(state["node"], dst), np.searchsorted(mine["node"], src)
+        order = np.lexsort((state["community"][place], row))
+        row, place, w = row[order], place[order], w[order]
+        to = state["community"][place]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (to[1:] != to[:-1]))) if len(row) else np.empty(0, np.int64)
+        w = np.add.reduceat(w, first) if len(first) else w
+        row, to, place = row[first], to[first], place[first]
+        # Products that could leave 64 bits are made of Python's integers.
+        wide = m * max(int(w.max(initial=1)), int(mine["k"].max(initial=1))) >= 1 << 62
+        kind = object if wide else np.int64
+        k, total, w_own = mine["k"].astype(kind), mine["total"].astype(kind), np.zeros(len(mine["node"]), np.int64)
+        own = to == mine["community"][row]
+        w_own[row[own]] = w[own]
+        # Two single nodes join at the smaller one's.
+        allowed = ~own & ~((mine["size"][row] == 1) & (state["size"][place] == 1) & (to > mine["community"][row]))
+        row, to, place, w = row[allowed], to[allowed], place[allowed], w[allowed]
+        gain = w.astype(kind) * m - k[row] * state["total"][place].astype(kind)
+        rank = np.unique(gain, return_inverse=True)[1] if wide else gain
+        order = np.lexsort((to, -rank, row))
+        order = order[np.flatnonzero(np.append(True, np.diff(row[order]) != 0))] if len(order) else order
+        row, to, gain = row[order], to[order], gain[order]
+        stays = w_own.astype(kind) * m - k * (total - k)
+        goes = mine["active"][row] & (gain > stays[row]).astype(bool)
+        after = mine["community"].copy()
+        after[row[goes]] = to[goes]
+        return pa.table({"node": mine["node"], "community": after, "inner": w_own + mine["inner"]})
+
+    return run
+
+
+def _round(steps: Steps, parts: tuple[DataFrame, DataFrame], nodes: DataFrame, labels: DataFrame, m: int, turn: int) -> tuple[DataFrame, float]:
     """The labels after a round, and the modularity before it. ``nodes`` has node, k (its weight) and inner (what lies inside it)."""
+    blocks, route = parts
     weighed = labels.join(nodes, "node")
     totals = steps.keep(weighed.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("size")))
-    placed = steps.keep(weighed.join(totals, "community"))
-    beside = placed.select(F.col("node").alias("dst"), F.col("community").alias("to"), F.col("total").alias("to_total"), F.col("size").alias("to_size"))
-    around = links.join(beside, "dst").groupBy(F.col("src").alias("node"), "to", "to_total", "to_size").agg(F.sum("w").alias("w"))
-    product = lambda a, b: (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)")
-    own = F.col("to") == F.col("community")
-    # Two single nodes join at the smaller one's.
-    allowed = ~own & ~((F.col("size") == 1) & (F.col("to_size") == 1) & (F.col("to") > F.col("community")))
-    gain = product(F.lit(m), F.col("w")) - product(F.col("k"), F.col("to_total"))
-    # Nodes without links to others have no row of their own and stay.
-    held = placed.join(around, "node", "left").groupBy("node", "community", "k", "inner", "total").agg(
-        F.sum(F.when(own, F.col("w")).otherwise(0)).alias("w_own"),
-        F.max(F.when(allowed, gain)).alias("gain"),
-        F.min_by("to", F.when(allowed, F.struct((-gain).alias("g"), F.col("to").alias("t")))).alias("best"),
-    )
-    stays = product(F.lit(m), F.col("w_own")) - product(F.col("k"), F.col("total") - F.col("k"))
     active = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HALVES)) == 0
-    target = F.when(active & (F.col("gain") > stays), F.col("best")).otherwise(F.col("community"))
-    after = steps.keep(held.select("node", target.alias("community"), (F.col("w_own") + F.col("inner")).alias("inner")))
+    placed = weighed.join(totals, "community").withColumn("active", active)
+    state = placed.join(route, "node").select("block", "node", "own", "community", "k", "inner", "total", "size", "active")
+    after = steps.keep(blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_best(m), "node long, community long, inner long"))
     inner = after.agg(F.sum("inner")).first()[0]
     squares = totals.agg(F.sum(_wide("total") * _wide("total"))).first()[0]
-    steps.drop(totals, placed)
+    steps.drop(totals)
     return after, _modularity(inner, squares, m)
 
 
 def _moved(steps: Steps, links: DataFrame, nodes: DataFrame, now: DataFrame, m: int, rounds: int, turn: int) -> tuple[DataFrame, float]:
     """The best labels of some rounds from ``now``, and their modularity."""
-    best, best_labels, sweep = -1.0, now, -1.0
+    best, best_labels, sweep, parts = -1.0, now, -1.0, _blocks(steps, links, nodes)
     for step in range(rounds):
-        after, before = _round(steps, links, nodes, now.select("node", "community"), m, turn + step)
+        after, before = _round(steps, parts, nodes, now.select("node", "community"), m, turn + step)
         if before > best:
             if best_labels is not now:
                 steps.drop(best_labels)
@@ -93,6 +166,7 @@ def _moved(steps: Steps, links: DataFrame, nodes: DataFrame, now: DataFrame, m:
             if step and before < sweep + LEAST:
                 break
             sweep = before
+    steps.drop(*parts)
     return best_labels, best
 
 
@@ -103,12 +177,20 @@ def louvain(edges: DataFrame, passes: int = 3, levels: int = 10, rounds: int = 2
     single nodes that move between the communities of the pass before, and then merges communities level by level.
     """
     steps = Steps(edges.sparkSession, "louvain")
-    links = steps.keep(weighted(edges))
+    links, names = steps.keep(weighted(edges)), None
+    if dict(links.dtypes)["src"] != "bigint":
+        # Numbers in the order of the nodes.
+        names = steps.keep(links.select(F.col("src").alias("name")).distinct().orderBy("name").withColumn("node", F.monotonically_increasing_id()))
+        a, b = (names.select(F.col("name").alias(end), F.col("node").alias(f"{end}_node")) for end in ("src", "dst"))
+        links = steps.keep(links.join(a, "src").join(b, "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), "w"))
+    # Gains compare as before when all weights are divided by the same number, and fit 64 bits.
+    unit = math.gcd(*(row.w for row in links.select("w").mapInArrow(_divisor, "w long").distinct().collect())) or 1
+    links = links.withColumn("w", F.expr(f"w div {unit}"))
     nodes = steps.keep(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"), F.lit(0).cast("long").alias("inner")))
     m = nodes.agg(F.sum("k")).first()[0]
     found = steps.keep(nodes.select("node", F.col("node").alias("community")))
     if not m:
-        return found
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("community")).limit(0)
     reached, turn = -1.0, 0
     for _ in range(passes):
         labels, best = _moved(steps, links, nodes, found, m, rounds, turn)
@@ -133,7 +215,11 @@ def louvain(edges: DataFrame, passes: int = 3, levels: int = 10, rounds: int = 2
             break
         reached = best
     smallest = found.groupBy("community").agg(F.min("node").alias("name"))
-    return found.join(smallest, "community").select("node", F.col("name").alias("community"))
+    found = found.join(smallest, "community").select("node", F.col("name").alias("community"))
+    if names is None:
+        return found
+    said = names.select(F.col("node").alias("community"), F.col("name").alias("_community"))
+    return found.join(names, "node").join(said, "community").select(F.col("name").alias("node"), F.col("_community").alias("community"))
 
 
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -107,3 +107,36 @@ def test_edges_without_links_and_names(spark):
     assert {(r.community, r.members, r.links, r.density) for r in communities.cohesion(pairs, labels).collect()} == {("a", 2, 1, 1.0), ("x", 3, 3, 1.0)}
     nodes = spark.createDataFrame([("a",), ("q",), ("w",)], "node string")
     assert {r.node for r in communities.gaps(nodes, pairs).collect()} == {"q", "w"}
+
+
+@pytest.mark.parametrize("unit", [1, 10**9])
+def test_round_of_blocks_equals_a_plain_round(spark, monkeypatch, unit):
+    """Links are no rows of a round: a block gets one row a node. Products beyond 64 bits are exact."""
+    monkeypatch.setattr(communities, "EACH", 100)
+    rnd = random.Random(unit)
+    once = {(a, b): rnd.randrange(1, 4) * unit for a in range(40) for b in range(a) if rnd.random() < 0.4}
+    links = defaultdict(dict)
+    for (a, b), w in once.items():
+        links[a][b] = links[b][a] = w
+    label, inner = {n: rnd.choice([n, n % 7, n % 7]) for n in [*range(40), 90, 91]}, {n: rnd.randrange(3) * unit for n in [*range(40), 90, 91]}
+    k = {n: sum(links[n].values()) + inner[n] for n in label}
+    m, total, size = sum(k.values()), defaultdict(int), defaultdict(int)
+    for n, c in label.items():
+        total[c] += k[n]
+        size[c] += 1
+    steps = communities.Steps(spark, "t")
+    frame = spark.createDataFrame([(a, b, w) for a in links for b, w in links[a].items()], "src long, dst long, w long")
+    nodes = spark.createDataFrame([(n, k[n], inner[n]) for n in k], "node long, k long, inner long")
+    parts = communities._blocks(steps, frame, nodes)
+    assert parts[0].count() > 3 and parts[1].count() < frame.count() and parts[1].where("own").count() == len(label)
+    after, _ = communities._round(steps, parts, nodes, spark.createDataFrame(list(label.items()), "node long, community long"), m, 3)
+    active = {r.node for r in nodes.where(f"pmod(xxhash64(node, 3), {communities.HALVES}) = 0").collect()}
+    wanted = set()
+    for n, c in label.items():
+        near = defaultdict(int)
+        for other, w in links[n].items():
+            near[label[other]] += w
+        gains = [(m * w - k[n] * total[t], -t) for t, w in near.items() if t != c and not (size[c] == size[t] == 1 and t > c)]
+        goes = n in active and gains and max(gains)[0] > m * near[c] - k[n] * (total[c] - k[n])
+        wanted.add((n, -max(gains)[1] if goes else c, near[c] + inner[n]))
+    assert {tuple(r) for r in after.collect()} == wanted and any(c != label[n] for n, c, _ in wanted)
