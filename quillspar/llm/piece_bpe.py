@@ -195,12 +195,8 @@ class Pieces(Encoder):
             marked = [text.replace("\n", f"{mark}\n{mark}") for text in marked]
         lists = pc.split_pattern(pa.array(marked, pa.string()), mark)
         said = lists.flatten().dictionary_encode()
-        place = self.places(said.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(said.indices)] if len(said) else np.empty(0, np.int64)
-        sizes = self.size[place]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[place] - ends + sizes, sizes)
-        words = np.cumsum(np.append(0, np.asarray(pc.list_value_length(lists))))
-        return self.flat[at].astype(np.int32), np.append(0, ends)[words]
+        ids, ends = self.ids_at(self.places(said.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(said.indices)])
+        return ids.astype(np.int32), ends[np.cumsum(np.append(0, np.asarray(pc.list_value_length(lists))))]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())

@@ -29,6 +29,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,18 @@ MAGIC, HEAD = b"QSR1", struct.Struct("<4sIIQII")
 _PLAIN_WORD = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
 
+#: What a byte of a lower-cased text is: white space where texts are always cut, a letter, a sign, a digit, or anything else.
+_SPACE, _LETTER, _SIGN, _DIGIT, _OTHER = range(5)
+_KINDS = np.full(256, _OTHER, np.uint8)
+for _kind, _signs in ((_SPACE, b" \n"), (_LETTER, bytes(range(97, 123))), (_SIGN, b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"), (_DIGIT, b"0123456789")):
+    _KINDS[list(_signs)] = _kind
+#: By eight times the kind before and the kind: whether a word begins. Apostrophes are no signs here, as letters may follow them in a word.
+_BEGINS = np.zeros(64, bool)
+for _before, _kind in ((_LETTER, _SIGN), (_SIGN, _LETTER), (_LETTER, _DIGIT), (_DIGIT, _LETTER), (_SIGN, _DIGIT), (_DIGIT, _SIGN), (_DIGIT, _DIGIT)):
+    _BEGINS[8 * _before + _kind] = True
+_BEGINS[8 * _SPACE + _LETTER : 8 * _SPACE + _OTHER + 1] = True
+
+
 def _byte_signs() -> dict[int, int]:
     """The sign that byte-level tokenizers write for each byte: itself where printable, else from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -57,13 +70,45 @@ def _byte_signs() -> dict[int, int]:
 _BYTE_SIGNS = _byte_signs()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and the number of words up to the end of each text.
+
+    Texts are cut where the tokenizer's pattern cuts them whatever stands around: at spaces and line feeds, between
+    letters, signs and digits. Only letters up to U+00FF and signs and digits of ASCII count as such, so
+    what a normal form could join stays in one word. Letters are lower-cased.
+    """
+    if not pc.sum(pc.binary_length(texts)).as_py():
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    lower = pc.ascii_lower(texts.cast(pa.string()))
+    offsets = np.frombuffer(lower.buffers()[1], np.int32)[lower.offset : lower.offset + len(lower) + 1]
+    signs = np.frombuffer(lower.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy()
+    offsets = offsets - offsets[0]
+    kinds = _KINDS[signs]
+    # U+00C0 to U+00FF without the signs of multiplication and division; all but the last are lower-cased by 32.
+    at = np.flatnonzero(signs == 0xC3)
+    at = at[(signs[at + 1] & 0xDF) != 0x97]
+    kinds[at] = kinds[at + 1] = _LETTER
+    large = at[signs[at + 1] < 0x9F] + 1
+    signs[large] += 32
+    pairs = kinds.copy()
+    pairs[1:] += kinds[:-1] << 3
+    begins = _BEGINS[pairs]
+    edges = offsets[:-1][offsets[:-1] < len(signs)]
+    begins[edges] = kinds[edges] != _SPACE
+    kept = kinds != _SPACE
+    held = signs[kept]
+    bounds = np.append(np.flatnonzero(begins[kept]), len(held)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(held))
+    return words, np.searchsorted(np.flatnonzero(begins), offsets[1:])
+
+
 class Encoder:
-    """Ids of whole texts, by words: the tokenizer never joins across a space or a line feed.
+    """Ids of whole texts, by words: the tokenizer never joins across the places where ``split`` cuts.
 
     Its pattern takes runs of letters, single digits and runs of other signs,
     lower-cased; the ids of a word do not depend on its neighbours. Words are
-    kept with their ids until they take ``limit`` bytes, and a text that could
-    hold a special token goes to the tokenizer whole.
+    kept with their ids until they take ``limit`` bytes; then those that most
+    batches held stay, in half of it. A text that could hold a special token goes to the tokenizer whole.
     """
 
     #: Bytes that a kept word takes beside its letters and ids: its string, its number, its place in the dictionary.
@@ -79,31 +124,44 @@ class Encoder:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.used, self.bytes = np.zeros(1 << 16, np.uint16), 0, 0
-        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.first, self.size, self.batches = (np.zeros(1 << 14, np.int32) for _ in range(3))
 
-    def add(self, words: list[str], ids: list[list[int]]) -> None:
-        count, total = len(self.place), sum(map(len, ids))
+    def add(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Keeps words with the numbers of their ids and the ids, one behind the other."""
+        count, total = len(self.place), len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while count + len(words) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat[self.used : self.used + total] = [i for each in ids for i in each]
+            self.first, self.size, self.batches = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.batches))
+        self.flat[self.used : self.used + total] = flat
         self.size[count : count + len(words)] = sizes
         self.first[count : count + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
         self.bytes += self.WORD * len(words) + sum(map(len, words)) + 2 * total
         self.place.update(zip(words, range(count, count + len(words)), strict=True))
 
+    def shrink(self) -> None:
+        """Keeps the words that more than one batch held, in half of the limit, those of the most batches first."""
+        words, batches = list(self.place), self.batches[: len(self.place)]
+        often = np.argsort(-batches, kind="stable")[: int((batches > 1).sum())]
+        lengths = np.fromiter((len(words[at]) for at in often.tolist()), np.int64, len(often))
+        often = often[np.cumsum(self.WORD + lengths + 2 * self.size[often]) <= self.limit // 2]
+        first, sizes, flat = self.first[often], self.size[often], self.flat
+        self.clear()
+        self.add([words[at] for at in often.tolist()], sizes, flat[_ranges(first, sizes)])
+
     def ids(self, words: list[str]) -> list[list[int]]:
         """The tokenizer's ids. Plain words go to its model, as its byte-level step would hand them over."""
         tokenize, out = self.tokenizer.model.tokenize, [[]] * len(words)
         plain = np.asarray(pc.match_substring_regex(pa.array(words, pa.string()), _PLAIN_WORD))
-        for at in np.flatnonzero(plain).tolist():
-            word = words[at]
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
-            out[at] = [token.id for token in tokenize(shown)]
         rest = np.flatnonzero(~plain).tolist()
+        plain = np.flatnonzero(plain).tolist()
+        shown = "\n".join([words[at] for at in plain]).encode().decode("latin-1")
+        for byte, sign in _BYTE_SIGNS.items():
+            if byte >= 0x80:
+                shown = shown.replace(chr(byte), chr(sign))
+        for at, word in zip(plain, shown.split("\n")):
+            out[at] = [token.id for token in tokenize(word)]
         found = self.tokenizer.encode_batch_fast([words[at] for at in rest], add_special_tokens=False)
         for at, each in zip(rest, found, strict=True):
             out[at] = each.ids
@@ -112,11 +170,21 @@ class Encoder:
     def places(self, words: list[str]) -> np.ndarray:
         """Numbers of distinct words, new ones added."""
         if self.bytes > self.limit:
-            self.clear()
-        new = [word for word in words if word not in self.place]
-        if new:
-            self.add(new, self.ids(new))
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            self.shrink()
+        found = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = np.arange(len(self.place), len(self.place) + len(new))
+            added = [words[at] for at in new.tolist()]
+            ids = self.ids(added)
+            self.add(added, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint16))
+        self.batches[found] += 1
+        return found
+
+    def ids_at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of kept words, one behind the other, and where those of each word end, behind a 0."""
+        sizes = self.size[place]
+        return self.flat[_ranges(self.first[place], sizes)], np.append(0, np.cumsum(sizes))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of each text's ids."""
@@ -124,19 +192,14 @@ class Encoder:
         special = np.flatnonzero(np.asarray(pc.match_substring(texts, "<|"))).tolist()
         if special:
             whole = {at: texts[at].as_py() for at in special}
-            texts = pa.array([None if at in whole else text for at, text in enumerate(texts.to_pylist())], pa.string())
-        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])([ \n])", r"\1 \2\3")
-        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
-        said = lists.flatten().dictionary_encode()
-        place = self.places(said.dictionary.to_pylist())[np.asarray(said.indices)] if len(said) else np.empty(0, np.int64)
-        sizes = self.size[place]
-        ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[place] - ends + sizes, sizes)
-        words = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
-        stops = np.append(0, ends)[words]
+            texts = pa.array(["" if at in whole else text for at, text in enumerate(texts.to_pylist())], pa.string())
+        words, ends = split(texts)
+        said = words.dictionary_encode()
+        ids, bounds = self.ids_at(self.places(said.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(said.indices)])
+        stops = bounds[ends]
         if not special:
-            return np.insert(self.flat[at], stops, END_ID), np.diff(stops, prepend=0) + 1
-        pieces = np.split(self.flat[at], stops[:-1])
+            return np.insert(ids, stops, END_ID), np.diff(stops, prepend=0) + 1
+        pieces = np.split(ids, stops[:-1])
         found = self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)
         for row, each in zip(whole, found, strict=True):
             pieces[row] = np.array(each.ids, np.uint16)
@@ -144,6 +207,12 @@ class Encoder:
         return np.concatenate(pieces), np.array([len(piece) for piece in pieces])
 
 
+def _ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``sizes`` many, one run behind the other."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(first - ends + sizes, sizes)
+
+
 _ENCODERS: dict[int, Encoder] = {}
 
 

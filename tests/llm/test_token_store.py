@@ -48,6 +48,37 @@ def test_words_on_chosen_texts(text):
     assert ENCODER(pa.array([text]))[0].tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 2]
 
 
+#: Letters on both sides of what counts as one, signs that belong to letters or join with marks, digits, white space.
+EDGES = "aZsStmvdl\u00c0\u00d6\u00d7\u00d8\u00de\u00df\u00e0\u00ed\u00f7\u00ff\u0100\u0130\u03a3\u0301\u0338\u20e3\u00aa\u00b2\u0660\u00a0\u0085\t\r \n'.,<>=*&_|-0197\u4e00\U0001f600"
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from(EDGES), max_size=30)), max_size=6), st.integers(0, 2))
+def test_words_between_letters_signs_and_digits(texts, skipped):
+    ids, sizes = ENCODER(pa.array(texts, pa.string())[skipped:])
+    wanted = [[*WHOLE.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[skipped:]]
+    assert sizes.tolist() == [len(w) for w in wanted]
+    assert ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_a_word_is_kept_once_whatever_signs_stand_around():
+    encoder = token_store.Encoder(SOURCE)
+    encoder(pa.array(["word*** Word, (WORD) word.", 'word!! "word" word-word_word,***', "\u00c9T\u00c9. \u00e9t\u00e9&&& word12"]))
+    assert {word for word in encoder.place if any(map(str.isalpha, word))} == {"word", "\u00e9t\u00e9"}
+
+
+def test_common_words_stay_when_others_leave():
+    encoder, asked = token_store.Encoder(SOURCE, limit=20_000), []
+    library = encoder.ids
+    encoder.ids = lambda words: asked.extend(words) or library(words)
+    letters = np.array(list("abcdefghij"))
+    for batch in range(100):
+        rare = ["x" + "".join(letters[list(map(int, str(n)))]) for n in range(batch * 20, batch * 20 + 20)]
+        encoder(pa.array([" ".join(["the common words", *rare])]))
+    assert encoder.bytes < 30_000 and len(asked) > 2000
+    assert [asked.count(word) for word in ("the", "common", "words")] == [1, 1, 1]
+
+
 def test_store(spark):
     rows = [(3, "Hello, world."), (1, None), (2, ""), (10, "long word " * 40_000), (3, "Hello, again."), (None, "no id")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int").repartition(3)
