@@ -149,6 +149,15 @@ def test_names_are_searched_without_python(spark):
     assert "InArrow" not in plan_of(found)
 
 
+def test_files_of_many_documents_are_not_broadcast(spark):
+    """Names that compare alike are one row, a year still decides between them, and no join of names passes the driver."""
+    documents = [(n, f"Customer {n % 3:04}", "") for n in range(60)] + [(90, "X 《全省Quoted title》 Y", "AQ 1-2007"), (91, "only one of these", ""), (92, None, None)]
+    files = [(f"{n}/Customer#{n % 2:04}.pdf",) for n in range(40)] + [("a/Customer#0002.pdf",), ("a/Customer#0002.pdf",), ("a/2007 quoted title.pdf",), ("b/2008 quoted title.pdf",), ("c/07 only one of these.pdf",), ("d/0-7 only ONE of these.pdf",)]
+    found = registry_files.resolve_sources(spark.createDataFrame(documents, "doc_id long, title string, code string"), spark.createDataFrame(files, "path string"))
+    assert {tuple(r) for r in found.collect()} == {(n, "a/Customer#0002.pdf", 100) for n in range(2, 60, 3)} | {(90, "a/2007 quoted title.pdf", 85)}
+    assert "Broadcast" not in plan_of(found)
+
+
 def test_an_index_counts_the_documents_of_a_term(spark, tmp_path):
     texts = [(k, "all" + (" even" if k % 2 == 0 else "") + (" one" if k == 7 else "")) for k in range(100)]
     index = postings.build(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), str(tmp_path / "i"))
