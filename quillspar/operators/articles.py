@@ -157,7 +157,7 @@ def k30_audit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Headings of an encyclopedia page that open no section, titles of pages that ask for a check, the first section, least length of a paragraph.
 NO_SECTION = ("目录", "参考资料", "词条图册", "相关视频")
 CHALLENGE = r"<title[^>]*>\s*(?:百度安全验证|安全验证|访问验证|百度一下).*?</title>"
-FIRST, LEAST, MOST = "基本概述", 20, 5000
+FIRST, LEAST = "基本概述", 20
 #: Pages that are read at once.
 AT_ONCE = 50
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -207,7 +207,7 @@ def read_article(html: str | None, names: set[str], also: tuple[str, ...] = ())
     """status, title and sections (heading, text) of one page; ``names`` are plain names of which the title must be one."""
     html = html or ""
     none = {"status": "challenge", "title": None, "sections": []}
-    if re.search(CHALLENGE, html[:18000], re.S):
+    if re.search(CHALLENGE, html, re.S):
         return none
     parser = _Article(also)
     parser.feed(html)
@@ -226,7 +226,7 @@ def read_article(html: str | None, names: set[str], also: tuple[str, ...] = ())
         elif kind == "para":
             text = re.sub(r"\[\d+(?:[-,，]\d+)*\]", "", text)
             sections[-1][1].extend([text] if len(text) >= LEAST else [])
-    found = [{"heading": heading, "text": "\n".join(parts)[:MOST]} for heading, parts in sections if parts]
+    found = [{"heading": heading, "text": "\n".join(parts)} for heading, parts in sections if parts]
     return {"status": "ok" if found else "no_sections", "title": title, "sections": found}
 
 

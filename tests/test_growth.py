@@ -141,6 +141,15 @@ def test_pages_are_read_without_pandas(spark):
     assert "MapInPandas" not in plan_of(found)
 
 
+def test_pages_are_read_whole(spark):
+    """A section keeps all its text, and a page that asks for a check says so however late."""
+    long, check = "毒" * 7000, "<title>百度安全验证</title>"
+    rows = [("a", f"<h1>t</h1><p>{long}</p><h2>h</h2><p>{long}</p><p>{'x' * 30}</p>"), ("b", f"<script>{'x' * 18000}</script>{check}<h1>t</h1><p>{long}</p>"), ("c", f"<title>{'x' * 18000}</title><h1>t</h1><p>{long}</p>")]
+    found = {r.url: r for r in articles.encyclopedia(spark.createDataFrame([(*r, ["t"]) for r in rows], "url string, html string, names array<string>"), ("p",)).collect()}
+    assert {u: r.status for u, r in found.items()} == {"a": "ok", "b": "challenge", "c": "ok"}
+    assert [s.text for s in found["a"].sections] == [long, long + "\n" + "x" * 30] and found["c"].sections[0].text == long
+
+
 def test_names_are_searched_without_python(spark):
     documents = spark.createDataFrame([(1, "Customer 0001", "AQ 77-2007"), (2, "Customer 0002", ""), (3, "absent words", None)], "doc_id long, title string, code string")
     files = spark.createDataFrame([("a/the Customer#0001 x.pdf",), ("a/AQ 77-2007 of none.pdf",), ("b/customer 0002.pdf",), ("b/ab.pdf",)], "path string")
