@@ -10,7 +10,7 @@ order of rows.
 
 Links are dealt by ranges of their nodes to blocks, once a level. A round sends
 each block one row for every node that its links touch, and the block's task adds
-its links up in arrays; links themselves are not rows of any round.
+its links up in arrays; links themselves are not rows of any round, nor moved in it.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspar.operators.graph import part_edges
+from quillspar.operators.graph import _part_links
 from quillspar.registry import query
-from quillspar.sources.shared import Steps
+from quillspar.sources.shared import Steps, dealt
 
 #: Parts of one unit of weight, halves that take turns, and the least gain of modularity that a sweep or a level must bring.
 UNIT, HALVES, LEAST = 1_000_000, 2, 1e-4
@@ -35,11 +35,20 @@ UNIT, HALVES, LEAST = 1_000_000, 2, 1e-4
 EACH = 500_000
 
 
-def weighted(edges: DataFrame) -> DataFrame:
-    """(src, dst, w) in both directions, one row a pair of different nodes; weights of repeated edges are added up."""
+def _once(edges: DataFrame) -> DataFrame:
+    """(src, dst, w), one row a pair of different nodes; weights of repeated edges are added up."""
     w = F.round(F.col("weight") * UNIT).cast("long") if "weight" in edges.columns else F.lit(UNIT).cast("long")
     once = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
-    return once.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(once.select("b", "a", "w")).where("w > 0")
+    return once.where("w > 0").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")
+
+
+def _both(once: DataFrame) -> DataFrame:
+    return once.union(once.select("dst", "src", "w"))
+
+
+def weighted(edges: DataFrame) -> DataFrame:
+    """(src, dst, w) in both directions, one row a pair of different nodes; weights of repeated edges are added up."""
+    return _both(_once(edges))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
@@ -67,91 +76,176 @@ def _divisor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of the links of a task, in the order of src."""
+    """One row of the links of a task: its nodes in order, which of them its links begin at, how many links those have, and the links' other ends and weights."""
     found = list(batches)
     if sum(batch.num_rows for batch in found):
         src, dst, w = (np.concatenate([np.asarray(batch.column(name)) for batch in found]) for name in ("src", "dst", "w"))
+        del found
         order = np.argsort(src, kind="stable")
-        columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x[order].astype("<i8").tobytes()], pa.large_binary()) for x in (src, dst, w))]
-        yield pa.RecordBatch.from_arrays([columns[0], *(c.cast(pa.binary()) for c in columns[1:])], names=["block", "src", "dst", "w"])
+        own, links = np.unique(src, return_counts=True)
+        nodes, place = np.unique(np.concatenate([own, dst[order]]), return_inverse=True)
+        w = w[order].astype(np.min_scalar_type(int(w.max())))
+        arrays = {"nodes": nodes.astype("<i8"), "own": place[: len(own)].astype("<i4"), "links": links.astype("<i4"), "place": place[len(own) :].astype("<i4"), "w": w}
+        columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays.values())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", *arrays])
 
 
 def _touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The nodes whose state a block needs; it owns those that its links begin at."""
     for batch in batches:
         for row in batch.to_pylist():
-            own = np.unique(np.frombuffer(row["src"], "<i8"))
-            other = np.setdiff1d(np.frombuffer(row["dst"], "<i8"), own)
-            nodes = np.concatenate([own, other])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.full(len(nodes), row["block"], np.int32)), pa.array(np.arange(len(nodes)) < len(own))], names=["node", "block", "own"])
+            nodes = np.frombuffer(row["nodes"], "<i8")
+            own = np.zeros(len(nodes), bool)
+            own[np.frombuffer(row["own"], "<i4")] = True
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.full(len(nodes), row["block"], np.int32)), pa.array(own)], names=["node", "block", "own"])
 
 
 def _blocks(steps: Steps, links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(block, src, dst, w), the links of a block as arrays, and (node, block, own), where a node's state is needed."""
-    n = -(-links.count() // EACH) or 1
-    blocks = steps.keep(links.select("src", "dst", "w").repartitionByRange(n, "src").mapInArrow(_pack, "block int, src binary, dst binary, w binary"))
-    touched = steps.keep(blocks.mapInArrow(_touched, "node long, block int, own boolean"))
+    """The links of each block as arrays, and (node, block, own, k, inner), where a node's state is needed.
+
+    Blocks lie on the disks of the tasks that add them up, so no round moves them; a lost one is read again from the table that is kept.
+    """
+    n = -(-max(links.count(), nodes.count()) // EACH) or 1
+    kept = steps.keep(links.select("src", "dst", "w").repartitionByRange(n, "src").mapInArrow(_pack, "block int, nodes binary, own binary, links binary, place binary, w binary"))
+    touched = steps.keep(kept.mapInArrow(_touched, "node long, block int, own boolean"))
+    blocks = kept
+    if n > 1:
+        blocks = kept.repartition(n, "block").persist(StorageLevel.DISK_ONLY)
+        blocks._kept_at = kept._kept_at
+        blocks.count()
     # Nodes without links to others stay; they are dealt to any block.
     rest = nodes.join(touched.where("own"), "node", "left_anti").select("node", F.pmod(F.hash("node"), F.lit(n)).cast("int").alias("block"), F.lit(True).alias("own"))
-    return blocks, steps.keep(touched.union(rest))
+    weights = nodes.select("node", "k", "inner")
+    return blocks, steps.keep(touched.union(rest).join(weights, "node"))
+
+
+def _beside(block: dict, community: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The weight inside the community of each owner of a block, and (owner, community, weight) of the other communities beside active ones, in this order.
+
+    ``community``, numbered from 0, and ``active`` are those of the block's nodes.
+    """
+    own, place, links = (np.frombuffer(block[name], "<i4") for name in ("own", "place", "links"))
+    w = np.frombuffer(block["w"], f"<u{len(block['w']) // len(place)}")
+    to, many = community[place], int(community.max()) + 1
+    same = to == np.repeat(community[own], links)
+    inside = np.add.reduceat(np.where(same, w, 0).astype(np.int64), np.append(0, np.cumsum(links[:-1])))
+    going = np.repeat(active[own], links) & ~same
+    key, w = (np.repeat(np.arange(len(links), dtype=np.int64) * many, links) + to)[going], w[going]
+    if not len(key):
+        return inside, key, key, key
+    if w.min() == w.max():
+        key, unit = np.sort(key), int(w[0])
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        w = np.diff(np.append(first, len(key))) * unit
+    else:
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        w = np.add.reduceat(w[order].astype(np.int64), first)
+    owner = key[first] // many
+    return inside, owner, key[first] - owner * many, w
+
+
+def _step(m: int, block: dict | None, state: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the own nodes of a block go, and the weight inside their present communities. ``state`` is in the order of its nodes."""
+    mine = {name: column[state["own"]] for name, column in state.items()}
+    names, of, community = np.unique(state["community"], return_index=True, return_inverse=True)
+    total_of, size_of, w_own = state["total"][of], state["size"][of], np.zeros(len(mine["node"]), np.int64)
+    row = to = w = np.empty(0, np.int64)
+    if block:
+        nodes = np.frombuffer(block["nodes"], "<i8")
+        at = np.searchsorted(state["node"], nodes)
+        owners = np.searchsorted(mine["node"], nodes[np.frombuffer(block["own"], "<i4")])
+        w_own[owners], row, to, w = _beside(block, community[at], state["active"][at])
+        row = owners[row]
+    # Products that could leave 64 bits are made of Python's integers.
+    wide = m * max(int(w.max(initial=1)), int(w_own.max(initial=1)), int(mine["k"].max(initial=1))) >= 1 << 62
+    kind = object if wide else np.int64
+    k, total, here = mine["k"].astype(kind), mine["total"].astype(kind), community[state["own"]]
+    # Two single nodes join at the smaller one's.
+    allowed = ~((mine["size"][row] == 1) & (size_of[to] == 1) & (to > here[row]))
+    row, to, w = row[allowed], to[allowed], w[allowed]
+    gain = w.astype(kind) * m - k[row] * total_of[to].astype(kind)
+    if len(row):
+        # The largest gain of each node; of equals the first, whose community is the smallest.
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        top = np.flatnonzero(gain == np.repeat(np.maximum.reduceat(gain, first), np.diff(np.append(first, len(row)))))
+        top = top[np.append(True, row[top][1:] != row[top][:-1])]
+        row, to, gain = row[top], to[top], gain[top]
+    stays = w_own.astype(kind) * m - k * (total - k)
+    goes = mine["active"][row] & (gain > stays[row]).astype(bool)
+    after = mine["community"].copy()
+    after[row[goes]] = names[to[goes]]
+    return after, w_own + mine["inner"]
+
+
+def _ordered(state: pa.Table) -> dict[str, np.ndarray]:
+    order = np.argsort(state.column("node").to_numpy())
+    return {name: state.column(name).to_numpy()[order] for name in state.column_names}
 
 
 def _best(m: int):
     def run(links: pa.Table, state: pa.Table) -> pa.Table:
         """Where the nodes of a block go, and the weight inside their present community."""
-        state = {name: state.column(name).to_numpy() for name in state.column_names}
-        order = np.argsort(state["node"])
-        state = {name: column[order] for name, column in state.items()}
-        mine = {name: column[state["own"]] for name, column in state.items()}
-        src, dst, w = (np.frombuffer(b"".join(links.column(name).to_pylist()), "<i8") for name in ("src", "dst", "w"))
-        place, row = np.searchsorted(state["node"], dst), np.searchsorted(mine["node"], src)
-        order = np.lexsort((state["community"][place], row))
-        row, place, w = row[order], place[order], w[order]
-        to = state["community"][place]
-        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (to[1:] != to[:-1]))) if len(row) else np.empty(0, np.int64)
-        w = np.add.reduceat(w, first) if len(first) else w
-        row, to, place = row[first], to[first], place[first]
-        # Products that could leave 64 bits are made of Python's integers.
-        wide = m * max(int(w.max(initial=1)), int(mine["k"].max(initial=1))) >= 1 << 62
-        kind = object if wide else np.int64
-        k, total, w_own = mine["k"].astype(kind), mine["total"].astype(kind), np.zeros(len(mine["node"]), np.int64)
-        own = to == mine["community"][row]
-        w_own[row[own]] = w[own]
-        # Two single nodes join at the smaller one's.
-        allowed = ~own & ~((mine["size"][row] == 1) & (state["size"][place] == 1) & (to > mine["community"][row]))
-        row, to, place, w = row[allowed], to[allowed], place[allowed], w[allowed]
-        gain = w.astype(kind) * m - k[row] * state["total"][place].astype(kind)
-        rank = np.unique(gain, return_inverse=True)[1] if wide else gain
-        order = np.lexsort((to, -rank, row))
-        order = order[np.flatnonzero(np.append(True, np.diff(row[order]) != 0))] if len(order) else order
-        row, to, gain = row[order], to[order], gain[order]
-        stays = w_own.astype(kind) * m - k * (total - k)
-        goes = mine["active"][row] & (gain > stays[row]).astype(bool)
-        after = mine["community"].copy()
-        after[row[goes]] = to[goes]
-        return pa.table({"node": mine["node"], "community": after, "inner": w_own + mine["inner"]})
+        state = _ordered(state)
+        after, inner = _step(m, next(iter(links.to_pylist()), None), state)
+        return pa.table({"node": state["node"][state["own"]], "community": after, "inner": inner})
 
     return run
 
 
+def _active(turn: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HALVES)) == 0
+
+
 def _round(steps: Steps, parts: tuple[DataFrame, DataFrame], nodes: DataFrame, labels: DataFrame, m: int, turn: int) -> tuple[DataFrame, float]:
     """The labels after a round, and the modularity before it. ``nodes`` has node, k (its weight) and inner (what lies inside it)."""
     blocks, route = parts
-    weighed = labels.join(nodes, "node")
-    totals = steps.keep(weighed.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("size")))
-    active = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HALVES)) == 0
-    placed = weighed.join(totals, "community").withColumn("active", active)
+    totals = steps.keep(labels.join(nodes, "node").groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("size")))
+    placed = labels.join(totals, "community").withColumn("active", _active(turn))
     state = placed.join(route, "node").select("block", "node", "own", "community", "k", "inner", "total", "size", "active")
     after = steps.keep(blocks.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_best(m), "node long, community long, inner long"))
-    inner = after.agg(F.sum("inner")).first()[0]
-    squares = totals.agg(F.sum(_wide("total") * _wide("total"))).first()[0]
+    squares = totals.agg(F.sum(_wide("total") * _wide("total")).alias("squares"))
+    sums = after.agg(F.sum("inner").alias("inner")).crossJoin(squares).first()
     steps.drop(totals)
-    return after, _modularity(inner, squares, m)
+    return after, _modularity(sums.inner, sums.squares, m)
+
+
+def _rounds(m: int, rounds: int):
+    def run(links: pa.Table, state: pa.Table) -> pa.Table:
+        """The best labels of some rounds over a graph of one block, as ``_moved`` finds them, and their modularity."""
+        block, turns = next(iter(links.to_pylist()), None), state.column("turns").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, rounds)
+        turns = turns[np.argsort(state.column("node").to_numpy())]
+        state = _ordered(state.drop_columns(["turns"]))
+        best, best_labels, sweep = -1.0, state["community"], -1.0
+        for step in range(rounds):
+            now = state["community"]
+            _, group = np.unique(now, return_inverse=True)
+            totals = np.zeros(int(group.max()) + 1, np.int64)
+            np.add.at(totals, group, state["k"])
+            after, inner = _step(m, block, state | {"total": totals[group], "size": np.bincount(group)[group], "active": turns[:, step]})
+            before = _modularity(sum(inner.tolist()), Decimal(sum(t * t for t in totals.tolist())), m)
+            if before > best:
+                best, best_labels = before, now
+            state["community"] = after
+            if step % HALVES == 0:
+                if step and before < sweep + LEAST:
+                    break
+                sweep = before
+        return pa.table({"node": state["node"], "community": best_labels, "best": np.full(len(state["node"]), best)})
+
+    return run
 
 
 def _moved(steps: Steps, links: DataFrame, nodes: DataFrame, now: DataFrame, m: int, rounds: int, turn: int) -> tuple[DataFrame, float]:
     """The best labels of some rounds from ``now``, and their modularity."""
     best, best_labels, sweep, parts = -1.0, now, -1.0, _blocks(steps, links, nodes)
+    if parts[1].select(F.max("block")).first()[0] == 0:
+        # One block is one task's in every round, so it takes all of them at once.
+        state = now.select("node", "community").join(parts[1], "node").withColumn("turns", F.array(*[_active(turn + step) for step in range(rounds)]))
+        found = steps.keep(parts[0].groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_rounds(m, rounds), "node long, community long, best double"))
+        steps.drop(*parts)
+        return found, found.first().best
     for step in range(rounds):
         after, before = _round(steps, parts, nodes, now.select("node", "community"), m, turn + step)
         if before > best:
@@ -166,51 +260,62 @@ def _moved(steps: Steps, links: DataFrame, nodes: DataFrame, now: DataFrame, m:
             if step and before < sweep + LEAST:
                 break
             sweep = before
+    parts[0].unpersist()
     steps.drop(*parts)
     return best_labels, best
 
 
+def _merged(steps: Steps, once: DataFrame, nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph of the communities of a graph: its links, one row a pair, and its nodes."""
+    a, b = (labels.select(F.col("node").alias(end), F.col("community").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    ends = once.join(a, "src").join(b, "dst")
+    merged = steps.keep(ends.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w")))
+    sums = nodes.join(labels, "node").groupBy("community").agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
+    inside = merged.where("src = dst").select(F.col("src").alias("community"), (2 * F.col("w")).alias("more"))
+    more = F.coalesce("more", F.lit(0).cast("long"))
+    return merged.where("src <> dst"), steps.keep(sums.join(inside, "community", "left").select(F.col("community").alias("node"), "k", (F.col("inner") + more).alias("inner")))
+
+
 def louvain(edges: DataFrame, passes: int = 3, levels: int = 10, rounds: int = 24) -> DataFrame:
     """(node, community) of all nodes with links; a community is named after its smallest node.
 
     ``edges`` has src, dst and, if it is there, weight; direction, loops and order do not matter. Each pass begins with
     single nodes that move between the communities of the pass before, and then merges communities level by level.
     """
-    steps = Steps(edges.sparkSession, "louvain")
-    links, names = steps.keep(weighted(edges)), None
-    if dict(links.dtypes)["src"] != "bigint":
+    return _louvain(_once(edges), passes, levels, rounds)
+
+
+def _louvain(once: DataFrame, passes: int, levels: int, rounds: int) -> DataFrame:
+    steps = Steps(once.sparkSession, "louvain")
+    once, names = steps.keep(once), None
+    if dict(once.dtypes)["src"] != "bigint":
         # Numbers in the order of the nodes.
-        names = steps.keep(links.select(F.col("src").alias("name")).distinct().orderBy("name").withColumn("node", F.monotonically_increasing_id()))
+        names = steps.keep(_both(once).select(F.col("src").alias("name")).distinct().orderBy("name").withColumn("node", F.monotonically_increasing_id()))
         a, b = (names.select(F.col("name").alias(end), F.col("node").alias(f"{end}_node")) for end in ("src", "dst"))
-        links = steps.keep(links.join(a, "src").join(b, "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), "w"))
+        once = steps.keep(once.join(a, "src").join(b, "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), "w"))
     # Gains compare as before when all weights are divided by the same number, and fit 64 bits.
-    unit = math.gcd(*(row.w for row in links.select("w").mapInArrow(_divisor, "w long").distinct().collect())) or 1
-    links = links.withColumn("w", F.expr(f"w div {unit}"))
-    nodes = steps.keep(links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"), F.lit(0).cast("long").alias("inner")))
+    unit = math.gcd(*(row.w for row in once.select("w").distinct().mapInArrow(_divisor, "w long").distinct().collect())) or 1
+    once = once.withColumn("w", F.expr(f"w div {unit}"))
+    nodes = steps.keep(_both(once).groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"), F.lit(0).cast("long").alias("inner")))
     m = nodes.agg(F.sum("k")).first()[0]
     found = steps.keep(nodes.select("node", F.col("node").alias("community")))
     if not m:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("community")).limit(0)
+        return (names.select(F.col("name").alias("node"), F.col("name").alias("community")) if names else found).limit(0)
     reached, turn = -1.0, 0
     for _ in range(passes):
-        labels, best = _moved(steps, links, nodes, found, m, rounds, turn)
-        found = steps.keep(labels.select("node", "community"))
+        labels, best = _moved(steps, _both(once), nodes, found, m, rounds, turn)
+        found, graph = steps.keep(labels.select("node", "community")), (once, nodes)
         for _ in range(levels):
             turn += rounds
-            a, b = (found.select(F.col("node").alias(end), F.col("community").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
-            merged = steps.keep(links.join(a, "src").join(b, "dst").groupBy("a", "b").agg(F.sum("w").alias("w")))
-            inside = merged.where("a = b").select(F.col("a").alias("node"), F.col("w").alias("inner"))
-            sums = nodes.join(found, "node").groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k"))
-            groups = steps.keep(sums.join(inside, "node", "left").select("node", "k", F.coalesce("inner", F.lit(0).cast("long")).alias("inner")))
-            between = steps.keep(merged.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
-            start = steps.keep(groups.select("node", F.col("node").alias("community")))
-            labels, now = _moved(steps, between, groups, start, m, rounds, turn)
+            # The graph of this level's communities is made of the graph of the level before.
+            graph = _merged(steps, *graph, labels.select("node", "community"))
+            start = steps.keep(graph[1].select("node", F.col("node").alias("community")))
+            labels, now = _moved(steps, _both(graph[0]), graph[1], start, m, rounds, turn)
             if now < best + LEAST:
                 break
             best = now
             joined = labels.select(F.col("node").alias("_group"), F.col("community").alias("_to"))
             found = steps.keep(found.join(joined, found["community"] == joined["_group"]).select("node", F.col("_to").alias("community")))
-            steps.drop(merged, groups, between)
         if best < reached + LEAST:
             break
         reached = best
@@ -240,5 +345,8 @@ def gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @query("k18_communities")
 def k18_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the graph of parts, by one pass."""
-    return louvain(part_edges(spark, sf_dir), passes=1)
+    """Communities of the graph of parts, by one pass; a link that exists in both directions weighs two."""
+    pairs, rows = _part_links(spark, sf_dir)
+    ends = pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("src") < F.col("dst")).alias("up"))
+    once = dealt(ends, rows, "a", "b").groupBy("a", "b").agg(F.count_distinct("up").alias("w"))
+    return _louvain(once.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), 1, 10, 24)

@@ -140,3 +140,18 @@ def test_round_of_blocks_equals_a_plain_round(spark, monkeypatch, unit):
         goes = n in active and gains and max(gains)[0] > m * near[c] - k[n] * (total[c] - k[n])
         wanted.add((n, -max(gains)[1] if goes else c, near[c] + inner[n]))
     assert {tuple(r) for r in after.collect()} == wanted and any(c != label[n] for n, c, _ in wanted)
+
+
+def test_one_block_takes_all_rounds_as_many_blocks_do(spark, monkeypatch):
+    """A graph of one block is searched by one task; no round of many blocks moves their links."""
+    frame = spark.createDataFrame(planted(5, 3, 12, 0.5, 0.05), "src long, dst long, weight double")
+    rounds, plans, plain = [], [], communities._round
+    monkeypatch.setattr(communities, "_round", lambda *a: rounds.append(a) or plain(*a))
+    whole = sorted(map(tuple, communities.louvain(frame, 1, 1, 5).collect()))
+    assert not rounds
+    keep = communities.Steps.keep
+    monkeypatch.setattr(communities.Steps, "keep", lambda self, f: plans.append(f._jdf.queryExecution().executedPlan().toString()) or keep(self, f))
+    monkeypatch.setattr(communities, "EACH", 60)
+    assert sorted(map(tuple, communities.louvain(frame, 1, 1, 5).collect())) == whole and len(rounds) >= 3
+    cogroup = next(p for p in plans if "FlatMapCoGroupsInArrow" in p)
+    assert "InMemoryTableScan" in cogroup[: cogroup.index("InMemoryRelation")] and "Exchange" not in cogroup[cogroup.index("FlatMapCoGroupsInArrow") : cogroup.index("InMemoryTableScan")]
