@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspar.operators.graph import _EDGES, part_edges, undirected
+from quillspar.operators.graph import _EDGES, _part_links, part_edges, undirected
 from quillspar.registry import query
 from quillspar.sources.shared import Steps
 from quillspar.sources.tables import table
@@ -46,52 +46,70 @@ def components(links: DataFrame) -> DataFrame:
         links = once.union(once.select("dst", "src"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5, directed: bool = False) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 5, directed: bool = False, rows: int = 0) -> DataFrame:
     """(start, end, found, hops, path) of every distinct pair (start, end): the shortest path of at most ``depth`` edges, the smallest of equals.
 
     Both ends are searched from, one level of one side at a time, until the sides of a pair meet; a pair that has met
-    or cannot meet any more is not followed further, and the last level is only joined with the other side. A start that is its own end has a path of no edges. Ways are kept
-    as arrays of at most ``depth`` + 1 nodes.
+    or cannot meet any more is not followed further, and of the last level only the links that close a path are followed. A start that is
+    its own end has a path of no edges. Ways are kept as arrays of at most ``depth`` + 1 nodes. ``rows`` of ``edges``, which may
+    repeat, decide how many tasks share them, if stated.
     """
     steps = Steps(edges.sparkSession, "paths")
-    both = steps.keep(undirected(edges.where("src <> dst")))
+    both = steps.keep(undirected(edges.where("src <> dst"), rows))
     out = steps.keep(edges.select("src", "dst").where("src <> dst").distinct()) if directed else both
     into = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     pairs = steps.keep(pairs.select("start", "end").where("start IS NOT NULL AND end IS NOT NULL").distinct())
     part = components(both)
     ends = [part.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")) for end in ("start", "end")]
     near = pairs.join(ends[0], "start").join(ends[1], "end").where("start_part = end_part").select("start", "end")
-    alive = steps.keep(near.union(pairs.where("start = end")).distinct())
-    way = lambda side: alive.select("start", "end", F.col(side).alias("node"), F.array(side).alias("way"))
+    alive = steps.keep(near.union(pairs.where("start = end")).distinct().withColumn("pair", F.monotonically_increasing_id()))
+    way = lambda side: alive.select("pair", F.col(side).alias("node"), F.array(side).alias("way"))
     seen = {"start": steps.keep(way("start")), "end": steps.keep(way("end"))}
     frontier = dict(seen)
-    met = steps.keep(_meeting(seen).groupBy("start", "end").agg(F.min("path").alias("path")))
+    met = steps.keep(_meeting(seen))
     for level in range(depth):
         side = "start" if level % 2 == 0 else "end"
         links, other = (out, "end") if side == "start" else (into, "start")
-        going = frontier[side].join(met.select("start", "end"), ["start", "end"], "left_anti")
-        longer = F.concat("way", F.array("dst")) if side == "start" else F.concat(F.array("dst"), "way")
-        reached = links.join(going.withColumnRenamed("node", "src"), "src").select("start", "end", F.col("dst").alias("node"), longer.alias("way"))
+        going = frontier[side].join(met.select("pair"), "pair", "left_anti")
         if level == depth - 1:
-            met = steps.keep(met.unionByName(_meeting({side: reached, other: seen[other]}).groupBy("start", "end").agg(F.min("path").alias("path"))))
+            met = steps.keep(met.unionByName(_closing(links, side, going, seen[other].join(met.select("pair"), "pair", "left_anti"))))
             break
-        fresh = reached.join(seen[side].select("start", "end", "node"), ["start", "end", "node"], "left_anti").groupBy("start", "end", "node").agg(F.min("way").alias("way"))
-        frontier[side] = steps.keep(fresh)
+        longer = F.concat("way", F.array("dst")) if side == "start" else F.concat(F.array("dst"), "way")
+        reached = links.join(going.withColumnRenamed("node", "src"), "src").select("pair", F.col("dst").alias("node"), longer.alias("way"))
+        fresh = reached.join(seen[side].select("pair", "node"), ["pair", "node"], "left_anti").groupBy("pair", "node").agg(F.min("way").alias("way"))
+        before, frontier[side] = seen[side], steps.keep(fresh)
         if frontier[side].isEmpty():
             break  # none of the pairs that are left can meet
-        seen[side] = steps.keep(seen[side].unionByName(frontier[side]))
-        found = _meeting({side: frontier[side], other: seen[other]}).groupBy("start", "end").agg(F.min("path").alias("path"))
-        met = steps.keep(met.unionByName(found))
+        met = steps.keep(met.unionByName(_meeting({side: frontier[side], other: seen[other]})))
+        # Pairs that have met are not looked for again.
+        seen[side] = steps.keep(before.unionByName(frontier[side]).join(met.select("pair"), "pair", "left_anti"))
+        steps.drop(before)
     path = F.col("path")
+    met = alive.join(met, "pair").select("start", "end", "path")
     return pairs.join(met, ["start", "end"], "left").select("start", "end", path.isNotNull().alias("found"), (F.size(path) - 1).alias("hops"), "path").withColumn(
         "hops", F.when(F.col("found"), F.col("hops"))
     )
 
 
 def _meeting(sides: dict[str, DataFrame]) -> DataFrame:
-    """The ways of both sides that end in one node, joined."""
-    back = sides["end"].select("start", "end", "node", F.col("way").alias("rest"))
-    return sides["start"].join(back, ["start", "end", "node"]).select("start", "end", F.concat("way", F.slice("rest", F.lit(2), F.size("rest"))).alias("path"))
+    """(pair, path): the smallest of the ways of both sides that end in one node, joined."""
+    back = sides["end"].select("pair", "node", F.col("way").alias("rest"))
+    ways = sides["start"].join(back, ["pair", "node"]).select("pair", F.concat("way", F.slice("rest", F.lit(2), F.size("rest"))).alias("path"))
+    return ways.groupBy("pair").agg(F.min("path").alias("path"))
+
+
+def _closing(links: DataFrame, side: str, going: DataFrame, held: DataFrame) -> DataFrame:
+    """(pair, path): the smallest path of each pair over a link from a way in ``going`` to one of the other side in ``held``.
+
+    A link carries the numbers of the pairs that come to its one end, and keeps those that the other end is known to. So what is
+    shuffled is a row a link, not one a pair and link, and only links that close a path meet the ways.
+    """
+    numbers = lambda rows, end, name: rows.groupBy(F.col("node").alias(end)).agg(F.collect_list("pair").alias(name))
+    both = links.join(numbers(going, "src", "come"), "src").join(numbers(held, "dst", "known"), "dst")
+    closed = both.select("src", "dst", F.explode(F.array_intersect("come", "known")).alias("pair"))
+    ends = closed.join(going.select("pair", F.col("node").alias("src"), "way"), ["pair", "src"]).join(held.select("pair", F.col("node").alias("dst"), F.col("way").alias("rest")), ["pair", "dst"])
+    path = F.concat("way", "rest") if side == "start" else F.concat("rest", "way")
+    return ends.groupBy("pair").agg(F.min(path).alias("path"))
 
 
 def approved_paths(edges: DataFrame, centre: DataFrame, hops: int = 1, limit: int = 100) -> DataFrame:
@@ -136,7 +154,8 @@ def subgraph(paths: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def k14_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest undirected paths from every hundredth part to the part of half its number."""
     pairs = table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("start"), F.floor(F.col("p_partkey") / 2).alias("end"))
-    return shortest_paths(part_edges(spark, sf_dir), pairs).withColumn("path", F.array_join(F.transform("path", lambda n: n.cast("string")), ">"))
+    links, rows = _part_links(spark, sf_dir)
+    return shortest_paths(links, pairs, rows=rows).withColumn("path", F.array_join(F.transform("path", lambda n: n.cast("string")), ">"))
 
 
 @query(

@@ -137,3 +137,23 @@ def test_pairs_of_different_components_are_not_followed(spark, monkeypatch):
     got = paths.shortest_paths(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(pairs, "start long, end long"))
     assert {(r.start, r.end, r.hops) for r in got.collect() if r.found} == {(7, 7, 0), (500, 500, 0), (1, 2, 1)} and got.count() == len(pairs)
     assert sum(kept) <= 200
+
+
+def test_last_level_sends_links_instead_of_ways(spark, monkeypatch):
+    """Hubs give each pair thousands of ways, of which only those that close a path are made at the last level."""
+    rnd, made = random.Random(12), []
+    plain = paths._meeting
+    monkeypatch.setattr(paths, "_meeting", lambda sides: made.extend(f.count() for f in sides.values()) or plain(sides))
+    edges = [(h, 100 + h * 10 + k) for h in range(6) for k in range(10)] + [(100 + h * 10 + k, 1000 + h * 400 + k * 40 + j) for h in range(6) for k in range(10) for j in range(40)] + [(rnd.randrange(1000, 3400), rnd.randrange(1000, 3400)) for _ in range(40)]
+    edges += [(leaf, leaf * 10 + t) for leaf in range(1000, 3400) for t in range(3)]
+    edges += [(100, 5000), (5000, 150), (1399, 5001), (5001, 5002), (5002, 5003), (5003, 3399)]
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    pairs = [(a, b) for a in range(6) for b in range(6)]
+    got = {(r.start, r.end): r for r in paths.shortest_paths(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(pairs, "start long, end long"), 5).collect()}
+    for a, b in pairs:
+        path = plain_path(links, a, b, 5)
+        assert (got[a, b].path, got[a, b].hops) == (path, len(path) - 1 if path else None)
+    assert sum(r.hops == 5 for r in got.values()) > 0 and max(made) <= 36 * (1 + 12 + 420)
