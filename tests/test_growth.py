@@ -107,10 +107,10 @@ def test_network_sends_lists_instead_of_pairs(spark, monkeypatch):
 def test_network_of_all_pages_of_a_source(spark, monkeypatch):
     """Every page of a source makes pairs, in tiles of blocks and strips of rows, and no pair is shuffled."""
     rng = random.Random(10)
-    pages = [(n, [None, "a", "b"][n % 3]) for n in range(69)]
-    direct = [(n, n % 3) for n in range(70)] + [(rng.randrange(70), rng.randrange(70)) for _ in range(20)] + [(None, 4), (7, None)]
-    cited = {(rng.randrange(70), f"d{rng.randrange(30)}") for _ in range(90)} | {(n, "hot") for n in range(0, 70, 2)} | {(None, "d1"), (3, None)}
-    docs = {p: {d for q, d in cited if q == p and d} for p in range(70)}
+    pages = [(n, [None, "a", "b"][n % 3]) for n in range(139)]
+    direct = [(n, n % 3) for n in range(140)] + [(rng.randrange(140), rng.randrange(140)) for _ in range(20)] + [(None, 4), (7, None)]
+    cited = {(rng.randrange(140), f"d{rng.randrange(30)}") for _ in range(90)} | {(n, "hot") for n in range(0, 140, 2)} | {(None, "d1"), (3, None)}
+    docs = {p: {d for q, d in cited if q == p and d} for p in range(140)}
     links = {(min(p), max(p)) for p in direct if None not in p and p[0] != p[1]}
     near = {}
     for a, b in links:
@@ -120,10 +120,11 @@ def test_network_of_all_pages_of_a_source(spark, monkeypatch):
     kind = dict(pages)
     wanted = {
         (a, b): 3 * ((a, b) in links) + 4 * len(docs[a] & docs[b]) + 1.5 * score(a, b) + (kind.get(a) == kind.get(b))
-        for a in range(70) for b in range(a + 1, 70) if (a, b) in links or docs[a] & docs[b]
+        for a in range(140) for b in range(a + 1, 140) if (a, b) in links or docs[a] & docs[b]
     }
     tables = lambda turn, t: (spark.createDataFrame([(turn(n), k) for n, k in pages], f"page {t}, type string"), spark.createDataFrame([(turn(a), turn(b)) for a, b in direct], f"a {t}, b {t}"), spark.createDataFrame([(turn(p), d) for p, d in sorted(cited, key=str)], f"page {t}, doc string"))
-    for side, cells, turn, t in ((4096, 1 << 20, lambda n: n, "long"), (16, 100, lambda n: n, "int"), (16, 40, lambda n: n if n is None else f"p{n:02}", "string")):
+    assert {r.weight for r in knowledge.wiki_network(*tables(lambda n: n, "long")).where("a = 136 AND b = 138").collect()} == {wanted[136, 138]}
+    for side, cells, turn, t in ((4096, 1 << 20, lambda n: n, "long"), (32, 200, lambda n: n, "int"), (32, 90, lambda n: n if n is None else f"p{n:03}", "string")):
         monkeypatch.setattr(knowledge, "SIDE", side)
         monkeypatch.setattr(knowledge, "CELLS", cells)
         found = knowledge.wiki_network(*tables(turn, t))
